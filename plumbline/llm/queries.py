@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, language, quality, tokens
+from . import bpe, decontaminate, html, jaccard, language, quality, tokens
 from .common import new_path, table
 
 #: The vocabulary file that the token queries use; a parameter of the operators.
@@ -20,6 +20,10 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.positions(spark, path)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,5 +45,5 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), jaccard.JaccardParams(words=3, percent=90))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op4_decontamination, op7_bpe, op8_language, op9_quality, op10_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op2_html_extraction, op4_decontamination, op7_bpe, op8_language, op9_quality, op10_jaccard)}
 ORACLES: dict[str, str] = {}
