@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, jaccard, language, pii, quality, tokens, warc
+from . import bpe, decontaminate, html, jaccard, language, lines, pii, quality, tokens, warc
 from .common import new_path, table
 
 #: The vocabulary file that the token queries use; a parameter of the operators.
@@ -24,6 +24,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,5 +69,5 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), jaccard.JaccardParams(words=3, percent=90))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op2_html_extraction, op4_decontamination, op5_pii, op6_warc, op7_bpe, op8_language, op9_quality, op10_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op2_html_extraction, op3_line_dedup, op4_decontamination, op5_pii, op6_warc, op7_bpe, op8_language, op9_quality, op10_jaccard)}
 ORACLES: dict[str, str] = {"op6_warc": OP6_SQL}
