@@ -13,6 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import arrow_rows
 
@@ -324,7 +325,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, "ids"])
 
     plain = docs.drop("ids")
-    return plain.mapInArrow(run, plain.schema.add("ids", "binary"))
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("ids", BinaryType())]))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
