@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, connected_components, stored
@@ -148,13 +148,12 @@ def jaccard_groups(docs: DataFrame, params: JaccardParams | None = None, id_col:
     usable = signed.where("print is not null and id is not null")
     heads = usable.groupBy("print").agg(F.min("id").alias("head"))
     members = usable.select("id", "print").distinct().join(heads, "print").select("id", "head")
-    tiled = usable.groupBy("print").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min_by("keys", "id").alias("keys")).select("id", "n", F.explode("keys").alias("key"))
+    tiled = usable.groupBy("print").agg(F.min("id").alias("id"), F.min_by("keys", "id").alias("keys")).select("id", F.explode("keys").alias("key"))
     shared = tiled.groupBy("key").agg(F.count("*").alias("many"), F.min("id").alias("first")).where("many > 1")
-    tiles = stored(tiled.join(shared, "key").select("key", "id", "n", "first", "many"), "tiles")
+    tiles = stored(tiled.join(shared, "key").select("key", "id", "first"), "tiles")
 
     star = tiles.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    involved = tiles.select("id").distinct()
-    sets = stored(with_sets(source.join(involved, "id", "left_semi"), params), "sets")
+    sets = stored(with_sets(source, marked_ids(tiles), params), "sets")
     links = stored(verified(star, sets, percent), "links")
     found = connected_components(links)
 
@@ -171,19 +170,45 @@ def jaccard_groups(docs: DataFrame, params: JaccardParams | None = None, id_col:
     )
 
 
-def with_sets(docs: DataFrame, params: JaccardParams) -> DataFrame:
-    """(id, n, bits, s) of the documents that share a tile with another; one row an id."""
+#: Bits of the filter of ids (4 MB, whatever the corpus).
+FILTER_BITS = 1 << 25
+
+
+def filter_bit(column: str = "id") -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def marked_ids(tiles: DataFrame) -> np.ndarray:
+    """A filter of fixed size: bit h is set if an id of tiles hashes to it. Spark builds it as bitmaps of 32768 bits."""
+    parts = tiles.select(filter_bit().alias("h")).groupBy(F.floor(F.col("h") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts.collect():
+        at = int(r["part"]) * 4096
+        out[at : at + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def with_sets(docs: DataFrame, marked: np.ndarray, params: JaccardParams) -> DataFrame:
+    """(id, n, bits, s) of the documents that pass the filter, one row an id.
+
+    The filter passes every document that shares a tile, and a few others, whose
+    sets are never asked for; so texts are not shuffled to find them.
+    """
     words, bits = params.words, params.bitmap_bits
+    shared = docs.sparkSession.sparkContext.broadcast(marked)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            h = batch.column("h").to_numpy(zero_copy_only=False)
+            hit = (shared.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
+            batch = batch.filter(pa.array(hit))
             sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s, bits).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 names=["id", "n", "bits", "s"],
             )
 
-    return docs.mapInArrow(build, "id long, n long, bits binary, s binary").dropDuplicates(["id"])
+    return docs.where("id is not null").select("id", "text", filter_bit().alias("h")).mapInArrow(build, "id long, n long, bits binary, s binary").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
