@@ -20,8 +20,8 @@ from .common import arrow_rows
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE, as its public description gives it.
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 NONE = 1 << 62
-#: Units of text kept with their ids in a worker.
-CACHE_UNITS = 500_000
+#: Units of text kept with their ids in a worker, in each of two generations.
+CACHE_UNITS = 200_000
 #: Two blanks in a row; Python's blanks include all of the pre-tokenizer's.
 BLANKS = re.compile(r"\s\s")
 
@@ -245,28 +245,58 @@ def merge_class(words: list[bytes], size: int, v: Vocabulary) -> list[bytes]:
     return [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
+class Known:
+    """Values by key in two generations: when the young one is full it becomes the old, and what is used again moves back."""
+
+    def __init__(self, make_many, most: int = CACHE_UNITS):
+        self.make_many, self.most = make_many, most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def all_of(self, keys: set[str]) -> dict[str, bytes]:
+        """A dictionary that holds every one of the keys."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        old, new = self.old, []
+        for k in keys.difference(self.young):
+            if k in old:
+                self.young[k] = old[k]
+            else:
+                new.append(k)
+        self.young.update(zip(new, self.make_many(new), strict=True))
+        return self.young
+
+
+#: Marks that end a word: after a letter or digit they are a word of their own for the pre-tokenizer.
+ENDS = ".,;:!?"
+
+
 class Units:
-    """Units of text and their packed ids: a cache that is emptied when full.
+    """Units of text and their packed ids.
 
     Blanks between two other characters begin a new word of the pre-tokenizer,
     so where no two blanks meet, a text can be cut at its spaces, and the pieces
-    (with their leading space) encoded apart, each only once.
+    (with their leading space) encoded apart, each only once. A piece's closing
+    marks are cut off as well.
     """
 
     def __init__(self, encode_many, encode_whole, most: int = CACHE_UNITS):
-        self.encode_many, self.encode_whole, self.most = encode_many, encode_whole, most
-        self.spaced: dict[str, bytes] = {}
+        self.encode_many, self.encode_whole = encode_many, encode_whole
+        self.stems = Known(lambda stems: encode_many([" " + x for x in stems]), most)
+        self.marks = Known(encode_many, 10_000)
+        self.pieces = Known(self.pieces_of, most)
+
+    def pieces_of(self, pieces: list[str]) -> list[bytes]:
+        stems = [p.rstrip(ENDS) for p in pieces]
+        stems = [x if x and x[-1].isalnum() else p for x, p in zip(stems, pieces, strict=True)]
+        stem = self.stems.all_of(set(stems))
+        mark = self.marks.all_of({p[len(x) :] for x, p in zip(stems, pieces, strict=True)})
+        return [stem[x] + mark[p[len(x) :]] if len(x) < len(p) else stem[x] for x, p in zip(stems, pieces, strict=True)]
 
     def batch(self, texts: list[str], special: tuple[str, ...]) -> list[bytes]:
         pieces = [None if BLANKS.search(t) or any(s in t for s in special) else t.split(" ") for t in texts]
-        seen = set().union(*(p[1:] for p in pieces if p))
-        missing = list(seen.difference(self.spaced))
-        if len(self.spaced) + len(missing) > self.most:
-            self.spaced.clear()
-            missing = list(seen)
-        self.spaced.update(zip(missing, self.encode_many([" " + p for p in missing]), strict=True))
+        get = self.pieces.all_of(set().union(*(p[1:] for p in pieces if p))).__getitem__
         starts = iter(self.encode_many([p[0] for p in pieces if p]))
-        get = self.spaced.__getitem__
         return [self.encode_whole(t) if p is None else next(starts) + b"".join(map(get, p[1:])) for t, p in zip(texts, pieces, strict=True)]
 
 
@@ -275,20 +305,13 @@ class Encoder:
 
     def __init__(self, path: str):
         self.v = vocabulary(path)
-        self.words: dict[str, bytes] = {}
+        self.words = Known(lambda words: merge_many([w.encode("utf-8", "replace") for w in words], self.v))
         self.units = Units(self.many, self.whole)
 
-    def of_words(self, words: set[str]) -> None:
-        missing = list(words.difference(self.words))
-        if len(self.words) + len(missing) > CACHE_UNITS:
-            self.words.clear()
-            missing = list(words)
-        self.words.update(zip(missing, merge_many([w.encode("utf-8", "replace") for w in missing], self.v), strict=True))
-
     def many(self, units: list[str]) -> list[bytes]:
         split = [WORDS.findall(u) for u in units]
-        self.of_words(set().union(*split))
-        return [b"".join(map(self.words.__getitem__, s)) for s in split]
+        get = self.words.all_of(set().union(*split)).__getitem__
+        return [b"".join(map(get, s)) for s in split]
 
     def whole(self, text: str) -> bytes:
         v = self.v

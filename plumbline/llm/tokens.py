@@ -100,7 +100,7 @@ def write_token_files(docs: DataFrame, path: str, params: TokenFileParams) -> No
     placed = ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "text")
     (
         placed.mapInArrow(encode, "shard int, doc_id long, n_tokens long, ids array<int>")
-        .write.option("orc.compress", "ZSTD")
+        .write.option("orc.compress", "LZ4")
         .option("orc.stripe.size", params.stripe_bytes)
         .option("orc.row.index.stride", params.index_rows)
         .option("orc.create.index", "true")
