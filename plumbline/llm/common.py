@@ -86,3 +86,31 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         before = after
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+
+
+#: Bits of a membership filter (4 MB, whatever the corpus), and of one of its parts.
+FILTER_BITS, PART_BITS = 1 << 25, 1 << 15
+
+
+def filter_bit(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+
+
+def filter_parts(df: DataFrame, *columns: str) -> DataFrame:
+    """A membership filter of the columns' values as (part, bits): at most 1024 rows of 4 KB, built by Spark."""
+    bits = df.select(filter_bit(*columns).alias("h"))
+    return bits.groupBy(F.floor(F.col("h") / PART_BITS).alias("part")).agg(F.bitmap_construct_agg(F.col("h") % PART_BITS).alias("bits"))
+
+
+def maybe_in(df: DataFrame, parts: DataFrame, *columns: str) -> DataFrame:
+    """The rows of df whose values may be in the filter: all that are, and few others while the filter is not full.
+
+    The filter is broadcast, which its fixed size allows; a full filter lets
+    more rows pass to the exact join that follows, and loses none.
+    """
+    kept = df.columns
+    rows = df.withColumn("h__", filter_bit(*columns)).withColumn("part__", F.floor(F.col("h__") / PART_BITS))
+    rows = rows.join(F.broadcast(parts.select(F.col("part").alias("part__"), F.col("bits").alias("bits__"))), "part__")
+    at = F.col("h__") % PART_BITS
+    byte = F.conv(F.hex(F.substring("bits__", (at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    return rows.where(F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(h__ % 8 as int))")) != 0).select(*kept)

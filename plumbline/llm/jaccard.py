@@ -27,10 +27,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, connected_components, stored
+from .common import FILTER_BITS, PART_BITS, arrow_rows, connected_components, filter_bit, filter_parts, stored
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -170,20 +170,11 @@ def jaccard_groups(docs: DataFrame, params: JaccardParams | None = None, id_col:
     )
 
 
-#: Bits of the filter of ids (4 MB, whatever the corpus).
-FILTER_BITS = 1 << 25
-
-
-def filter_bit(column: str = "id") -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-
-
 def marked_ids(tiles: DataFrame) -> np.ndarray:
-    """A filter of fixed size: bit h is set if an id of tiles hashes to it. Spark builds it as bitmaps of 32768 bits."""
-    parts = tiles.select(filter_bit().alias("h")).groupBy(F.floor(F.col("h") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("bits"))
+    """The membership filter of the ids of tiles as one array of bits, of fixed size."""
     out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts.collect():
-        at = int(r["part"]) * 4096
+    for r in filter_parts(tiles, "id").collect():
+        at = int(r["part"]) * PART_BITS // 8
         out[at : at + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
 
@@ -208,7 +199,7 @@ def with_sets(docs: DataFrame, marked: np.ndarray, params: JaccardParams) -> Dat
                 names=["id", "n", "bits", "s"],
             )
 
-    return docs.where("id is not null").select("id", "text", filter_bit().alias("h")).mapInArrow(build, "id long, n long, bits binary, s binary").dropDuplicates(["id"])
+    return docs.where("id is not null").select("id", "text", filter_bit("id").alias("h")).mapInArrow(build, "id long, n long, bits binary, s binary").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
