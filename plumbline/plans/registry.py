@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import analytics, tables
+
+QUERIES: dict = analytics.QUERIES | tables.QUERIES
+ORACLES: dict[str, str] = analytics.ORACLES | tables.ORACLES
