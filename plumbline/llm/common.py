@@ -102,15 +102,21 @@ def filter_parts(df: DataFrame, *columns: str) -> DataFrame:
     return bits.groupBy(F.floor(F.col("h") / PART_BITS).alias("part")).agg(F.bitmap_construct_agg(F.col("h") % PART_BITS).alias("bits"))
 
 
-def maybe_in(df: DataFrame, parts: DataFrame, *columns: str) -> DataFrame:
-    """The rows of df whose values may be in the filter: all that are, and few others while the filter is not full.
+def marked(df: DataFrame, parts: DataFrame, *columns: str) -> DataFrame:
+    """df with `maybe__`: whether a row's values may be in the filter. It is true for all that are, and for few others while the filter is not full.
 
-    The filter is broadcast, which its fixed size allows; a full filter lets
-    more rows pass to the exact join that follows, and loses none.
+    The filter is broadcast, which its fixed size allows. A full one marks more
+    rows, which then go the way of those that are in it, and loses none.
     """
     kept = df.columns
     rows = df.withColumn("h__", filter_bit(*columns)).withColumn("part__", F.floor(F.col("h__") / PART_BITS))
-    rows = rows.join(F.broadcast(parts.select(F.col("part").alias("part__"), F.col("bits").alias("bits__"))), "part__")
+    rows = rows.join(F.broadcast(parts.select(F.col("part").alias("part__"), F.col("bits").alias("bits__"))), "part__", "left")
     at = F.col("h__") % PART_BITS
     byte = F.conv(F.hex(F.substring("bits__", (at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    return rows.where(F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(h__ % 8 as int))")) != 0).select(*kept)
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(h__ % 8 as int))")) != 0
+    return rows.select(*kept, F.coalesce(hit, F.lit(False)).alias("maybe__"))
+
+
+def maybe_in(df: DataFrame, parts: DataFrame, *columns: str) -> DataFrame:
+    """The rows of df that marked() marks."""
+    return marked(df, parts, *columns).where("maybe__").drop("maybe__")

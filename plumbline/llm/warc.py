@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, stored
+from .common import filter_parts, marked, new_path, stored
 
 # Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
@@ -32,15 +32,19 @@ def records(pages: DataFrame, params: WarcParams) -> DataFrame:
     """One row a page: page_id, captured, and the record without its closing blank lines.
 
     Which payloads are shared is settled on digests alone (a grouped minimum,
-    combined before the shuffle); the pages meet the decisions by their unique
-    ids, so a payload that very many pages share makes no large partition.
+    combined before the shuffle). Only pages that may be revisits, by a filter
+    of fixed size, are shuffled to meet the decisions, by their unique ids, so a
+    payload that very many pages share makes no large partition; the others are
+    written where they were read.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html").cast("long"))
     keyed = p.where((F.col("bytes") >= params.least_payload) & F.col("page_id").isNotNull()).select("page_id", "digest")
     first = keyed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("many")).where("many > 1").drop("many")
-    revisit = keyed.join(first, "digest").where("page_id <> refers_to").distinct()
-    p = p.join(revisit, ["page_id", "digest"], "left")
+    revisit = stored(keyed.join(first, "digest").where("page_id <> refers_to").distinct(), "revisits")
+    p = marked(p, filter_parts(revisit, "page_id"), "page_id")
+    met = p.where("maybe__").drop("maybe__").join(revisit, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "bytes", "refers_to")
+    p = p.where("NOT maybe__").select("page_id", "url", "html", "digest", "bytes", F.lit(None).cast("long").alias("refers_to")).unionByName(met)
     captured = F.lit(params.first_capture).cast("timestamp_ntz") + F.make_interval(secs=F.coalesce("page_id", F.lit(0)).cast("decimal(18,6)"))
     is_revisit = F.col("refers_to").isNotNull()
 
@@ -72,10 +76,9 @@ def write_archives(pages: DataFrame, path: str, params: WarcParams | None = None
     file system that Spark writes to.
     """
     params = params or WarcParams()
-    total = pages.agg(F.sum(F.octet_length("html").cast("long") + 600)).first()[0] or 0
-    files = max(1, -(-total // params.archive_bytes))
-    rows = records(pages, params).repartition(files, F.xxhash64("page_id", F.length("value")))
-    rows.select("value").write.option("lineSep", "\r\n\r\n").text(path)
+    mean = pages.agg(F.avg(F.octet_length(F.coalesce("html", F.lit(""))) + 600)).first()[0] or 600
+    most = max(1, int(params.archive_bytes / mean))
+    records(pages, params).select("value").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).text(path)
 
 
 def url_key(url: str | None) -> str | None:
