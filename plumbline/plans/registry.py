@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, tables
+from . import analytics, tables, texts
 
-QUERIES: dict = analytics.QUERIES | tables.QUERIES
-ORACLES: dict[str, str] = analytics.ORACLES | tables.ORACLES
+QUERIES: dict = analytics.QUERIES | tables.QUERIES | texts.QUERIES
+ORACLES: dict[str, str] = analytics.ORACLES | tables.ORACLES | texts.ORACLES
