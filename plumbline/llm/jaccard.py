@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, PART_BITS, arrow_rows, connected_components, filter_bit, filter_parts, stored
+from .common import FILTER_BITS, PART_BITS, arrow_rows, connected_components, filter_bit, filter_parts, marked, maybe_in, stored
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -147,10 +147,14 @@ def jaccard_groups(docs: DataFrame, params: JaccardParams | None = None, id_col:
     signed = stored(source.mapInArrow(sign, "id long, n long, print binary, keys array<long>"), "signed")
     usable = signed.where("print is not null and id is not null")
     heads = usable.groupBy("print").agg(F.min("id").alias("head"))
-    members = usable.select("id", "print").distinct().join(heads, "print").select("id", "head")
-    tiled = usable.groupBy("print").agg(F.min("id").alias("id"), F.min_by("keys", "id").alias("keys")).select("id", F.explode("keys").alias("key"))
-    shared = tiled.groupBy("key").agg(F.count("*").alias("many"), F.min("id").alias("first")).where("many > 1")
-    tiles = stored(tiled.join(shared, "key").select("key", "id", "first"), "tiles")
+    members = stored(usable.select("id", "print").distinct().join(heads, "print").select("id", "head"), "members")
+    # copies leave: most rows are known to be no copy by a filter of fixed size, the others by a join
+    copies = members.where("id <> head").select("id")
+    usable = marked(usable.select("id", "keys"), filter_parts(copies, "id"), "id")
+    single = usable.where("NOT maybe__").select("id", "keys").unionByName(usable.where("maybe__").select("id", "keys").join(copies, "id", "left_anti"))
+    tiled = single.select("id", F.explode("keys").alias("key"))
+    shared = stored(tiled.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first"), "shared")
+    tiles = stored(maybe_in(tiled, filter_parts(shared, "key"), "key").join(shared, "key").select("key", "id", "first"), "tiles")
 
     star = tiles.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     sets = stored(with_sets(source, marked_ids(tiles), params), "sets")
