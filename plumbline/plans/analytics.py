@@ -190,7 +190,7 @@ def trend_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = mining.RuleParams(min_support=0.005, min_confidence=0.2, min_lift=1.01)
 ITEMS = ", ".join(f"CASE WHEN {f} NOT IN ('', 'N/A', 'unknown') THEN '{f}=' || {f} END" for f in mining.ITEM_FIELDS)
 ITEMS_SQL = f"""
-, t AS (SELECT report_id AS id, list_filter([{ITEMS}], lambda x: x IS NOT NULL) AS items FROM frames),
+, t AS MATERIALIZED (SELECT row_number() OVER (ORDER BY report_id, ts) AS id, list_filter([{ITEMS}], lambda x: x IS NOT NULL) AS items FROM frames),
 n AS (SELECT count(*) AS n, greatest(2, CAST(floor(0.005::DOUBLE * count(*)) AS BIGINT)) AS least FROM t WHERE len(items) > 0),
 i AS (SELECT id, unnest(items) AS x FROM t),
 c AS (SELECT [x] AS items, count(*) AS k FROM i GROUP BY x

@@ -85,7 +85,7 @@ def tracked(frames: DataFrame, least_iou: float = 0.20, most_distance: float = 0
         for frame in pd.concat(list(batches)).sort_values("at").itertuples():
             now = int(frame.at.value // 1_000_000)
             live = {i: x for i, x in live.items() if now - x[0] <= expiry * 1000}
-            boxes = [list(b) for b in frame.boxes]
+            boxes = [[float(x) for x in b] for b in frame.boxes]
             found = match({i: b for i, (_, b) in live.items()}, boxes, least_iou, most_distance)
             for k, box in enumerate(boxes):
                 track = found.get(k)
