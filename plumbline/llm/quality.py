@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, stored
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -165,7 +165,8 @@ def references(docs: DataFrame, params: QualityParams) -> dict[str, tuple[np.nda
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([total[k] for k in keys], pa.int64())], names=["lang", "item", "n"])
 
     arrow_rows(docs.sparkSession)
-    counts = docs.where("lang is not null").select("lang", "text").mapInArrow(partial, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    counted = docs.where("lang is not null").select("lang", "text").mapInArrow(partial, "lang string, item string, n long")
+    counts = stored(counted.groupBy("lang", "item").agg(F.sum("n").alias("n")), "counts")  # read twice below
     is_word = F.col("item").startswith("w")
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", is_word).orderBy(F.col("n").desc(), "item")))
     kept = ranked.where(~is_word | (F.col("rank") <= params.top_words))
