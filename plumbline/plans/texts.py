@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import events, ranking
+from ..operators import evaluation, events, models, ranking
 from ..operators.reports import ReportParams, assessed
 from ..sources.tables import table
 
@@ -82,3 +82,13 @@ def doc_assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_pulse(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
     return events.pulse(e, "user_id", ["ts", "event_id"], "value").select("user_id", "event_id", F.round("pulse", 6).alias("pulse"))
+
+
+@query()
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of a text classifier of labelled quality on documents it has not seen; a learned model, so rows only."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("quality").alias("y"))
+    d = evaluation.stratified_split(d, "y", "doc_id")
+    model = models.text_classifier(d.where("part = 'train'"))
+    held, test = (models.scored(model, d.where(f"part = '{p}'").drop("part")) for p in ("validation", "test"))
+    return evaluation.binary_metrics(models.calibrated(held, test))
