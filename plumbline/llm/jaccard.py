@@ -208,10 +208,9 @@ def with_sets(docs: DataFrame, marked: np.ndarray, params: JaccardParams) -> Dat
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked: bit counts first, exact intersection after."""
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("s").alias("s_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("s").alias("s_b"))
+    side = lambda x, *columns: sets.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
             if not len(n_a):
@@ -219,14 +218,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             x, y = (np.stack([np.frombuffer(v, np.uint8) for v in batch.column(c).to_pylist()]) for c in ("bits_a", "bits_b"))
             # each shingle of a that b lacks leaves its bit, or shares it with another of a
             common = np.bitwise_count(x & y).sum(1, dtype=np.int64)
-            bound = np.minimum(n_a - np.bitwise_count(x).sum(1, dtype=np.int64), n_b - np.bitwise_count(y).sum(1, dtype=np.int64)) + common
-            may = bound >= needed(n_a, n_b, percent)
+            most = np.minimum(n_a - np.bitwise_count(x).sum(1, dtype=np.int64), n_b - np.bitwise_count(y).sum(1, dtype=np.int64)) + common
+            may = pa.array(most >= needed(n_a, n_b, percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(may), batch.column("b").filter(may)], names=["a", "b"])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             s_a, s_b = batch.column("s_a"), batch.column("s_b")
-            hold = [bool(ok) and linked(np.frombuffer(s_a[k].as_py(), np.uint64), np.frombuffer(s_b[k].as_py(), np.uint64), percent) for k, ok in enumerate(may)]
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(hold)), batch.column("b").filter(pa.array(hold))], names=["a", "b"])
+            hold = pa.array([linked(np.frombuffer(s_a[k].as_py(), np.uint64), np.frombuffer(s_b[k].as_py(), np.uint64), percent) for k in range(batch.num_rows)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(hold), batch.column("b").filter(hold)], names=["a", "b"])
 
-    sized = pairs.join(left, "a").join(right, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return sized.select("a", "b", "n_a", "n_b", "bits_a", "bits_b", "s_a", "s_b").mapInArrow(check, "a long, b long")
+    # the bitmaps, of fixed size, meet first; the sets only of pairs that they allow
+    sized = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    allowed = stored(sized.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bound, "a long, b long"), "allowed")
+    return allowed.join(side("a", "s"), "a").join(side("b", "s"), "b").select("a", "b", "s_a", "s_b").mapInArrow(exact, "a long, b long")
 
 
 def unresolved(tiles: DataFrame, found: DataFrame, sets: DataFrame, params: JaccardParams) -> DataFrame:
