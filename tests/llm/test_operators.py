@@ -268,6 +268,56 @@ def test_lines_keep_one_occurrence(spark, docs, empty):
     assert lines.without_repeated_lines(docs).count() == len(TEXTS) and lines.without_repeated_lines(empty).count() == 0
 
 
+def edit_similarity(a, b):
+    row = np.arange(len(b) + 1)
+    other = np.array([ord(x) for x in b])
+    for k, x in enumerate(a, 1):
+        least = np.minimum(row[:-1] + (other != ord(x)), row[1:] + 1)
+        least = np.concatenate([[k], least]) - np.arange(len(b) + 1)
+        row = np.minimum.accumulate(least) + np.arange(len(b) + 1)
+    return 1 - row[-1] / max(len(a), len(b))
+
+
+def edited_lines(rng):
+    """(line, edited line) of all lengths: whole words replaced, or single characters."""
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(2, 10))))
+    for words in (2, 3, 4, 8, 10, 15, 20, 40, 80, 150):
+        for k in range(12):
+            w = [word() for _ in range(words)]
+            other = list(w)
+            if k % 3 or words == 2:
+                for at in rng.choice(words, max(1, words * (k + 4) // 100), replace=False):
+                    x = list(other[at])
+                    x[int(rng.integers(len(x)))] = "z"
+                    other[at] = "".join(x)
+            else:
+                for at in rng.choice(words, max(1, words * (k + 8) // 100), replace=False):
+                    other[at] = "z" * len(other[at])
+            yield " ".join(w), " ".join(other)
+
+
+def test_fuzzy_lines_reach_the_similarity(spark):
+    pairs = list(edited_lines(np.random.default_rng(11)))
+    rows = [(2 * k + side, line) for k, pair in enumerate(pairs) for side, line in enumerate(pair)]
+    got = {r.doc_id for r in lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_dropped}
+    want = {2 * k + 1 for k, (a, b) in enumerate(pairs) if edit_similarity(a, b) >= 0.8}
+    assert len(want) > 90 and any(len(pairs[k // 2][0].split()) < 5 for k in want)
+    assert got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_long_lines_are_held_by_edits(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for k, (words, share) in enumerate([(500, 0.15), (700, 0.15), (17_000, 0.01), (500, 0.3)]):
+        w = [f"{rng.integers(1 << 20):05x}" for _ in range(words)]
+        other = list(w)
+        for at in rng.choice(words, int(words * share), replace=False):
+            other[at] = "z" * len(other[at])
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other[: words - k % 2]))]
+    got = {r.doc_id for r in lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_dropped}
+    assert got == {1, 3, 5}
+
+
 def test_decontamination(spark, docs, empty):
     rng = np.random.default_rng(6)
     word = lambda: "w" + str(rng.integers(3000)) if rng.random() > 0.4 else str(rng.choice(["the", "of", "and"]))
