@@ -3,7 +3,8 @@
 Test items are the indexed side; every passage of every training document is a
 query. A passage retrieves the items whose BM25 score reaches a share of the
 score that the item gets against itself; a retrieved item counts if the passage
-holds enough of its question's and its answer's word n-grams.
+holds enough of its question's and its answer's word n-grams, or the answer's
+words with few edits behind the question.
 """
 
 from __future__ import annotations
@@ -37,13 +38,20 @@ class DecontaminationParams:
     gram: int = 5
     question_share: float = 0.8
     answer_share: float = 0.8
+    #: Else the answer's words must stand behind its question but for one of them, or for 1 - answer_share if that is more;
+    #: answers of fewer words than this must be whole. Words may be put in or left out so far.
+    edited_words: int = 3
+    shift: int = 2
     #: Items of one index; a larger benchmark is cut into such indexes, which are gone through one after another.
     items_per_index: int = 20_000
 
 
+WORD = re.compile(r"[^\W_]+")
+
+
 def words_of(text: str | None) -> list[bytes]:
-    """A-Z lower-cased; words end at ASCII white space."""
-    return (text or "").encode("utf-8", "replace").lower().split()
+    """Runs of letters and digits, A-Z lower-cased: marks between and around words are not part of them."""
+    return " ".join(WORD.findall(text or "")).encode("utf-8", "replace").lower().split(b" ") if text and WORD.search(text) else []
 
 
 def parts(text: str) -> tuple[list[bytes], list[bytes]]:
@@ -58,6 +66,11 @@ def ngrams(words: list[bytes], n: int) -> set[tuple[bytes, ...]]:
     return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if n else set()
 
 
+def holds_share(grams: set[tuple[bytes, ...]], passage: list[bytes], share: float) -> bool:
+    n = len(next(iter(grams), ()))
+    return not grams or len(grams & {tuple(passage[k : k + n]) for k in range(len(passage) - n + 1)}) >= share * len(grams)
+
+
 class Index:
     """Postings by item with the greatest impact of each block.
 
@@ -108,7 +121,8 @@ class Index:
             self.block_last[t] = [own[min(k + size, len(own)) - 1] for k in range(0, len(own), size)]
             self.block_max[t] = [max(x[k : k + size]) for k in range(0, len(own), size)]
             self.most[t] = max(x)
-        self.grams = [tuple(ngrams(p, params.gram) for p in parts(t)) for _, t in items]
+        self.parts = [parts(t) for _, t in items]
+        self.grams = [tuple(ngrams(p, params.gram) for p in both) for both in self.parts]
 
     def search(self, terms: list[int]) -> list[int]:
         """Items whose rare terms among the query's reach 1, by block-max WAND.
@@ -164,12 +178,28 @@ class Index:
     def holds(self, item: int, passage: list[bytes]) -> bool:
         """Whether the passage holds enough n-grams of the item's question and of its answer."""
         p = self.params
-        for grams, share in zip(self.grams[item], (p.question_share, p.answer_share), strict=True):
-            if grams:
-                n = len(next(iter(grams)))
-                if len(grams & {tuple(passage[k : k + n]) for k in range(len(passage) - n + 1)}) < share * len(grams):
-                    return False
-        return True
+        question, answer = self.grams[item]
+        if not holds_share(question, passage, p.question_share):
+            return False
+        return holds_share(answer, passage, p.answer_share) or self.answers(item, passage)
+
+    def answers(self, item: int, passage: list[bytes]) -> bool:
+        """Whether the answer with few words edited stands behind what the passage holds of the question.
+
+        An edit of one word takes up to `gram` n-grams with it, which is all of a short answer.
+        """
+        p = self.params
+        question, answer = self.parts[item]
+        if len(answer) < p.edited_words or not question:
+            return False
+        n = min(p.gram, len(question))
+        at: dict[tuple[bytes, ...], list[int]] = {}
+        for k in range(len(question) - n + 1):
+            at.setdefault(tuple(question[k : k + n]), []).append(k)
+        starts = {k + len(question) - q for k in range(len(passage) - n + 1) for q in at.get(tuple(passage[k : k + n]), ())}
+        own = Counter(answer)
+        least = len(answer) - max(1, int(len(answer) * (1 - p.answer_share) + 1e-9))
+        return any((own & Counter(passage[max(k - p.shift, 0) : k + len(answer) + p.shift])).total() >= least for k in starts)
 
     def matches(self, words: list[bytes]) -> dict[int, float]:
         """Items found in any passage of a document, with the best score."""

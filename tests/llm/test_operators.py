@@ -341,6 +341,22 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_passages_glued_to_marks_and_edited_answers(spark):
+    rng = np.random.default_rng(13)
+    word = lambda: f"w{rng.integers(3000)}"
+    filler = lambda: " ".join(word() for _ in range(60))
+    items = [(k, " ".join(word() for _ in range(30)) + ". " + " ".join(["Was", "an"] + [word() for _ in range(k % 10 + 1)]) + ".") for k in range(40)]
+    texts = {}
+    for k, t in items:
+        question, answer = t.split(". ")
+        w = answer.rstrip(".").split()
+        w[int(rng.integers(len(w)))] = "edited"
+        texts[k] = [f"**{t}***", f"{filler()} ({t})*** {filler()}", f"{filler()}\n\u201c{t}\u201d\u2014{filler()}", f"{filler()} {question}. {' '.join(w)}. {filler()}", f"{filler()} {question}. {filler()}"]
+    rows = [(10 * k + j, t) for k, own in texts.items() for j, t in enumerate(own)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(10 * k + j, k) for k in texts for j in range(4)}
+
+
 def test_wand_finds_what_full_scoring_finds():
     rng = np.random.default_rng(7)
     items = [(k, " ".join(f"w{x}" for x in rng.zipf(1.4, 25) % 80)) for k in range(200)]
