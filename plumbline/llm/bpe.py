@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from .common import arrow_rows
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 NONE = 1 << 62
 #: Units of text kept with their ids in a worker, in each of two generations.
-CACHE_UNITS = 200_000
+CACHE_UNITS = 400_000
 #: Two blanks in a row; Python's blanks include all of the pre-tokenizer's.
 BLANKS = re.compile(r"\s\s")
 
@@ -33,12 +34,31 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def check_kind(path: str, file: dict) -> None:
+    """Refuses tokenizer files that work in another way than this module: their ids would differ."""
+    split = file.get("pre_tokenizer") or {}
+    wrong = [
+        what
+        for what, bad in (
+            ("a model other than BPE", file["model"].get("type", "BPE") != "BPE"),
+            ("a normalizer", file.get("normalizer") is not None),
+            ("a pre-tokenizer other than ByteLevel with its own pattern", split.get("type") != "ByteLevel" or not split.get("use_regex", True)),
+            ("a prefix space", bool(split.get("add_prefix_space"))),
+            ("merges with dropout, affixes or byte fallback", any(file["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))),
+        )
+        if bad
+    ]
+    if wrong:
+        raise ValueError(f"{path} has {', '.join(wrong)}")
+
+
 class Vocabulary:
     """Merges, ids and bytes of a tokenizer file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
+        check_kind(path, file)
         letters = byte_letters()
         as_bytes = lambda token: bytes(letters[c] for c in token)
         ids = {as_bytes(token): i for token, i in file["model"]["vocab"].items()}
@@ -284,20 +304,71 @@ class Units:
         self.encode_many, self.encode_whole = encode_many, encode_whole
         self.stems = Known(lambda stems: encode_many([" " + x for x in stems]), most)
         self.marks = Known(encode_many, 10_000)
-        self.pieces = Known(self.pieces_of, most)
 
-    def pieces_of(self, pieces: list[str]) -> list[bytes]:
-        stems = [p.rstrip(ENDS) for p in pieces]
-        stems = [x if x and x[-1].isalnum() else p for x, p in zip(stems, pieces, strict=True)]
-        stem = self.stems.all_of(set(stems))
-        mark = self.marks.all_of({p[len(x) :] for x, p in zip(stems, pieces, strict=True)})
-        return [stem[x] + mark[p[len(x) :]] if len(x) < len(p) else stem[x] for x, p in zip(stems, pieces, strict=True)]
-
-    def batch(self, texts: list[str], special: tuple[str, ...]) -> list[bytes]:
-        pieces = [None if BLANKS.search(t) or any(s in t for s in special) else t.split(" ") for t in texts]
-        get = self.pieces.all_of(set().union(*(p[1:] for p in pieces if p))).__getitem__
-        starts = iter(self.encode_many([p[0] for p in pieces if p]))
-        return [self.encode_whole(t) if p is None else next(starts) + b"".join(map(get, p[1:])) for t, p in zip(texts, pieces, strict=True)]
+    def batch(self, texts: list[str], special: tuple[str, ...]) -> tuple[pa.Array, np.ndarray]:
+        """Packed ids of all units of the texts, in order, and how many units each text has.
+
+        Arrow cuts the texts, numbers their distinct pieces, and lays the units
+        out; Python sees each distinct stem of the batch once.
+        """
+        odd = [k for k, t in enumerate(texts) if not t or BLANKS.search(t) or any(s in t for s in special)]
+        even = np.ones(len(texts), bool)
+        even[odd] = False
+        cut = pc.split_pattern(pa.array([texts[k] for k in np.flatnonzero(even).tolist()], pa.large_string()), " ")
+        ends = cut.offsets.to_numpy()
+        numbered = cut.flatten().dictionary_encode()
+        pieces, at = numbered.dictionary, numbered.indices.to_numpy().astype(np.int64)
+        trimmed = pc.utf8_rtrim(pieces, ENDS)
+        fits = pc.and_(pc.match_substring_regex(trimmed, r"[\pL\pN]$"), pc.not_equal(pieces, trimmed))
+        stems = pc.if_else(fits, trimmed, pieces).dictionary_encode()
+        marked = np.flatnonzero(fits.to_numpy(zero_copy_only=False))
+        names = stems.dictionary.to_pylist()
+        known = self.stems.all_of(set(names))
+        marks = [p[len(x) :] for p, x in zip(pieces.take(pa.array(marked)).to_pylist(), trimmed.take(pa.array(marked)).to_pylist(), strict=True)]
+        kinds = {m: k for k, m in enumerate(dict.fromkeys(marks), 1)}
+        of_mark = self.marks.all_of(set(kinds))
+        # a text's first piece has no space before it: these are encoded as they are, and stand behind the stems
+        first = np.unique(at[ends[:-1]])
+        packed = [known[x] for x in names]
+        base = len(packed)
+        packed += [b"", *(of_mark[m] for m in kinds)]
+        whole_piece = len(packed)
+        packed += self.encode_many(pieces.take(pa.array(first)).to_pylist())
+        whole_text = len(packed)
+        packed += [self.encode_whole(texts[k]) for k in odd]
+        stem_at = stems.indices.to_numpy().astype(np.int64)
+        mark_at = np.full(len(pieces), base, np.int64)
+        mark_at[marked] = base + np.array([kinds[m] for m in marks], np.int64)
+        # two units a piece, its stem and its mark
+        order = np.stack([stem_at[at], mark_at[at]], 1)
+        order[ends[:-1]] = np.stack([whole_piece + np.searchsorted(first, at[ends[:-1]]), np.full(len(ends) - 1, base)], 1)
+        count = np.full(len(texts), 2, np.int64)
+        count[even] = 2 * np.diff(ends)
+        units = np.full(int(count.sum()), base, np.int64)
+        is_odd = np.repeat(~even, count)
+        units[~is_odd] = order.ravel()
+        units[is_odd] = np.stack([whole_text + np.arange(len(odd)), np.full(len(odd), base)], 1).ravel()
+        return pa.array(packed, pa.large_binary()).take(pa.array(units)), count
+
+    def ids(self, texts: list[str], special: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each text has."""
+        units, count = self.batch(texts, special)
+        ends = units.offsets.to_numpy() if hasattr(units, "offsets") else np.frombuffer(units.buffers()[1], np.int64, len(units) + 1, 8 * units.offset)
+        flat = np.frombuffer(units.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u4") if ends[-1] > ends[0] else np.zeros(0, "<u4")
+        return flat, np.diff(ends[np.concatenate([[0], np.cumsum(count)])]) // 4
+
+
+def grouped(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to a bounded size, so that more of their units are the same."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 class Encoder:
@@ -320,7 +391,9 @@ class Encoder:
         return b"".join(v.special[p].to_bytes(4, "little") if p in v.special else next(packed) for p in pieces)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        return self.units.batch(texts, tuple(self.v.special))
+        ids, size = self.units.ids(texts, tuple(self.v.special))
+        packed, ends = ids.tobytes(), (4 * np.cumsum(size)).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def decode(packed: bytes, v: Vocabulary) -> str:
@@ -343,7 +416,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in batches:
+        for batch in grouped(batches):
             ids = encoder.batch([t or "" for t in batch.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, "ids"])
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Units, vocabulary
+from .bpe import Units, grouped, vocabulary
 from .common import arrow_rows
 
 
@@ -61,8 +61,9 @@ class LibraryEncoder:
             out[k] = packed
         return out
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        return self.units.batch(texts, self.special)
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after another, and how many each text has."""
+        return self.units.ids(texts, self.special)
 
 
 @lru_cache(maxsize=2)
@@ -83,16 +84,15 @@ def write_token_files(docs: DataFrame, path: str, params: TokenFileParams) -> No
     """
     spark = docs.sparkSession
     arrow_rows(spark)
-    end = int(params.end_id).to_bytes(4, "little")
-    tokenizer = params.tokenizer
+    end, tokenizer = params.end_id, params.tokenizer
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer)
-        for batch in batches:
-            packed = [p + end for p in encoder.batch([t or "" for t in batch.column("text").to_pylist()])]
-            size = np.fromiter((len(p) // 4 for p in packed), np.int64, len(packed))
-            flat = pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32), pa.int32())
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), flat)
+        for batch in grouped(batches):
+            plain, size = encoder.batch([t or "" for t in batch.column("text").to_pylist()])
+            flat = np.insert(plain.astype(np.int32), np.cumsum(size), end)
+            size = size + 1
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), pa.array(size), ids], names=["shard", "doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
