@@ -28,11 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is the session's spark.checkpoint.dir; only where that is unset (a local
-    session, as in tests) is a temporary folder made and set.
+    It is the session's spark.checkpoint.dir; only in a local session where that
+    is unset, as in tests, is a temporary folder made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-plumbline-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -51,41 +53,72 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Tables in the shared folder that are needed for a while only; all are deleted at the end of a with block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def delete(self, keep_last: int = 0) -> None:
+        """Deletes all tables but the last few; nothing may read the others any more."""
+        gone, self.paths = self.paths[: len(self.paths) - keep_last], self.paths[len(self.paths) - keep_last :]
+        context = self.spark.sparkContext
+        for path in gone:
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.delete()
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Smallest reachable id for every id that has an edge: (id, component).
+    """Smallest reachable id for every id that has an edge: (id, component), a stored table.
 
     Alternating large-star and small-star rounds; both are grouped minima
     (combined before the shuffle) followed by joins, so a node with very many
     edges is split by AQE like any other skewed join key. Edges with a null end
     are ignored. A chain of n nodes takes about log n rounds.
     """
-    now = stored(
-        edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .distinct(),
-        "edges",
-    )
-
-    def state(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    before = state(now)
-    while before[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        after = state(now)
-        if after == before:
-            break
-        before = after
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    with Tables(edges.sparkSession) as t:
+        now = t.stored(
+            edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+            .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+            .distinct(),
+            "edges",
+        )
+
+        def state(df: DataFrame):
+            return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+        before = state(now)
+        while before[0]:
+            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            now = t.stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+            t.delete(keep_last=1)
+            after = state(now)
+            if after == before:
+                break
+            before = after
+        found = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+        return stored(found, "components")
 
 
 #: Bits of a membership filter (4 MB, whatever the corpus), and of one of its parts.
@@ -120,3 +153,30 @@ def marked(df: DataFrame, parts: DataFrame, *columns: str) -> DataFrame:
 def maybe_in(df: DataFrame, parts: DataFrame, *columns: str) -> DataFrame:
     """The rows of df that marked() marks."""
     return marked(df, parts, *columns).where("maybe__").drop("maybe__")
+
+
+#: Parts that the members of one group are dealt to before they meet what is decided for the group.
+SALTS = 16
+#: A key with more than 1 / HEAVY of all rows meets its decision by broadcast.
+HEAVY = 1000
+
+
+def left_by(rows: DataFrame, decided: DataFrame, keys: list[str], many: str, total: int) -> DataFrame:
+    """rows left-joined with decided, which has one row a key and `many`, the key's number of rows; the column many is dropped.
+
+    Keys that hold more than 1 / HEAVY of the rows (`total` of them, so fewer
+    than HEAVY keys) are broadcast, so no task gets a hot key; of the others only
+    rows that may have a decision, by a filter of fixed size, are shuffled.
+    """
+    new = [c for c in decided.columns if c not in (*keys, many)]
+    heavy = decided.where(F.col(many) * HEAVY > total).drop(many)
+    light = decided.where(F.col(many) * HEAVY <= total).drop(many)
+    first = rows.join(F.broadcast(heavy.withColumn("hot__", F.lit(True))), keys, "left")
+    hot = first.where("hot__").drop("hot__")
+    others = marked(first.where("hot__ IS NULL").select(*rows.columns), filter_parts(light, *keys), *keys)
+    met = others.where("maybe__").drop("maybe__").join(light, keys, "left")
+    alone = others.where("NOT maybe__").drop("maybe__")
+    for c in new:
+        alone = alone.withColumn(c, F.lit(None).cast(decided.schema[c].dataType))
+    columns = [*rows.columns, *new]
+    return hot.select(columns).unionByName(met.select(columns)).unionByName(alone.select(columns))

@@ -8,10 +8,11 @@
    into d + 1 parts, linked sets agree in a whole part. A (band, part, content
    of the part) key is a tile; candidates meet only in a shared tile.
 3. In a tile, sets are held against the tile's smallest member first; what is
-   connected by those links needs no other comparison. Only tiles whose members
-   still lie in different components are compared block by block, by hashed
-   bitmaps: bit counts bound the overlap from above before the exact
-   intersection of the sorted arrays.
+   connected by those links needs no other comparison. In tiles whose members
+   still lie in different components, all members outside the largest of these
+   are held against all others, block by block, by hashed bitmaps: bit counts
+   bound the overlap from above before the exact intersection of the sorted
+   arrays.
 
 No link between different sets is lost, copies are never expanded into pairs,
 and no bucket has a cap.
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, PART_BITS, arrow_rows, connected_components, filter_bit, filter_parts, marked, maybe_in, stored
+from .common import FILTER_BITS, PART_BITS, SALTS, Tables, arrow_rows, connected_components, filter_bit, filter_parts, left_by, marked, maybe_in, stored
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,103 +113,138 @@ def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-(percent * (n + m)) // (100 + percent))
 
 
-def longest_possible(docs: DataFrame, id_col: str) -> int:
+def longest_possible(docs: DataFrame) -> int:
     """An upper bound of a text's words: words and blanks alternate, so half its bytes rounded up."""
     n = docs.agg(F.max(F.octet_length("text"))).first()[0] or 0
     return n // 2 + 1
 
 
-def jaccard_groups(docs: DataFrame, params: JaccardParams | None = None, id_col: str = "doc_id") -> DataFrame:
-    """Every document's shingle count and group: (id, n_shingles, component_id).
+#: Stands for a null id, behind all others.
+NO_ID = (1 << 63) - 1
 
-    component_id is the smallest id reachable over links. An empty or null text
-    has no shingles and links with nothing, not even another empty text; a null
-    id keeps its row but takes part in no link (component null); rows that
-    repeat an id give one row each and share the component.
-    """
+
+def source_rows(docs: DataFrame, id_col: str) -> DataFrame:
+    """id, text_hash, text: a document is known by its id and a hash of its text."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), "text")
+
+
+def jaccard_rows(docs: DataFrame, params: JaccardParams | None = None, id_col: str = "doc_id") -> DataFrame:
+    """A row for each of docs: id, text_hash, n (shingles), keep (id and text_hash of the first document of its group)."""
     params = params or JaccardParams()
-    spark = docs.sparkSession
-    arrow_rows(spark)
-    percent, words = params.percent, params.words
-    starts = bands(percent, longest_possible(docs, id_col) + 1)
+    arrow_rows(docs.sparkSession)
+    percent, words, width = params.percent, params.words, params.bitmap_bits
+    starts = bands(percent, longest_possible(docs) + 1)
     starts = np.append(starts, [starts[-1] * 100 // percent + 1, (starts[-1] * 100 // percent + 1) * 100 // percent + 1])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, prints, keys = [], [], []
+            n, nodes, keys, bits = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, words)
                 n.append(len(s))
-                prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                nodes.append(node_of(s) if len(s) else None)
                 keys.append(tile_keys(s, starts, percent).view(np.int64) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "print", "keys"])
-
-    source = docs.select(F.col(id_col).cast("long").alias("id"), "text")
-    signed = stored(source.mapInArrow(sign, "id long, n long, print binary, keys array<long>"), "signed")
-    usable = signed.where("print is not null and id is not null")
-    heads = usable.groupBy("print").agg(F.min("id").alias("head"))
-    members = stored(usable.select("id", "print").distinct().join(heads, "print").select("id", "head"), "members")
-    # copies leave: most rows are known to be no copy by a filter of fixed size, the others by a join
-    copies = members.where("id <> head").select("id")
-    usable = marked(usable.select("id", "keys"), filter_parts(copies, "id"), "id")
-    single = usable.where("NOT maybe__").select("id", "keys").unionByName(usable.where("maybe__").select("id", "keys").join(copies, "id", "left_anti"))
-    tiled = single.select("id", F.explode("keys").alias("key"))
-    shared = stored(tiled.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first"), "shared")
-    tiles = stored(maybe_in(tiled, filter_parts(shared, "key"), "key").join(shared, "key").select("key", "id", "first"), "tiles")
-
-    star = tiles.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    sets = stored(with_sets(source, marked_ids(tiles), params), "sets")
-    links = stored(verified(star, sets, percent), "links")
-    found = connected_components(links)
-
-    rest = unresolved(tiles, found, sets, params)
-    more = verified(rest, sets, percent)
-    more = stored(more, "links")
-    if not more.isEmpty():
-        found = connected_components(links.unionByName(more))
-    component = members.join(found.withColumnRenamed("id", "head"), "head", "left").select("id", F.coalesce("component", "head").alias("component_id"))
-    return (
-        signed.select("id", F.col("n").alias("n_shingles"))
-        .join(component, "id", "left")
-        .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-    )
-
-
-def marked_ids(tiles: DataFrame) -> np.ndarray:
-    """The membership filter of the ids of tiles as one array of bits, of fixed size."""
+                bits.append(bitmap(s, width).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                names=["id", "text_hash", "n", "node", "keys", "bits"],
+            )
+
+    source = source_rows(docs, id_col)
+    with Tables(docs.sparkSession) as t:
+        signed = t.stored(source.mapInArrow(sign, "id long, text_hash long, n long, node long, keys array<long>, bits binary"), "signed")
+        usable = signed.where("node is not null")
+        nodes = t.stored(usable.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("head"), F.count("*").alias("many")), "nodes")
+        tiles = tiles_of(usable, nodes, t)
+        ends = tiles.groupBy("key").agg(F.min("node").alias("first"))
+        star = t.stored(tiles.join(ends, "key").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+        own = filter_parts(tiles, "node")
+        bits = t.stored(maybe_in(usable.select("node", "n", "bits"), own, "node").dropDuplicates(["node"]), "bits")
+        links = t.stored(verified(star, bits, nodes, source, params, t), "links")
+        found = connected_components(links)
+        more = t.stored(verified(t.stored(unresolved(tiles, found, bits, params, t), "pairs"), bits, nodes, source, params, t), "links")
+        if not more.isEmpty():
+            found = connected_components(links.unionByName(more))
+
+        # what is neither a copy nor linked is its own group
+        grouped = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").where("many > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
+        grouped = t.stored(grouped, "grouped")
+        first = grouped.groupBy("component").agg(F.min("head").alias("keep")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        decided = grouped.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int")).join(first, ["component", "salt"]).select("node", "many", "keep")
+        rows = left_by(signed.select("id", "text_hash", "n", "node"), t.stored(decided, "decided"), ["node"], "many", signed.count())
+        return stored(rows.select("id", "text_hash", "n", F.coalesce("keep", F.struct("id", "text_hash")).alias("keep")), "groups")
+
+
+def jaccard_groups(docs: DataFrame, params: JaccardParams | None = None, id_col: str = "doc_id") -> DataFrame:
+    """Every document's shingle count and group: (id, n_shingles, component_id).
+
+    component_id is the smallest id reachable over links. An empty or null text
+    has no shingles and links with nothing, not even another empty text. A null
+    id stands behind all others: its row has the smallest id of its group, or
+    null where the group has none. An id with several texts is several documents
+    that happen to have the same id; rows that repeat an id and its text give
+    one row each.
+    """
+    named = lambda c: F.when(c != NO_ID, c)
+    return jaccard_rows(docs, params, id_col).select(named(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), named(F.col("keep.id")).alias("component_id"))
+
+
+def node_of(s: np.ndarray) -> int:
+    """The 64-bit fingerprint of a set, by which equal sets are one node."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
+
+
+def tiles_of(usable: DataFrame, nodes: DataFrame, t: Tables) -> DataFrame:
+    """(key, node) of all tiles with more than one set, a stored table.
+
+    Copies leave first: which rows are copies is settled on ids alone, so keys
+    are not shuffled for it but for the few rows that a filter mistakes for one.
+    """
+    heads = nodes.where("many > 1").select("node", "head", "many")
+    rows = maybe_in(usable.select("id", "text_hash", "node"), filter_parts(heads, "node"), "node")
+    copies = t.stored(left_by(rows, heads, ["node"], "many", rows.count()).where("head IS NOT NULL AND NOT (id = head.id AND text_hash = head.text_hash)").select("id", "text_hash").distinct(), "copies")
+    name = ["id", "text_hash"]
+    keyed = marked(usable.select(*name, "node", "keys"), filter_parts(copies, *name), *name)
+    mistaken = t.stored(keyed.where("maybe__").select(*name).distinct().join(copies, name, "left_anti"), "mistaken")
+    late = maybe_in(keyed.where("maybe__").drop("maybe__"), filter_parts(mistaken, *name), *name).join(mistaken, name, "left_semi")
+    tiled = keyed.where("NOT maybe__").select("node", "keys").unionByName(late.select("node", "keys")).select("node", F.explode("keys").alias("key"))
+    # sets are distinct by now, so a key that comes twice is shared
+    shared = t.stored(tiled.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    return t.stored(maybe_in(tiled, filter_parts(shared, "key"), "key").distinct().join(shared, "key").select("key", "node"), "tiles")
+
+
+def marked_ids(ids: DataFrame) -> np.ndarray:
+    """The membership filter of (id, text_hash) as one array of bits, of fixed size."""
     out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in filter_parts(tiles, "id").collect():
+    for r in filter_parts(ids, "id", "text_hash").collect():
         at = int(r["part"]) * PART_BITS // 8
         out[at : at + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
 
 
-def with_sets(docs: DataFrame, marked: np.ndarray, params: JaccardParams) -> DataFrame:
-    """(id, n, bits, s) of the documents that pass the filter, one row an id.
+def with_sets(source: DataFrame, wanted: np.ndarray, params: JaccardParams) -> DataFrame:
+    """(node, s) of the documents that pass the filter.
 
-    The filter passes every document that shares a tile, and a few others, whose
-    sets are never asked for; so texts are not shuffled to find them.
+    The filter passes every document that is asked for, and a few others, whose
+    sets are never used; so texts are not shuffled to find them.
     """
-    words, bits = params.words, params.bitmap_bits
-    shared = docs.sparkSession.sparkContext.broadcast(marked)
+    words = params.words
+    shared = source.sparkSession.sparkContext.broadcast(wanted)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = batch.column("h").to_numpy(zero_copy_only=False)
             hit = (shared.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
-            batch = batch.filter(pa.array(hit))
-            sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s, bits).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["id", "n", "bits", "s"],
-            )
+            sets = [shingles(x, words) for x in batch.column("text").filter(pa.array(hit)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "s"])
 
-    return docs.where("id is not null").select("id", "text", filter_bit("id").alias("h")).mapInArrow(build, "id long, n long, bits binary, s binary").dropDuplicates(["id"])
+    return source.select("text", filter_bit("id", "text_hash").alias("h")).mapInArrow(build, "node long, s binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked: bit counts first, exact intersection after."""
-    side = lambda x, *columns: sets.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+def verified(pairs: DataFrame, bits: DataFrame, nodes: DataFrame, source: DataFrame, params: JaccardParams, t: Tables) -> DataFrame:
+    """The pairs (a, b) of nodes that are linked: bit counts first, exact intersection after."""
+    percent = params.percent
+    side = lambda table, x, *columns: table.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,51 +265,58 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(hold), batch.column("b").filter(hold)], names=["a", "b"])
 
     # the bitmaps, of fixed size, meet first; the sets only of pairs that they allow
-    sized = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    allowed = stored(sized.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bound, "a long, b long"), "allowed")
-    return allowed.join(side("a", "s"), "a").join(side("b", "s"), "b").select("a", "b", "s_a", "s_b").mapInArrow(exact, "a long, b long")
+    near = pairs.join(side(bits, "a", "n", "bits"), "a").join(side(bits, "b", "n", "bits"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    allowed = t.stored(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bound, "a long, b long"), "allowed")
+    ids = allowed.select(F.col("a").alias("node")).unionByName(allowed.select(F.col("b").alias("node"))).distinct()
+    sets = t.stored(with_sets(source, marked_ids(nodes.join(ids, "node").select("head.*")), params), "sets")
+    return allowed.join(side(sets, "a", "s"), "a").join(side(sets, "b", "s"), "b").select("a", "b", "s_a", "s_b").mapInArrow(exact, "a long, b long").distinct()
 
 
-def unresolved(tiles: DataFrame, found: DataFrame, sets: DataFrame, params: JaccardParams) -> DataFrame:
+def unresolved(tiles: DataFrame, found: DataFrame, bits: DataFrame, params: JaccardParams, t: Tables) -> DataFrame:
     """Candidate pairs across components in tiles that the first links leave divided.
 
-    Tiles with the same members count once. A large tile is cut into blocks,
-    and each pair of blocks is one group of bounded size.
+    Of a pair across components at most one lies in the tile's largest component,
+    so the members outside it are the queries and all members are searched. Both
+    are cut into blocks, and a block of queries with a block of members is one
+    group of bounded size. Tiles with the same members count once.
     """
     percent, block = params.percent, params.block
-    placed = tiles.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    divided = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where("low <> high")
-    once = divided.groupBy("who", "size").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / block).cast("long").alias("blocks"))
-    inside = placed.join(once, "key").select("key", "id", "component", "blocks", F.pmod(F.xxhash64("id", "key"), "blocks").alias("own"))
-    dealt = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-    )
+    placed = tiles.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
+    divided = parts.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("components"), F.max(F.struct("n", "component")).alias("largest"), F.sum("who").alias("who")).where("components > 1 AND size > 2")
+    once = divided.groupBy("who", "size").agg(F.min(F.struct("key", "largest")).alias("x")).select("x.key", F.col("x.largest.component").alias("largest"), F.ceil(F.col("size") / block).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("x.largest.n")) / block).cast("int").alias("asked"))
+    inside = t.stored(placed.join(once, "key"), "divided")
+    part = lambda n, seed: F.pmod(F.xxhash64("node", "key", F.lit(seed)), F.col(n)).cast("int")
+    members = inside.select("key", "node", "component", F.lit(False).alias("query"), part("blocks", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("j"))
+    queries = inside.where("component <> largest").select("key", "node", "component", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), part("asked", 2).alias("j"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["n", "id"])
-        n, ids, comp, own = (group[c].to_numpy() for c in ("n", "id", "component", "own"))
-        bits = np.stack([np.frombuffer(v, np.uint8) for v in group["bits"]]).view(np.uint64)
+        ask, own = group[group["query"]], group[~group["query"]].sort_values(["n", "node"])
+        stack = lambda g: np.stack([np.frombuffer(v, np.uint8) for v in g["bits"]]).view(np.uint64) if len(g) else np.zeros((0, 1), np.uint64)
+        bits, n, node, component = stack(own), own["n"].to_numpy(), own["node"].to_numpy(), own["component"].to_numpy()
         spare = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
         a, b = [], []
-        for k in range(len(n) - 1):
-            end = int(np.searchsorted(n, n[k] * 100 // percent, "right"))
-            if end <= k + 1:
-                continue
-            rest = slice(k + 1, end)
-            bound = np.bitwise_count(bits[k] & bits[rest]).sum(1, dtype=np.int64) + np.minimum(spare[k], spare[rest])
-            hit = (bound >= needed(n[k], n[rest], percent)) & (comp[rest] != comp[k])
-            if i != j:
-                hit &= own[rest] != own[k]
-            a += [ids[k]] * int(hit.sum())
-            b += ids[rest][hit].tolist()
+        for x, size, this, group_of in zip(stack(ask), ask["n"].to_numpy(), ask["node"].to_numpy(), ask["component"].to_numpy(), strict=True):
+            near = slice(int(np.searchsorted(n, -(-size * percent // 100))), int(np.searchsorted(n, size * 100 // percent, "right")))
+            bound = np.bitwise_count(bits[near] & x).sum(1, dtype=np.int64) + np.minimum(size - int(np.bitwise_count(x).sum()), spare[near])
+            hit = (bound >= needed(size, n[near], percent)) & (component[near] != group_of)
+            a += [this] * int(hit.sum())
+            b += node[near][hit].tolist()
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    withbits = dealt.join(sets.select("id", "n", "bits"), "id")
-    return withbits.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = members.unionByName(queries).join(bits, "node").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, params: JaccardParams | None = None) -> DataFrame:
-    """The documents whose id is the smallest of their group; documents without words all stay."""
-    groups = jaccard_groups(docs, params).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti")
+    """Of each group the document with the smallest id (and text hash); documents without words all stay.
+
+    A null id stands behind all others, so a copy without id goes. Rows that
+    repeat an id and its text are one document and stay or go together.
+    """
+    gone = jaccard_rows(docs, params).where("id <> keep.id OR text_hash <> keep.text_hash").select("id", "text_hash").distinct()
+    rows = docs.withColumns({"id__": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "hash__": F.coalesce(F.xxhash64("text"), F.lit(0))})
+    gone = gone.select(F.col("id").alias("id__"), F.col("text_hash").alias("hash__"))
+    rows = marked(rows, filter_parts(gone, "id__", "hash__"), "id__", "hash__")
+    unsure = rows.where("maybe__").join(gone, ["id__", "hash__"], "left_anti")
+    return rows.where("NOT maybe__").select(docs.columns).unionByName(unsure.select(docs.columns))
