@@ -16,15 +16,30 @@ def lexicon(groups: dict[str, list[str]]) -> str:
     return "array(" + ", ".join(rows) + ")"
 
 
+#: Values that one fold adds up; longer arrays are cut into such chunks, so that running sums cost no square.
+CHUNK = 256
+
+
+def running_sums(values: str) -> str:
+    """SQL of the running sums of an array of ints."""
+    none = "named_struct('s', 0, 'a', cast(array() as array<int>))"
+    fold = "aggregate({}, " + none + ", (acc, x) -> named_struct('s', acc.s + {}, 'a', concat(acc.a, array(acc.s + {}))))"
+    chunks = f"transform(sequence(0, cast(greatest(size(values) - 1, 0) div {CHUNK} as int)), k -> slice(values, k * {CHUNK} + 1, {CHUNK}))"
+    sums = f"transform({chunks}, part -> {fold.format('part', 'x', 'x')})"
+    # each chunk begins with what all chunks before it add up to
+    starts = fold.format("sums", "x.s", "x.s")
+    return f"transform(array({values}), values -> transform(array({sums}), sums -> transform(array({starts}.a), ends -> flatten(transform(sums, (p, k) -> transform(p.a, x -> x + ends[k] - p.s))))[0])[0])[0]"
+
+
 def offsets(text: str, regex: str) -> str:
     """SQL of the places, from 0, at which a lookahead regex matches: overlapping matches count.
 
-    The text is cut before each match, behind a sentinel that keeps a match at
-    its beginning; the lengths of the pieces give the places.
+    The text is cut before each match, behind a marker character that keeps a
+    match at its beginning; the lengths of the pieces give the places.
     """
     pieces = f"split(concat('\\u0001', {text}), {regex}, -1)"
-    fold = "aggregate(pieces, named_struct('n', 0, 'at', cast(array() as array<int>)), (acc, x) -> named_struct('n', acc.n + length(x), 'at', concat(acc.at, array(acc.n + length(x) - 1)))).at"
-    return f"transform(array({pieces}), pieces -> slice({fold}, 1, size(pieces) - 1))[0]"
+    lengths = f"transform(array({pieces}), p -> transform(slice(p, 1, size(p) - 1), x -> length(x)))[0]"
+    return f"transform({running_sums(lengths)}, n -> n - 1)"
 
 
 def phrase_spans(text: str, groups: dict[str, list[str]], whole_words: bool = False) -> Column:

@@ -64,14 +64,20 @@ def threshold_for_recall(df: DataFrame, target: float = 0.9) -> DataFrame:
     return t.orderBy(F.col("thr").desc()).limit(1).select(F.col("thr").alias("threshold"), "recall", "precision", f_beta(F.col("precision"), F.col("recall")).alias("f2"), ((F.col("tp") + F.col("fp")) / F.col("total")).alias("review_queue_fraction"))
 
 
-def ranking_areas(df: DataFrame) -> DataFrame:
-    """Average precision, area under the ROC curve (ties half) and Brier score.
+def ranking_areas(df: DataFrame, ranges: int = 256) -> DataFrame:
+    """Average precision, area under the ROC curve (ties half) and Brier score. Scores lie in 0 to 1.
 
-    Sums run over distinct scores after grouping.
+    Sums run over distinct scores after grouping: inside equal ranges of the
+    score, each with what all ranges above it add up to. A range's window is one
+    task, so no task holds all scores; the sums of the ranges are few.
     """
-    g = df.groupBy("p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count("*").alias("n"), F.sum((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("square"))
-    down = Window.orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = g.withColumns({"tp": F.sum("pos").over(down), "called": F.sum("n").over(down)}).withColumn("neg", F.col("n") - F.col("pos"))
+    place = F.least(F.lit(ranges - 1), F.greatest(F.lit(0), F.floor(F.col("p") * ranges))).cast("int")
+    g = df.groupBy("p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count("*").alias("n"), F.sum((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("square")).withColumn("range", place)
+    above = g.groupBy("range").agg(F.sum("pos").alias("own_pos"), F.sum("n").alias("own_n"))
+    higher = Window.orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    above = above.select("range", (F.sum("own_pos").over(higher) - F.col("own_pos")).alias("pos_above"), (F.sum("own_n").over(higher) - F.col("own_n")).alias("n_above"))
+    down = Window.partitionBy("range").orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = g.join(F.broadcast(above), "range").withColumns({"tp": F.col("pos_above") + F.sum("pos").over(down), "called": F.col("n_above") + F.sum("n").over(down)}).withColumn("neg", F.col("n") - F.col("pos"))
     # of each score's negatives, the positives above and half of those at it rank before
     return c.agg(
         (F.sum(F.col("pos") * F.col("tp") / F.col("called")) / F.sum("pos")).alias("average_precision"),
@@ -89,8 +95,36 @@ def class_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return c.select("c", "support", "precision", "recall", f_beta(F.col("precision"), F.col("recall"), 1.0).alias("f1"))
 
 
-def stratified_split(df: DataFrame, stratum: str, key: str, shares: tuple[float, float] = (0.6, 0.2)) -> DataFrame:
-    """Adds `part`: train, validation or test, in exact shares of each stratum by the order of a hash of the key."""
+def stratified_split(df: DataFrame, stratum: str, key: str, shares: tuple[float, float] = (0.6, 0.2), buckets: int = 1024) -> DataFrame:
+    """Adds `part`: train, validation or test, in exact shares of each stratum by the order of a hash of the key.
+
+    The hash deals a stratum into buckets; a row's place is its place in its
+    bucket behind the rows of the buckets before, so no task ranks a whole
+    stratum. The buckets' counts are few whatever the rows, and are broadcast.
+    """
+    h = F.xxhash64(key)
+    rows = df.withColumn("b__", F.floor((h / 2.0**63 + 1) * (buckets / 2)).cast("int"))
+    counts = rows.groupBy(stratum, "b__").agg(F.count("*").alias("n__"))
     w = Window.partitionBy(stratum)
-    place = F.row_number().over(w.orderBy(F.xxhash64(key), key)) / F.count("*").over(w)
-    return df.withColumn("part", F.when(place <= shares[0], "train").when(place <= sum(shares), "validation").otherwise("test"))
+    counts = counts.select(F.col(stratum).alias("s__"), F.col("b__").alias("c__"), (F.sum("n__").over(w.orderBy("b__")) - F.col("n__")).alias("before__"), F.sum("n__").over(w).alias("all__"))
+    rows = rows.join(F.broadcast(counts), F.col(stratum).eqNullSafe(F.col("s__")) & (F.col("b__") == F.col("c__")))
+    place = (F.col("before__") + F.row_number().over(Window.partitionBy(stratum, "b__").orderBy(h, key))) / F.col("all__")
+    part = F.when(place <= shares[0], "train").when(place <= sum(shares), "validation").otherwise("test")
+    return rows.withColumn("part", part).select(*df.columns, "part")
+
+
+def span_scores(gold: DataFrame, found: DataFrame, span: list[str], by: str) -> DataFrame:
+    """(by, tp, gold, told, precision, recall, f1) of exactly equal spans; equal spans match one to one."""
+    g = gold.groupBy(*span).agg(F.count("*").alias("g"))
+    p = found.groupBy(*span).agg(F.count("*").alias("p"))
+    both = g.join(p, span, "full").groupBy(by).agg(F.sum(F.coalesce(F.least("g", "p") * F.when(F.col("g").isNotNull() & F.col("p").isNotNull(), 1), F.lit(0))).alias("tp"), F.coalesce(F.sum("g"), F.lit(0)).alias("gold"), F.coalesce(F.sum("p"), F.lit(0)).alias("told"))
+    both = both.withColumns({"precision": ratio(F.col("tp"), F.col("told")), "recall": ratio(F.col("tp"), F.col("gold"))})
+    return both.withColumn("f1", f_beta(F.col("precision"), F.col("recall"), 1.0))
+
+
+def class_overall(df: DataFrame, truth: str, first: str, second: str) -> DataFrame:
+    """top1 and top2 accuracy, macro_f1 and weighted_f1, from one count of (truth, first, second)."""
+    n = df.groupBy(truth, first, second).agg(F.count("*").alias("n"))
+    top = n.agg((F.sum(F.when(F.col(truth) == F.col(first), F.col("n")).otherwise(0)) / F.sum("n")).alias("top1"), (F.sum(F.when((F.col(truth) == F.col(first)) | (F.col(truth) == F.col(second)), F.col("n")).otherwise(0)) / F.sum("n")).alias("top2"))
+    per = class_metrics(df, truth, first)
+    return top.crossJoin(per.agg(F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1")))  # one row each

@@ -37,13 +37,6 @@ def admitted(events: DataFrame, keys: list[str], ts: str, seconds: float, order:
     return rows.mapInPandas(run, schema)
 
 
-def folded_admissions(events: DataFrame, keys: list[str], ts: str, seconds: float, order: str) -> DataFrame:
-    """The same as admitted() for keys of few events each: one fold a key, all in the JVM. Returns keys and `order`."""
-    rows = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(order).alias("id")))).alias("e"))
-    fold = f"aggregate(e, named_struct('last', cast(null as bigint), 'ids', cast(array() as array<bigint>)), (acc, x) -> IF(acc.last IS NULL OR x.t - acc.last >= {int(seconds * 1e6)}L, named_struct('last', x.t, 'ids', concat(acc.ids, array(x.id))), acc)).ids"
-    return rows.select(*keys, F.explode(F.expr(fold)).alias(order))
-
-
 def latest_state(events: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """Upsert: the last row of each key."""
     w = Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order))
@@ -79,12 +72,27 @@ def growth(events: DataFrame, key: str, order: list[str], value: str, frames: in
     return out.withColumn("growth", F.when(n >= least, F.expr("(h__[size(h__) - 1] + h__[size(h__) - 2]) / 2 - (h__[0] + h__[1]) / 2"))).drop("h__")
 
 
-def adaptive_baseline(events: DataFrame, key: str, order: str, value: str, *, alpha: float = 0.10, slow: float = 0.02, obscured: float = 0.5, ready: int = 15) -> DataFrame:
-    """(key, order, value, baseline): a running mean that follows slowly while a value falls under `obscured` of it; null until it is ready."""
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("e"))
-    nxt = f"IF(acc.b IS NULL, x.v, acc.b + IF(acc.n >= {ready} AND x.v < {obscured} * acc.b, {slow}, {alpha}) * (x.v - acc.b))"
-    fold = f"aggregate(e, named_struct('b', cast(null as double), 'n', 0, 'all', cast(array() as array<struct<o:{events.schema[order].dataType.simpleString()},v:double,baseline:double>>)), (acc, x) -> named_struct('b', {nxt}, 'n', acc.n + 1, 'all', concat(acc.all, array(named_struct('o', x.o, 'v', x.v, 'baseline', IF(acc.n + 1 >= {ready}, {nxt}, cast(null as double))))))).all"
-    return rows.select(key, F.explode(F.expr(fold)).alias("x")).select(key, F.col("x.o").alias(order), F.col("x.v").alias(value), "x.baseline")
+def adaptive_baseline(events: DataFrame, key: str, order: list[str], value: str, *, alpha: float = 0.10, slow: float = 0.02, obscured: float = 0.5, ready: int = 15) -> DataFrame:
+    """Adds `baseline`: a running mean that follows slowly while a value falls under `obscured` of it; null until it is ready.
+
+    Like admitted(), this streams each key's sorted rows and carries two numbers a key.
+    """
+    rows = events.repartition(key).sortWithinPartitions(key, *order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now_key, base, n = None, 0.0, 0
+        for batch in batches:
+            out = []
+            for k, v in zip(batch[key], batch[value].astype(float), strict=True):
+                if n == 0 or k != now_key:
+                    now_key, base, n = k, v, 1
+                else:
+                    base += (slow if n >= ready and v < obscured * base else alpha) * (v - base)
+                    n += 1
+                out.append(base if n >= ready else None)
+            yield batch.assign(baseline=pd.array(out, dtype="Float64"))
+
+    return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", baseline double")
 
 
 def voice_clips(blocks: DataFrame, device: str, ts: str, rms: str, voice: float = 380, silence_ms: int = 2500, longest_ms: int = 30_000) -> DataFrame:

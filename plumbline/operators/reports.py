@@ -16,7 +16,7 @@ from ..sources import lexicons as L
 from .summary import bucket as bucket_rule
 from .summary import evidence_strength
 
-#: Pathways by which energy does harm, in order: words of the energy type, hazard category, rule.
+# Pathways by which energy does harm, in order: words of the energy type, hazard category, rule.
 PATHWAYS = (
     ("suspended_load", ("suspended",), "safe_mechanical_lifting", "Safe Mechanical Lifting"),
     ("electrical_isolation", ("electrical",), "energy_isolation", "Energy Isolation"),
@@ -27,11 +27,11 @@ PATHWAYS = (
     ("line_of_fire_burst", ("line of fire", "kinetic"), "line_of_fire", "Line of Fire"),
 )
 # Cues of the consistency checks.
-CLEARANCE = L.words("area was clear of workers, area was cleared of workers, area was clear of all personnel, area was cleared of all workers, area was cleared of all personnel, barricaded with no entry, no personnel were in the vicinity, no workers were present")
-NEAR = L.words("directly under, directly beneath, worker beneath, worker directly under, under crane arm, inside the equipment, worker entered, personnel entered, entered the vessel, in the line of fire, worker below")
-LIVE = L.words("live circuit, energized, live wire, arc flash, live switchboard")
-UNHARMED = L.words("no injury occurred, no injury, no personnel injured, zero injury, near miss, corrected before escalation, deflected by netting, worker ducked, narrowly avoided")
-EXPOSED = L.words("worker was exposed, personnel were exposed, exposed to an energized electrical component, exposed to electrical energy, was exposed to, worker exposed to")
+CLEARANCE = ["area was clear of workers", "area was cleared of workers", "area was clear of all personnel", "area was cleared of all workers", "area was cleared of all personnel", "barricaded with no entry", "no personnel were in the vicinity", "no workers were present"]
+NEAR = ["directly under", "directly beneath", "worker beneath", "worker directly under", "under crane arm", "inside the equipment", "worker entered", "personnel entered", "entered the vessel", "in the line of fire", "worker below"]
+LIVE = ["live circuit", "energized", "live wire", "arc flash", "live switchboard"]
+UNHARMED = ["no injury occurred", "no injury", "no personnel injured", "zero injury", "near miss", "corrected before escalation", "deflected by netting", "worker ducked", "narrowly avoided"]
+EXPOSED = ["worker was exposed", "personnel were exposed", "exposed to an energized electrical component", "exposed to electrical energy", "was exposed to", "worker exposed to"]
 
 
 @dataclass(frozen=True)
@@ -73,6 +73,18 @@ def any_of(cues: list[str]) -> Column:
     return F.expr("exists(array(" + ", ".join(T.sql_text(c) for c in cues) + "), c -> contains(lc, c))")
 
 
+def keyword_verdict(text: str, cues: list[list[str]], most: int = 6) -> Column:
+    """The baseline rule: of every list of cues one of the first few is in the text, whatever its case."""
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+    out = F.lit(True)
+    for some in cues:
+        hit = F.lit(False)
+        for cue in some[:most]:
+            hit = hit | F.contains(lower, F.lit(cue.lower()))
+        out = out & hit
+    return out
+
+
 def extracted(reports: DataFrame, params: ReportParams | None = None, text: str = "text") -> DataFrame:
     """Adds the evidence of each report: hazard, activity, exposure and barrier with their spans.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,20 +17,40 @@ def cosine(a: str, b: str) -> Column:
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x as double) * y), 0D, (s, x) -> s + x) / ({norm(a)} * {norm(b)})")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, blocks: int = 16) -> DataFrame:
-    """(query_id, id, rank): the k nearest vectors of each query by cosine, the smaller id first among equals.
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """(query_id, id, rank, similarity): the k nearest vectors of each query by cosine, the smaller id first among equals.
 
-    queries (query_id, q) is a stated set; vectors (id, v) are dealt into blocks
-    and each block keeps its k best of every query before the blocks meet.
+    queries (query_id, q) is a stated set; vectors (id, v). Both are dealt into
+    blocks of about so many rows, so there are as many blocks as the tables
+    need; each pair of blocks is one product of two matrices, and gives its k
+    best for every query before the blocks meet.
     """
-    unit = lambda v: F.expr(f"transform({v}, x -> cast(x as double) / {norm(v)})")
-    left = queries.select("query_id", unit("q").alias("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = vectors.select("id", unit("v").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    dot = F.expr("aggregate(zip_with(q, v, (x, y) -> x * y), 0D, (s, x) -> s + x)")
-    scored = left.join(right, "block").where("id <> query_id").select("query_id", "id", "block", dot.alias("similarity"))
-    order = [F.col("similarity").desc(), F.col("id")]
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*order))).where(F.col("r") <= k)
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "id", F.col("rank").cast("long").alias("rank"), "similarity")
+    left_blocks, right_blocks = (max(1, -(-df.count() // block)) for df in (queries, vectors))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    as_double = lambda v: F.expr(f"transform({v}, x -> cast(x as double))")
+    left = queries.select(F.lit(True).alias("query"), F.col("query_id").alias("id"), as_double("q").alias("v"), part("query_id", left_blocks).alias("i")).withColumn("j", every(right_blocks))
+    right = vectors.select(F.lit(False).alias("query"), "id", as_double("v").alias("v"), part("id", right_blocks).alias("j")).withColumn("i", every(left_blocks)).select("query", "id", "v", "i", "j")
+
+    def best(group: pd.DataFrame) -> pd.DataFrame:
+        ask, own = group[group["query"]], group[~group["query"]].sort_values("id")
+        out = {"query_id": [], "id": [], "similarity": []}
+        if len(ask) and len(own):
+            unit = lambda g: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9))(np.stack(g["v"].to_numpy()))
+            ids, scores = own["id"].to_numpy(), unit(ask) @ unit(own).T
+            for query, row in zip(ask["id"].tolist(), scores, strict=True):
+                row = np.where(ids == query, -np.inf, row)
+                least = np.partition(row, -min(k, len(row)))[-min(k, len(row))]
+                near = np.flatnonzero((row >= least) & (row > -np.inf))
+                near = near[np.argsort(-row[near], kind="stable")][:k]  # ids ascend, so the smaller comes first
+                out["query_id"] += [query] * len(near)
+                out["id"] += ids[near].tolist()
+                out["similarity"] += row[near].tolist()
+        return pd.DataFrame({"query_id": np.array(out["query_id"], np.int64), "id": np.array(out["id"], np.int64), "similarity": np.array(out["similarity"], float)})
+
+    met = left.unionByName(right).groupBy("i", "j").applyInPandas(best, "query_id long, id long, similarity double")
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")).cast("long"))
+    return ranked.where(F.col("rank") <= k).select("query_id", "id", "rank", "similarity")
 
 
 def weighted_vote(neighbours: DataFrame, labels: DataFrame) -> DataFrame:

@@ -130,3 +130,14 @@ def rollup(hierarchy: DataFrame, target: str, member: str) -> DataFrame:
     own = hierarchy.select(F.col(target).alias("target"), F.col(target).alias("member"))
     below = hierarchy.select(F.col(target).alias("target"), F.col(member).alias("member"))
     return own.union(below).distinct()
+
+
+def legacy_bucket(score, flagged, high: float = 0.75, low: float = 0.25):
+    """Routing by a single score, as older models had it."""
+    sure = F.when(flagged, score >= high).otherwise(score >= 1 - low)
+    return F.when(~sure, "LOW_CONF_REVIEW").when(flagged, "HIGH_CONF_SIF").otherwise("HIGH_CONF_NON_SIF")
+
+
+def score_band(score, high: float = 0.75, low: float = 0.25):
+    """high, low, or review between the two thresholds."""
+    return F.when(score >= high, "high").when(score <= low, "low").otherwise("review")

@@ -192,19 +192,19 @@ ITEMS = ", ".join(f"CASE WHEN {f} NOT IN ('', 'N/A', 'unknown') THEN '{f}=' || {
 ITEMS_SQL = f"""
 , t AS MATERIALIZED (SELECT row_number() OVER (ORDER BY report_id, ts) AS id, list_filter([{ITEMS}], lambda x: x IS NOT NULL) AS items FROM frames),
 n AS (SELECT count(*) AS n, greatest(2, CAST(floor(0.005::DOUBLE * count(*)) AS BIGINT)) AS least FROM t WHERE len(items) > 0),
-i AS (SELECT id, unnest(items) AS x FROM t),
+i AS MATERIALIZED (SELECT id, unnest(items) AS x FROM t),
 c AS (SELECT [x] AS items, count(*) AS k FROM i GROUP BY x
   UNION ALL SELECT [a.x, b.x], count(*) FROM i a JOIN i b ON a.id = b.id AND a.x < b.x GROUP BY a.x, b.x
   UNION ALL SELECT [a.x, b.x, c.x], count(*) FROM i a JOIN i b ON a.id = b.id AND a.x < b.x JOIN i c ON a.id = c.id AND b.x < c.x GROUP BY a.x, b.x, c.x),
-f AS (SELECT items, k FROM c, n WHERE k >= least),
-r AS (SELECT list_filter(items, lambda y: y <> x) AS a, x, k AS k2 FROM (SELECT items, k, unnest(items) AS x FROM f WHERE len(items) > 1) WHERE split_part(x, '=', 1) IN ('exposure', 'barrier_status', 'barrier_failure_mode')),
-rules AS (SELECT array_to_string(a, ' + ') AS antecedent, a, x AS consequent, k2 AS report_count, k2 / n AS support, k2 / l.k AS confidence, g.k / n AS baseline, k2 / l.k / (g.k / n) AS lift FROM r JOIN f l ON l.items = a JOIN f g ON g.items = [x], n
+f AS MATERIALIZED (SELECT array_to_string(items, ' + ') AS name, items, k FROM c, n WHERE k >= least),
+r AS MATERIALIZED (SELECT list_filter(items, lambda y: y <> x) AS a, x, k AS k2 FROM (SELECT items, k, unnest(items) AS x FROM f WHERE len(items) > 1) WHERE split_part(x, '=', 1) IN ('exposure', 'barrier_status', 'barrier_failure_mode')),
+rules AS MATERIALIZED (SELECT array_to_string(a, ' + ') AS antecedent, a, x AS consequent, k2 AS report_count, k2 / n AS support, k2 / l.k AS confidence, g.k / n AS baseline, k2 / l.k / (g.k / n) AS lift FROM r JOIN f l ON l.name = array_to_string(a, ' + ') JOIN f g ON g.name = x, n
   WHERE k2 / l.k >= 0.2::DOUBLE AND k2 / l.k / (g.k / n) >= 1.01::DOUBLE
   AND NOT (x LIKE 'barrier_status=%' AND len(list_filter(a, lambda y: y LIKE 'barrier_failure_mode=%')) > 0) AND NOT (x LIKE 'barrier_failure_mode=%' AND len(list_filter(a, lambda y: y LIKE 'barrier_status=%')) > 0))
 """
 
 
-@query(with_frames(ITEMS_SQL + "SELECT array_to_string(items, ' + ') AS items, k AS n FROM f"))
+@query(with_frames(ITEMS_SQL + "SELECT name AS items, k AS n FROM f"))
 def itemset_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets, _, _ = mining.itemset_counts(frames(spark, sf_dir), RULES)
     return sets.select(F.array_join("items", " + ").alias("items"), "n")
@@ -227,7 +227,7 @@ def pattern_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.signatures(frames(spark, sf_dir))
 
 
-#: Clusters of the queries: by three fields, so that groups recur at every scale.
+#: Clusters of the queries: by four fields, so that groups recur at every scale.
 FEW = ("activity", "barrier_type", "barrier_status", "exposure")
 MEMBERS_SQL = ", members AS (SELECT concat_ws('|', activity, barrier_type, barrier_status, exposure) AS cluster_id, * FROM frames)"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, tables, texts
+from . import analytics, tables, texts, workflow
 
-QUERIES: dict = analytics.QUERIES | tables.QUERIES | texts.QUERIES
-ORACLES: dict[str, str] = analytics.ORACLES | tables.ORACLES | texts.ORACLES
+QUERIES: dict = analytics.QUERIES | tables.QUERIES | texts.QUERIES | workflow.QUERIES
+ORACLES: dict[str, str] = analytics.ORACLES | tables.ORACLES | texts.ORACLES | workflow.ORACLES

@@ -99,7 +99,7 @@ def event_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(recurrence_sql(["user_id"], 21600).replace("SELECT event_id, ts FROM a", "SELECT event_id FROM a"))
 def event_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
-    return events.folded_admissions(e, ["user_id"], "ts", 21600, "event_id").select("event_id")
+    return events.admitted(e, ["user_id"], "ts", 21600, "event_id").select("event_id")
 
 
 @query("""WITH c AS (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY ALL), l AS (SELECT *, lag(n) OVER (PARTITION BY event_type ORDER BY h) AS before FROM c)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation, events, models, ranking
-from ..operators.reports import ReportParams, assessed
+from ..operators.reports import ReportParams, assessed, extracted
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -47,15 +47,24 @@ def doc_best_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans(spark, sf_dir).select("doc_id", T.best_category("spans", WORDS).alias("best"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '#[0-9]+', '', 'g'), '[ \\t\\n\\r\\f\\v]+([.,])', '\\1', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS tidy FROM documents WHERE NOT regexp_matches(text, '(?i)[(].*ref.*[)]')")
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)[(].*?ref.*?[)]', '', 'g'), '#[0-9]+', '', 'g'), '[ \t\n\r\f\v]+([.,])', '\1', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS tidy FROM documents")
 def doc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"(?i)[(].*ref.*[)]"))
-    return d.select("doc_id", T.tidied(F.col("text")).alias("tidy"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.tidied(F.col("text")).alias("tidy"))
+
+
+@query(r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)[(].*?ref.*?[)]', '', 'g'), '#[0-9]+', '', 'g'), '[ \t\n\r\f\v]+([.,])', '\1', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS tidy FROM (SELECT conv_id, turn, '(see Ref ' || conv_id || ') ' || text || ' , tag #' || turn || '7 .' AS t FROM conversations)")
+def turn_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn between a remark to a reference and a tag number, which the rules take away."""
+    c = table(spark, sf_dir, "conversations")
+    said = F.concat(F.lit("(see Ref "), F.col("conv_id").cast("string"), F.lit(") "), F.col("text"), F.lit(" , tag #"), F.col("turn").cast("string"), F.lit("7 ."))
+    return c.select("conv_id", "turn", T.tidied(said).alias("tidy"))
 
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
 def doc_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
+    """Texts are grouped by length and two 64-bit hashes, so no text is shuffled."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    return d.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
 @query("SELECT conv_id, string_agg(trim(text), ' ' ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id HAVING length(string_agg(trim(text), ' ' ORDER BY turn)) >= 200")
@@ -70,6 +79,19 @@ def source_first_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.first_mode(table(spark, sf_dir, "documents").select("source", "lang", "doc_id"), ["source"], "lang", "doc_id").withColumnRenamed("lang", "mode")
 
 
+COUNTED = "SELECT doc_id, t, (length(t) - length(replace(t, 'of the', ''))) // 6 AS nd, (length(t) - length(replace(t, 'der', ''))) // 3 AS ni, strpos(t, 'of the') AS fd, strpos(t, 'der') AS fi, contains(t, 'es que') AS clear FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)"
+
+
+@query(f"""WITH c AS ({COUNTED}), n AS (SELECT *, CASE WHEN nd = 0 AND ni = 0 THEN NULL WHEN nd > ni OR (nd = ni AND fd < fi) THEN 'direct_proximity' ELSE 'indirect_proximity' END AS nearest FROM c)
+SELECT doc_id, CASE WHEN clear AND coalesce(nearest, '') <> 'direct_proximity' THEN 'no_exposure' WHEN nearest IS NOT NULL THEN nearest ELSE 'unspecified' END AS exposure, clear AND nearest IS NOT NULL AS contradiction,
+  CASE WHEN contains(t, 'worthless') THEN 1.0::DOUBLE WHEN contains(t, 'stupid') THEN 0.6::DOUBLE END AS gap FROM n""")
+def report_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exposure, its contradiction and the gap of named barrier states, with lexicons of the tables' own words."""
+    own = ReportParams(hazards=WORDS, activities=WORDS, exposures={"direct_proximity": ["of the"], "indirect_proximity": ["der"]}, no_exposure=["es que"], absences=["worthless"], uncertainties=["stupid"], barrier_terms=["no such barrier"], confirmations=["none"])
+    d = extracted(table(spark, sf_dir, "documents").select("doc_id", "text"), own)
+    return d.select("doc_id", "exposure", F.col("exposure_contradiction").alias("contradiction"), F.col("gap_severity").alias("gap"))
+
+
 @query()
 def doc_assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole report chain over every document, with lexicons of the tables' own words; checked by narrative tests."""

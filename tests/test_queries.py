@@ -108,7 +108,6 @@ def test_admissions_stream_and_batch_agree(spark, tmp_path):
             last[u] = t
             want.add(k)
     assert {r.event_id for r in events.admitted(df, ["user_id"], "ts", 60, "event_id").collect()} == want
-    assert {r.event_id for r in events.folded_admissions(df, ["user_id"], "ts", 60, "event_id").collect()} == want
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
     q = state.cooled_down(stream, ["user_id"], "ts", 60, "event_id").writeStream.format("memory").queryName("cooled").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
