@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, stored
 
 
 @dataclass(frozen=True)
@@ -71,6 +71,21 @@ def holds_share(grams: set[tuple[bytes, ...]], passage: list[bytes], share: floa
     return not grams or len(grams & {tuple(passage[k : k + n]) for k in range(len(passage) - n + 1)}) >= share * len(grams)
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of the whole benchmark: items, words of the longest and of the mean one, and items that hold a word (of an index's words)."""
+
+    items: int
+    longest: int
+    mean: float
+    frequency: dict[bytes, int]
+
+    @staticmethod
+    def of(bags: list[Counter]) -> Statistics:
+        size = [b.total() for b in bags]
+        return Statistics(len(bags), max(size, default=0), sum(size) / max(len(bags), 1), Counter(w for b in bags for w in b))
+
+
 class Index:
     """Postings by item with the greatest impact of each block.
 
@@ -82,19 +97,18 @@ class Index:
     score decides.
     """
 
-    def __init__(self, items: list[tuple[int, str]], params: DecontaminationParams):
+    def __init__(self, items: list[tuple[int, str]], params: DecontaminationParams, whole: Statistics | None = None):
         self.params = params
         self.ids = [i for i, _ in items]
         bags = [Counter(words_of(t)) for _, t in items]
-        self.longest = max((sum(b.values()) for b in bags), default=0)
-        mean = sum(sum(b.values()) for b in bags) / max(len(bags), 1)
-        frequency = Counter(w for b in bags for w in b)
+        whole = whole or Statistics.of(bags)
+        self.longest, mean, frequency = whole.longest, whole.mean, whole.frequency
         self.terms = {w: k for k, w in enumerate(sorted(frequency))}
         self.share: list[dict[bytes, float]] = []
         holders: dict[bytes, list[int]] = {}
         for k, bag in enumerate(bags):
             size = sum(bag.values())
-            raw = {w: math.log(1 + (len(bags) - frequency[w] + 0.5) / (frequency[w] + 0.5)) * n * (params.k1 + 1) / (n + params.k1 * (1 - params.b + params.b * size / mean)) for w, n in bag.items()}
+            raw = {w: math.log(1 + (whole.items - frequency[w] + 0.5) / (frequency[w] + 0.5)) * n * (params.k1 + 1) / (n + params.k1 * (1 - params.b + params.b * size / mean)) for w, n in bag.items()}
             total = sum(raw.values())
             self.share.append({w: x / total for w, x in raw.items()})
             for w in bag:
@@ -226,42 +240,67 @@ class Index:
         return found
 
 
+def indexes(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams) -> Iterator[tuple]:
+    """(items, statistics) of one index after another, broadcast, in order of (item_id, text).
+
+    Counts are taken by Spark over the whole benchmark, so an item's score does
+    not depend on the other items of its index. Each index brings at most
+    items_per_index items, and the counts of their words, to the driver.
+    """
+    spark = docs.sparkSession
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [words_of(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("text"), pa.array([len(w) for w in own], pa.int64()), pa.array([sorted(set(w)) for w in own], pa.list_(pa.binary()))], names=["item_id", "text", "size", "words"])
+
+    items = benchmark.where("item_id is not null and length(trim(text)) > 0").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    items = stored(items.mapInArrow(words, "item_id long, text string, size long, words array<binary>"), "items")
+    whole = items.agg(F.count("*").alias("items"), F.max("size").alias("longest"), F.avg("size").alias("mean")).first()
+    if not whole["items"]:
+        return
+    frequency = stored(items.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "frequency")
+    last = None
+    while True:
+        behind = items if last is None else items.where((F.col("item_id") > last["item_id"]) | ((F.col("item_id") == last["item_id"]) & (F.col("text") > last["text"])))
+        some = behind.orderBy("item_id", "text").limit(params.items_per_index)
+        rows = some.select("item_id", "text").collect()
+        if rows:
+            own = some.select(F.explode("words").alias("word")).distinct().join(frequency, "word").collect()
+            statistics = Statistics(whole["items"], whole["longest"], whole["mean"], {bytes(r["word"]): r["n"] for r in own})
+            yield spark.sparkContext.broadcast(([(r["item_id"], r["text"]) for r in rows], statistics))
+        if len(rows) < params.items_per_index:
+            return
+        last = max(rows, key=lambda r: (r["item_id"], r["text"].encode("utf-8", "replace")))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams | None = None) -> DataFrame:
     """(doc_id, item_id, score) of every benchmark item that a document holds.
 
-    Items are read in id order in groups of bounded size, one broadcast index
-    each, so the benchmark may grow without any broadcast growing. Null or empty
-    items and texts match nothing; null ids of documents are kept as they are;
+    Items are read in order in groups of bounded size, one broadcast index each,
+    so the benchmark may grow without any broadcast growing. Null or empty items
+    and texts match nothing; null ids of documents are kept as they are;
     repeated rows give repeated results; without items there are no rows.
     """
     params = params or DecontaminationParams()
     spark = docs.sparkSession
     arrow_rows(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.where("item_id is not null and length(trim(text)) > 0").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    out = None
-    last = None
-    while True:
-        some = (items if last is None else items.where(F.col("item_id") > last)).dropDuplicates(["item_id", "text"]).orderBy("item_id", "text").limit(params.items_per_index).collect()
-        if not some:
-            break
-        last = some[-1]["item_id"]
-        found = rows.mapInArrow(search_with(spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in some]), params), "doc_id long, item_id long, score double")
-        out = found if out is None else out.unionByName(found)
-        if len(some) < params.items_per_index:
-            break
-    return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, score double")
-
-
-def search_with(items, params: DecontaminationParams):
+    out = spark.createDataFrame([], "doc_id long, item_id long, score double")
+    for index in indexes(docs, benchmark, params):
+        out = out.unionByName(rows.mapInArrow(search_with(index, params), "doc_id long, item_id long, score double"))
+    return out
+
+
+def search_with(index, params: DecontaminationParams):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items.value, params)
+        own = Index(index.value[0], params, index.value[1])
         for batch in batches:
             docs, found, scores = [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for item, score in sorted(index.matches(words_of(text)).items()):
+                for item, score in sorted(own.matches(words_of(text)).items()):
                     docs.append(doc)
-                    found.append(index.ids[item])
+                    found.append(own.ids[item])
                     scores.append(score)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "item_id", "score"])
 
@@ -269,6 +308,21 @@ def search_with(items, params: DecontaminationParams):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams | None = None) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    bad = contaminated(docs, benchmark, params).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The documents that hold no benchmark item, with all their columns.
+
+    Each row is judged by its own text where it is read, whatever its id.
+    """
+    params = params or DecontaminationParams()
+    arrow_rows(docs.sparkSession)
+
+    def clean_of(index):
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = Index(index.value[0], params, index.value[1])
+            for batch in batches:
+                yield batch.filter(pa.array([not own.matches(words_of(t)) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+        return clean
+
+    for index in indexes(docs, benchmark, params):
+        docs = docs.mapInArrow(clean_of(index), docs.schema)
+    return docs

@@ -28,7 +28,8 @@ MARKUP = re.compile(
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>"']|"[^"]*"|'[^']*')*+)>|</?[a-zA-Z][^<>]*>""",
     re.S | re.I,
 )
-NAMES = re.compile(r"""\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # HTML's element kinds.
@@ -39,23 +40,29 @@ BLOCK = frozenset(
 CELL = frozenset(("td", "th"))
 #: Elements that hold no article text, whatever their names.
 OUTSIDE = frozenset("nav footer aside form head button menu dialog fieldset label input legend figcaption".split()) - {"figcaption"}
-#: Words in class, id or role that tell a menu, header, footer, sidebar, notice, advert, form or comments.
+#: Words in class, id or role that tell an advert, a menu, a sidebar, a notice or comments wherever they stand in a name.
 OUTSIDE_NAMES = frozenset(
-    "ad ads adsense advert adverts advertisement advertising adbox banner promo promos promotion sponsor sponsored "
-    "menu menus nav navbar navigation navi breadcrumb breadcrumbs header masthead topbar footer colophon copyright sidebar aside widget widgets rail "
-    "cookie cookies consent gdpr notice notices notification popup modal overlay alert disclaimer paywall subscribe subscription newsletter signup login register "
-    "share sharing social comment comments commentlist commentform respond reply replies disqus discussion feedback reader "
-    "related recommended recommendations trending popular search searchbox pagination pager toolbar skip complementary contentinfo".split()
+    "ad ads adsense advert adverts advertisement advertising adbox promo promos promotion sponsor sponsored "
+    "menu menus nav navbar navigation navi breadcrumb breadcrumbs masthead topbar colophon sidebar widget widgets "
+    "cookie cookies gdpr modal paywall newsletter comment comments commentlist commentform disqus "
+    "related recommended recommendations pagination pager toolbar complementary contentinfo".split()
+)
+#: Words that may also be a subject or a style: they tell it only as the whole of a name, or as its last word.
+OUTSIDE_ENDS = frozenset(
+    "banner header footer copyright aside rail consent notice notices notification popup overlay alert disclaimer subscribe subscription signup login register "
+    "share sharing social respond reply replies discussion feedback reader trending popular search searchbox skip".split()
 )
 #: A name that follows one of these is about a layout, not about the element.
 LAYOUT_NAMES = frozenset("has no with without hide show is page".split())
+#: The header of one of these is part of the article.
+ARTICLE_NAMES = frozenset("entry post article story content".split())
 CONTENT = frozenset(("article", "main"))
 KINDS = ("outside", "link", "item", "heading", "paragraph", "plain")
 
 
 @dataclass(frozen=True)
 class HtmlParams:
-    #: Pages that the weights are counted on, at most: those with the smallest hash of their id.
+    #: Pages that the weights are counted on, at most (but for ties): those with the smallest hash of their id.
     labelled_pages: int = 5_000
     most_weight: float = 3.0
     least_tag_cost: float = 0.05
@@ -65,31 +72,86 @@ class HtmlParams:
 DEFAULT_WEIGHTS = {"word outside": -0.5, "word link": -0.5, "word item": 0.2, "word heading": 1.0, "word paragraph": 1.0, "word plain": 0.5, "tag": -0.3}
 
 
+def tells_outside(value: str) -> bool:
+    """Whether a class, id or role has a name of an element outside the article."""
+    for word in value.split():
+        names = [x.lower() for x in PART.findall(word)]
+        for k, name in enumerate(names):
+            before = names[k - 1] if k else ""
+            if before in LAYOUT_NAMES or (name == "header" and before in ARTICLE_NAMES):
+                continue
+            if name in OUTSIDE_NAMES or (name in OUTSIDE_ENDS and k == len(names) - 1):
+                return True
+    return False
+
+
 def is_outside(name: str, attributes: str) -> bool:
+    """Whether an element is hidden, or told to be outside the article by its kind or its names."""
     if name in CONTENT or name in ("body", "html"):
         return False
     if name in OUTSIDE:
         return True
-    if attributes:
-        for m in NAMES.finditer(attributes):
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+    if attributes.strip(" /"):
+        for m in ATTRIBUTE.finditer(attributes):
+            key = m[1].lower()
             if key == "hidden":
-                return m[0].lower().split("=")[0].strip() == "hidden"
-            if key == "style":
-                if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                    return True
-                continue
-            for word in value.split():
-                names = [x.lower() for x in PART.findall(word)]
-                if any(n in OUTSIDE_NAMES and not (k and names[k - 1] in LAYOUT_NAMES) for k, n in enumerate(names)):
-                    return True
+                return True
+            value = m[2] or m[3] or m[4] or ""
+            if key == "aria-hidden" and value.strip().lower() == "true":
+                return True
+            if key == "style" and UNSEEN.search(value):
+                return True
+            if key in ("class", "id", "role") and tells_outside(value):
+                return True
     return False
 
 
+KIND = {"a": "link", "li": "item", "p": "paragraph", "blockquote": "paragraph", "pre": "paragraph", "td": "paragraph"} | {f"h{k}": "heading" for k in range(1, 7)}
+#: Elements that end an open one of the same name before them.
+CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
+
+
+class Open:
+    """The open elements: for each its name, whether it is outside, within content, and the kind of words in it.
+
+    Names are counted, so that a tag that closes nothing costs nothing however
+    deep the elements stand.
+    """
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool, str]] = []
+        self.count: Counter = Counter()
+
+    def top(self) -> tuple[str, bool, bool, str]:
+        return self.stack[-1] if self.stack else ("", False, False, "plain")
+
+    def push(self, name: str, outside: bool, within: bool) -> None:
+        kind = KIND.get(name) or ("plain" if name in BLOCK else self.top()[3])
+        self.stack.append((name, outside, within, kind))
+        self.count[name] += 1
+
+    def cut(self, k: int) -> None:
+        for entry in self.stack[k:]:
+            self.count[entry[0]] -= 1
+        del self.stack[k:]
+
+    def close(self, name: str, within_block: bool = False) -> None:
+        """Closes the last open element of that name and all inside it; with within_block not beyond a block element."""
+        if not self.count[name]:
+            return
+        for k in range(len(self.stack) - 1, -1, -1):
+            own = self.stack[k][0]
+            if own == name:
+                self.cut(k)
+                return
+            if within_block and own in BLOCK and not (name == "li" and own == "p"):
+                return
+
+
 def parse(html: str) -> list[tuple[str, str, bool, str]]:
     """Tokens (feature, text, inside a content element, break before): a tag has no text."""
     out: list[tuple[str, str, bool, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, outside, within content
+    elements = Open()
     gap, at = "", 0
 
     def words(a: int, b: int) -> None:
@@ -101,23 +163,8 @@ def parse(html: str) -> list[tuple[str, str, bool, str]]:
         if not text.strip():
             gap = gap or " "
             return
-        outside, within, kind = (stack[-1][1], stack[-1][2], "plain") if stack else (False, False, "plain")
-        if outside:
-            kind = "outside"
-        else:
-            for name, _, _ in reversed(stack):
-                if name == "a":
-                    kind = "link"
-                elif name == "li":
-                    kind = "item"
-                elif name in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                    kind = "heading"
-                elif name in ("p", "blockquote", "pre", "td"):
-                    kind = "paragraph"
-                elif name not in BLOCK:
-                    continue
-                break
-        out.append((f"word {kind}", text, within, gap))
+        _, outside, within, kind = elements.top()
+        out.append((f"word {'outside' if outside else kind}", text, within, gap))
         gap = ""
 
     for m in MARKUP.finditer(html):
@@ -132,28 +179,20 @@ def parse(html: str) -> list[tuple[str, str, bool, str]]:
             gap = "\n"
         elif name in CELL and gap != "\n":
             gap = " "
-        within = stack[-1][2] if stack else False
+        within = elements.top()[2]
         out.append((f"tag {name}", "", within, ""))
         if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            elements.close(name)
         elif name not in VOID:
             if name in CONTENT and not within:  # content does not stand inside what was left open around it
-                stack.clear()
-            elif name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in BLOCK and not (name == "li" and stack[k][0] == "p"):
-                        break
-            outside, within = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                elements.cut(0)
+            elif name in CLOSES_ITSELF:
+                elements.close(name, within_block=True)
+            _, outside, within, _ = elements.top()
             attributes = m["attributes"] or ""
             own = is_outside(name, attributes) or (name == "header" and not within)
             if not (name == "body" or attributes.rstrip().endswith("/")):
-                stack.append((name, outside or own, within or name in CONTENT))
+                elements.push(name, outside or own, within or name in CONTENT)
     words(at, len(html))
     return out
 
@@ -175,8 +214,11 @@ def count_weights(pages: DataFrame, params: HtmlParams) -> dict[str, float]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64())], names=["feature", "inside", "n"])
 
     marks = F.regexp_count("html", F.lit("(?i)<(article|main)[\\s>]"))
-    sample = pages.where(marks == 1).orderBy(F.xxhash64("page_id"), "page_id").limit(params.labelled_pages).select("html")
-    rows = sample.repartition(8).mapInArrow(count, "feature string, inside boolean, n long").groupBy("feature", "inside").agg(F.sum("n").alias("n")).collect()
+    # the ids are chosen first, so no page travels; then only the chosen pages are read, where they lie
+    labelled = pages.where(marks == 1).withColumn("h", F.xxhash64("page_id"))
+    last = labelled.select("h").orderBy("h").limit(params.labelled_pages).agg(F.max("h")).first()[0]
+    sample = pages.where(F.xxhash64("page_id") <= F.lit(last if last is not None else -(1 << 63))).where(marks == 1).select("html")
+    rows = sample.mapInArrow(count, "feature string, inside boolean, n long").groupBy("feature", "inside").agg(F.sum("n").alias("n")).collect()
     own = {(r["feature"], r["inside"]): r["n"] for r in rows}
     weights = dict(DEFAULT_WEIGHTS)
     for group in ("word", "tag"):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ def grams(texts: list[str], params: LanguageParams) -> tuple[np.ndarray, np.ndar
     points = np.frombuffer(joined.encode("utf-32-le", "replace"), "<u4")
     ends = points == 0
     owner = np.cumsum(ends) - ends
-    letter = is_letter()[np.minimum(points, 65535)]
+    letter = is_letter()[points]
     code = np.where(letter, points, 32).astype(np.uint32)
     code[ends] = 0
     keep = letter | ends
@@ -61,16 +62,10 @@ def grams(texts: list[str], params: LanguageParams) -> tuple[np.ndarray, np.ndar
     return np.concatenate(buckets or [np.zeros(0, np.uint32)]).astype(np.int64), np.concatenate(owners or [np.zeros(0, np.int64)])
 
 
-_letters: list[np.ndarray] = []
-
-
+@lru_cache(maxsize=1)
 def is_letter() -> np.ndarray:
-    """Whether a code point of the basic plane is a letter; those above count as the last one, a non-letter."""
-    if not _letters:
-        out = np.fromiter((chr(c).isalpha() for c in range(65536)), bool, 65536)
-        out[0] = out[65535] = False
-        _letters.append(out)
-    return _letters[0]
+    """Whether a code point is a letter."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
 
 
 def train(docs: DataFrame, params: LanguageParams | None = None) -> tuple[list[str], np.ndarray]:

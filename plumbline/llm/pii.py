@@ -1,16 +1,18 @@
 """Personal data by weak supervision, in DataFrame and SQL functions only (operator 5).
 
 Base patterns give spans that always stay. They and looser patterns (spelled-out
-addresses, national telephone numbers, IPv6) are candidates on which three
-labelers vote: a strict pattern, a gazetteer and the words around. Expectation
-maximisation over the counts of vote patterns estimates how reliable each
-labeler is, for each kind; its posteriors are the labels of a naive Bayes span
-classifier, which decides on the looser candidates.
+addresses, national telephone numbers, IPv6, secrets) are candidates on which
+three labelers vote: a strict pattern, a gazetteer and the words around.
+Expectation maximisation over the counts of vote patterns estimates how reliable
+each labeler is, for each kind; its posteriors are the labels of a naive Bayes
+span classifier, which sees the span's form and surroundings, not the votes, and
+decides on the looser candidates.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of spans, in the order in which spans with the same start are listed; the method alone adds secrets.
+ALL_KINDS = (*KINDS, "secret")
 
 # Patterns. Runs are matched possessively and begin where a run begins (or where
 # the last match ended), so that they cost linear time on any text and never
@@ -31,19 +35,27 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What must be in a text for a pattern to be tried at all.
-NEEDS = {"email": "contains(text, '@')", "ip": "has_digit", "card": "has_digit", "phone": "contains(text, '+')", "email2": "lower(text) rlike '[(\\\\[ ]at[)\\\\] ]'", "phone2": "has_digit", "ip2": "contains(text, ':')"}
+NEEDS = {"email": "contains(text, '@')", "ip": "has_digit", "card": "has_digit", "phone": "contains(text, '+')", "email2": "lower(text) rlike '[(\\\\[ ]at[)\\\\] ]'", "phone2": "has_digit", "ip2": "contains(text, ':')", "secret2": "has_digit"}
 LOOSE = {
     "email2": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}\x20?[(\[]\x20?at\x20?[)\]]\x20?[A-Za-z0-9-]{2,63}(?:(?:\.|\x20?[(\[]\x20?dot\x20?[)\]]\x20?)[A-Za-z0-9-]{2,63}){1,4}",
     "phone2": r"(?<![0-9+(.-])(?<!\+[0-9]\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
+    "secret2": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])(?=[0-9+/_-]{0,40}[A-Za-z])[A-Za-z0-9+/_-]{20,200}+={0,2}(?![A-Za-z0-9@.])",
     "ip2": r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])",
 }
-# Words of the gazetteer and of the contexts, in the languages of the tables.
-TOP_DOMAINS = "com org net edu gov int info biz io de fr es uk it nl eu ch at us ca au"
+# The default gazetteer (top-level domains, issuer prefixes, country codes, prefixes of access keys)
+# and words of the contexts, in the languages of the tables.
+GAZETTEER = {
+    "email": "com org net edu gov int info biz io de fr es uk it nl eu ch at us ca au",
+    "card": "4 51 52 53 54 55 22 23 24 25 26 27 34 37 6",
+    "phone": "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98",
+    "secret": "AKIA ASIA AIza ghp_ gho_ ghs_ github_pat_ glpat- sk_live_ sk_test_ pk_live_ rk_live_ xoxb- xoxp- sk- ya29 eyJ hf_ npm_ SG",
+}
 CONTEXT = {
     "email": "mail email e-mail contact write kontakt adresse correo courriel schreiben escribir",
     "ip": "ip host server address login client adresse servidor serveur direccion",
     "card": "card visa mastercard amex credit payment karte kreditkarte carte tarjeta pago zahlung",
     "phone": "phone tel call mobile fax cell telefon anrufen telephone appeler telefono llamar",
+    "secret": "token secret password passwd pwd key apikey api_key access_key auth bearer credential passwort clave contraseña motdepasse",
 }
 
 
@@ -57,6 +69,8 @@ class PiiParams:
     least_probability: float = 0.9
     #: Matches that one fold numbers; arrays of matches are cut into such chunks.
     chunk: int = 512
+    #: Most rows of a gazetteer, which becomes part of the plan.
+    most_terms: int = 10_000
 
 
 def candidates(docs: DataFrame, params: PiiParams) -> DataFrame:
@@ -101,30 +115,45 @@ VALID = {
 }
 
 
-def alternatives(words: str) -> str:
-    return "|".join(words.split())
+def quoted(words: list[str]) -> str:
+    """A group of alternatives inside a pattern inside a SQL string."""
+    return "(" + "|".join(re.sub(r"([^\w\s'])", r"\\\\\1", w).replace("'", r"\'") for w in words) + ")"
+
 
+def terms_of(gazetteer: DataFrame | None, params: PiiParams) -> dict[str, list[str]]:
+    """The terms of each kind: of a table (kind, term), whose size is checked, or the default."""
+    if gazetteer is None:
+        return {k: v.split() for k, v in GAZETTEER.items()}
+    rows = gazetteer.where("kind is not null and length(term) > 0").select("kind", "term").distinct().orderBy("kind", "term").limit(params.most_terms + 1).collect()
+    if len(rows) > params.most_terms:
+        raise ValueError(f"the gazetteer has more than {params.most_terms} terms")
+    return {k: [r["term"] for r in rows if r["kind"] == k] for k in ALL_KINDS}
 
-def votes() -> str:
+
+def votes(terms: dict[str, list[str]]) -> str:
     """SQL of the three labelers' votes on candidate x: 1 for, 0 against, -1 for no opinion."""
-    strict = f"""CASE WHEN x.base THEN int(x.valid) WHEN x.kind = 'phone' THEN int(length({DIGITS}) = 10 AND x.value NOT rlike '^[01]') WHEN x.kind = 'ip' THEN 1 ELSE int(x.value rlike '(?i)dot|[.]') END"""
-    domain = f"x.value rlike '(?i)[. )\\\\]]({alternatives(TOP_DOMAINS)})$'"
-    gazetteer = f"""CASE x.kind WHEN 'email' THEN int({domain}) WHEN 'card' THEN IF(length({DIGITS}) < 12, 0, int({DIGITS} rlike '^(4|5[1-5]|2[2-7]|3[47]|6)'))
+    hexadecimal = "x.value rlike '^([0-9a-f]+|[0-9A-F]+)$' AND length(x.value) IN (32, 40, 56, 64, 96, 128)"
+    mixed = "x.value rlike '[0-9].*[0-9].*[0-9]' AND x.value rlike '[a-z]' AND x.value rlike '[A-Z]'"
+    strict = f"""CASE WHEN x.base THEN int(x.valid) WHEN x.kind = 'phone' THEN int(length({DIGITS}) = 10 AND x.value NOT rlike '^[01]') WHEN x.kind = 'ip' THEN 1
+      WHEN x.kind = 'secret' THEN int(({hexadecimal}) OR ({mixed})) ELSE int(x.value rlike '(?i)dot|[.]') END"""
+    known = {k: quoted(v) if v else "(?!)" for k, v in ((k, terms.get(k, [])) for k in ALL_KINDS)}
+    gazetteer = f"""CASE x.kind WHEN 'email' THEN int(x.value rlike '(?i)[. )]{known["email"]}$') WHEN 'card' THEN IF(length({DIGITS}) < 12, 0, int({DIGITS} rlike '^{known["card"]}'))
       WHEN 'ip' THEN CASE WHEN x.value rlike '^(0|10|127|192[.]168|169[.]254|22[4-9]|2[3-5][0-9])[.]' THEN 0 WHEN x.valid THEN 1 ELSE 0 END
-      ELSE IF(x.value rlike '^[+](1|7|20|27|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])', 1, -1) END"""
-    context = "CASE x.kind " + " ".join(f"WHEN '{k}' THEN IF(concat(x.before, ' ', x.after) rlike '(?i)(^|[^a-z])({alternatives(w)})([^a-z]|$)', 1, -1)" for k, w in CONTEXT.items()) + " END"
-    glued = "x.before rlike '[A-Za-z0-9]$' OR x.after rlike '^[A-Za-z0-9]'"
+      WHEN 'secret' THEN IF(x.value rlike '^{known["secret"]}', 1, -1)
+      ELSE IF(x.value rlike '^[+]{known["phone"]}', 1, -1) END"""
+    context = "CASE x.kind " + " ".join(f"WHEN '{k}' THEN IF(concat(x.before, ' ', x.after) rlike '(?i)(^|[^a-z]){quoted(w.split())}([^a-z]|$)', 1, {0 if k == 'secret' else -1})" for k, w in CONTEXT.items()) + " END"
+    glued = "x.kind <> 'secret' AND (x.before rlike '[A-Za-z0-9]$' OR x.after rlike '^[A-Za-z0-9]')"
     return f"named_struct('v1', {strict}, 'v2', {gazetteer}, 'v3', CASE WHEN {glued} THEN 0 ELSE {context} END)"
 
 
 def features() -> str:
-    """SQL of the span classifier's features of candidate x; each takes a few values."""
+    """SQL of the span classifier's features of candidate x; each takes a few values. None looks at the votes."""
     size = f"concat(x.kind, ' digits ', least(length({DIGITS}), 20))"
-    left = "concat(x.kind, ' left ', CASE WHEN x.before = '' THEN 'start' WHEN x.before rlike '[ \\n]$' THEN 'blank' WHEN x.before rlike '[A-Za-z]$' THEN 'letter' WHEN x.before rlike '[0-9]$' THEN 'digit' ELSE 'mark' END)"
-    right = "concat(x.kind, ' right ', CASE WHEN x.after = '' THEN 'end' WHEN x.after rlike '^[ \\n]' THEN 'blank' WHEN x.after rlike '^[A-Za-z]' THEN 'letter' WHEN x.after rlike '^[0-9]' THEN 'digit' ELSE 'mark' END)"
-    form = "concat(x.kind, ' form ', CASE WHEN x.value rlike '[(\\\\[]' THEN 'bracket' WHEN x.value rlike '-' THEN 'hyphen' WHEN x.value rlike ' ' THEN 'blank' ELSE 'plain' END)"
-    vote = "concat(x.kind, ' vote ', x.v.v1, x.v.v2, x.v.v3)"
-    return f"array({size}, {left}, {right}, {form}, {vote})"
+    left = "concat(x.kind, ' left ', CASE WHEN x.before = '' THEN 'start' WHEN x.before rlike '[ \n]$' THEN 'blank' WHEN x.before rlike '[A-Za-z]$' THEN 'letter' WHEN x.before rlike '[0-9]$' THEN 'digit' WHEN x.before rlike '[:=] ?[\"]?$' THEN 'assigned' ELSE 'mark' END)"
+    right = "concat(x.kind, ' right ', CASE WHEN x.after = '' THEN 'end' WHEN x.after rlike '^[ \n]' THEN 'blank' WHEN x.after rlike '^[A-Za-z]' THEN 'letter' WHEN x.after rlike '^[0-9]' THEN 'digit' ELSE 'mark' END)"
+    form = "concat(x.kind, ' form ', CASE WHEN x.value rlike '[(\\\\[]' THEN 'bracket' WHEN x.value rlike '-' THEN 'hyphen' WHEN x.value rlike ' ' THEN 'blank' WHEN x.value rlike '/' THEN 'slash' WHEN x.value rlike '_' THEN 'line' ELSE 'plain' END)"
+    length = "concat(x.kind, ' length ', least(length(x.value) div 8, 9))"
+    return f"array({size}, {left}, {right}, {form}, {length})"
 
 
 def likelihood(side: str, prior: str) -> str:
@@ -148,11 +177,16 @@ def em(rounds: int) -> str:
     return f"aggregate(sequence(1, {rounds}), {first}, (s, round) -> {step})"
 
 
+def reliabilities(spans: DataFrame, params: PiiParams) -> DataFrame:
+    """(kind, patterns, s) by expectation maximisation: s has the prior and, for each labeler, how often it votes for what is personal data (a) and for what is not (b)."""
+    counted = spans.groupBy("kind", "v.v1", "v.v2", "v.v3").agg(F.count("*").cast("double").alias("n"))
+    by_kind = counted.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("v1", "v2", "v3", "n"))).alias("patterns"))
+    return by_kind.select("kind", "patterns", F.expr(em(params.em_rounds)).alias("s"))
+
+
 def posteriors(spans: DataFrame, params: PiiParams) -> DataFrame:
     """(kind, v1, v2, v3, p): the estimated probability of each vote pattern; at most 27 rows a kind."""
-    counted = spans.groupBy("kind", "v.v1", "v.v2", "v.v3").agg(F.count("*").cast("double").alias("n"))
-    by_kind = counted.groupBy("kind").agg(F.collect_list(F.struct("v1", "v2", "v3", "n")).alias("patterns"))
-    fitted = by_kind.select("kind", "patterns", F.expr(em(params.em_rounds)).alias("s"))
+    fitted = reliabilities(spans, params)
     yes, no = likelihood("a", "s.prior"), likelihood("b", "(1 - s.prior)")
     return fitted.select("kind", F.explode("patterns").alias("q"), "s").select("kind", "q.v1", "q.v2", "q.v3", F.expr(f"({yes}) / greatest(({yes}) + ({no}), 1e-300)").alias("p"))
 
@@ -162,11 +196,12 @@ def with_fields(x: str, names: str) -> str:
     return "named_struct(" + ", ".join(f"'{n}', {x}.{n}" for n in names.split())
 
 
-def personal_data(docs: DataFrame, params: PiiParams | None = None) -> DataFrame:
-    """Per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_added.
+def personal_data(docs: DataFrame, params: PiiParams | None = None, gazetteer: DataFrame | None = None) -> DataFrame:
+    """Per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added and n_spans.
 
     The counts and base_sha256 are those of the base spans; spans also holds the
-    looser candidates that the classifier accepts and that overlap no base span.
+    looser candidates that the classifier accepts and that overlap no base span,
+    n_added of them. gazetteer is a table (kind, term) for the second labeler.
     A null text counts as empty: no spans, the hash of the empty string. Rows
     that repeat an id, and null ids, give one row each. Works on an empty table.
     """
@@ -175,7 +210,7 @@ def personal_data(docs: DataFrame, params: PiiParams | None = None) -> DataFrame
     judged = (
         candidates(docs, params)
         .withColumn("found", F.expr(f"transform(found, x -> {with_fields('x', 'kind base start end value before after')}, 'valid', IF(x.base, {valid}, true)))"))
-        .withColumn("found", F.expr(f"transform(found, x -> {with_fields('x', 'kind base start end valid value before after')}, 'v', {votes()}))"))
+        .withColumn("found", F.expr(f"transform(found, x -> {with_fields('x', 'kind base start end valid value before after')}, 'v', {votes(terms_of(gazetteer, params))}))"))
         .withColumn("found", F.expr(f"transform(found, x -> {with_fields('x', 'kind base start end valid v')}, 'features', {features()}))"))
     )
     judged = stored(judged, "spans")
@@ -184,7 +219,7 @@ def personal_data(docs: DataFrame, params: PiiParams | None = None) -> DataFrame
     # features take a few values each (at most 21), so this table is small whatever the corpus
     table = trained.select("kind", "p", F.explode("features").alias("feature")).groupBy("kind", "feature").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()
     logs: dict[str, float] = {}
-    for kind in KINDS:
+    for kind in ALL_KINDS:
         own = [r for r in table if r["kind"] == kind]
         for r in own:
             same = [x for x in own if x["feature"].split(" ")[1] == r["feature"].split(" ")[1]]
@@ -194,7 +229,7 @@ def personal_data(docs: DataFrame, params: PiiParams | None = None) -> DataFrame
     model = F.create_map(*(F.lit(v) for pair in sorted(logs.items()) for v in pair))
     floor = math.log(params.least_probability / (1 - params.least_probability))
     score = "aggregate(x.features, model[x.kind], (s, f) -> s + coalesce(model[f], 0D))"
-    order = "array_position(array({}), x.kind)".format(", ".join(f"'{k}'" for k in KINDS))
+    order = "array_position(array({}), x.kind)".format(", ".join(f"'{k}'" for k in ALL_KINDS))
     key = f"named_struct('start', x.start, 'k', {order}, 'end', x.end, 'kind', x.kind)"
     out = (
         judged.withColumn("model", model)
@@ -210,4 +245,5 @@ def personal_data(docs: DataFrame, params: PiiParams | None = None) -> DataFrame
         F.sha2(F.expr(text.format("base")), 256).alias("base_sha256"),
         F.expr(text.format("all")).alias("spans"),
         F.expr("cast(size(loose) as long)").alias("n_added"),
+        F.expr("cast(size(base) + size(loose) as long)").alias("n_spans"),
     )

@@ -31,8 +31,8 @@ class QualityParams:
     #: A common word has at most so many characters; so many of a language's most frequent are compared.
     word_length: int = 5
     top_words: int = 48
-    #: Languages with a reference: the ones with most documents. Others are held against the nearest reference.
-    max_languages: int = 64
+    #: Languages whose references are broadcast, the ones with most documents. Documents of others meet theirs by a join.
+    broadcast_languages: int = 64
     #: Greatest distances (0 to 1); a short text may lie further away by slack / sqrt(words).
     max_class_distance: float = 0.17
     max_word_distance: float = 0.29
@@ -135,18 +135,22 @@ class ShortWords(dict):
 
     def counts(self, words: list[bytes]) -> Counter:
         out: Counter = Counter()
-        most = 2 * self.longest + 4
+        plain = 2 * self.longest + 4
+        wide = 4 * self.longest + 4  # a character takes up to four bytes
         for w, n in Counter(words).items():
-            if len(w) <= most and (x := self[w]):
+            if len(w) <= wide and (len(w) <= plain or not w.isascii()) and (x := self[w]):
                 out[x] += n
         return out
 
 
-def references(docs: DataFrame, params: QualityParams) -> dict[str, tuple[np.ndarray, dict[str, int], np.ndarray]]:
-    """Per language: class histogram, places of its common words, histogram of them and of all other words.
+#: A reference: class histogram, common words in order, histogram of these and of all other words.
+REFERENCE = "lang string, docs long, classes array<double>, words array<string>, hist array<double>"
 
-    Counted over every document that has a language. What reaches the driver is
-    at most max_languages * (classes + top_words + 1) counts.
+
+def references(docs: DataFrame, params: QualityParams) -> DataFrame:
+    """One row of REFERENCE for every language, counted over every document that has it; a stored table.
+
+    A row holds classes + 2 * top_words + 1 values, whatever the corpus.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,33 +169,31 @@ def references(docs: DataFrame, params: QualityParams) -> dict[str, tuple[np.nda
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([total[k] for k in keys], pa.int64())], names=["lang", "item", "n"])
 
     arrow_rows(docs.sparkSession)
-    counted = docs.where("lang is not null").select("lang", "text").mapInArrow(partial, "lang string, item string, n long")
-    counts = stored(counted.groupBy("lang", "item").agg(F.sum("n").alias("n")), "counts")  # read twice below
+    counted = docs.where("lang is not null").select("lang", "text").mapInArrow(partial, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
     is_word = F.col("item").startswith("w")
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", is_word).orderBy(F.col("n").desc(), "item")))
-    kept = ranked.where(~is_word | (F.col("rank") <= params.top_words))
-    langs = kept.where("item = 'd'").orderBy(F.col("n").desc(), "lang").limit(params.max_languages).select("lang")
-    rows = kept.join(F.broadcast(langs), "lang").select("lang", "item", "n").collect()
-    out: dict[str, tuple[np.ndarray, dict[str, int], np.ndarray]] = {}
-    for lang in sorted({r["lang"] for r in rows}):
-        own = {r["item"]: r["n"] for r in rows if r["lang"] == lang}
-        places = {w[1:]: k for k, w in enumerate(sorted((x for x in own if x[0] == "w"), key=lambda x: (-own[x], x)))}
-        hist = np.zeros(len(places) + 1)
-        for w, k in places.items():
-            hist[k] = own["w" + w]
-        hist[-1] = max(own.get("n", 0) - hist.sum(), 0)
-        out[lang] = np.array([own.get(f"c{k}", 0) for k in range(len(CLASSES))], float), places, hist
-    return out
+    rank = F.row_number().over(Window.partitionBy("lang", is_word).orderBy(F.col("n").desc(), "item"))
+    kept = counted.withColumn("rank", F.when(is_word, rank)).where(~is_word | (F.col("rank") <= params.top_words))
+    one = lambda item: F.coalesce(F.max(F.when(F.col("item") == item, F.col("n"))), F.lit(0))
+    common = F.array_sort(F.collect_list(F.when(is_word, F.struct("rank", F.substring("item", 2, 1 << 20).alias("word"), "n"))))
+    rows = kept.groupBy("lang").agg(one("d").alias("docs"), one("n").alias("total"), F.array(*(one(f"c{k}").cast("double") for k in range(len(CLASSES)))).alias("classes"), common.alias("common"))
+    hist = F.concat(F.transform("common", lambda x: x["n"].cast("double")), F.array(F.greatest(F.col("total") - F.aggregate("common", F.lit(0).cast("long"), lambda s, x: s + x["n"]), F.lit(0)).cast("double")))
+    return stored(rows.select("lang", "docs", "classes", F.transform("common", lambda x: x["word"]).alias("words"), hist.alias("hist")), "references")
+
 
+Reference = tuple[np.ndarray, dict[str, int], np.ndarray]
 
-def distances(text: str, words: list[bytes], lang: str | None, refs: dict, short: ShortWords) -> tuple[float, float]:
-    """Class and word distance to the reference of lang, or to the nearest one where lang has none."""
+
+def as_reference(row) -> Reference:
+    return np.array(row["classes"], float), {w: k for k, w in enumerate(row["words"])}, np.array(row["hist"], float)
+
+
+def distances(text: str, words: list[bytes], refs: list[Reference], short: ShortWords) -> tuple[float, float]:
+    """Class and word distance to the nearest of the references; zeros where there is none."""
     if not refs:
         return 0.0, 0.0
     classes, common = class_counts(text), short.counts(words)
     best = None
-    for name in [lang] if lang in refs else refs:
-        ref_classes, places, ref_words = refs[name]
+    for ref_classes, places, ref_words in refs:
         hist = np.zeros(len(places) + 1)
         for w, n in common.items():
             if (k := places.get(w)) is not None:
@@ -203,38 +205,66 @@ def distances(text: str, words: list[bytes], lang: str | None, refs: dict, short
     return best
 
 
-def quality_rules(docs: DataFrame, params: QualityParams | None = None) -> DataFrame:
-    """Counts, distances and verdict of every document.
+def judged(docs: DataFrame, params: QualityParams | None, schema, emit) -> DataFrame:
+    """docs through emit(batch, verdicts), whose verdicts are made against the reference of each document's language.
 
-    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    class_distance, word_distance, base_failed and kept.
-    A null text counts as an empty one (no words, base_failed); a null or
-    unknown lang is held against the nearest reference; rows with equal ids are
-    judged one by one; an empty table gives no rows.
+    The references of the commonest languages are broadcast. Only documents of
+    other languages, so few for each of them, are shuffled to meet theirs.
     """
     params = params or QualityParams()
     spark = docs.sparkSession
     arrow_rows(spark)
-    refs = spark.sparkContext.broadcast(references(docs, params))
+    table = references(docs, params)
+    top = table.orderBy(F.col("docs").desc(), "lang").limit(params.broadcast_languages).collect()
+    refs = spark.sparkContext.broadcast({r["lang"]: as_reference(r) for r in top})
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short = ShortWords(params.word_length)
+        known = refs.value
+        everyone = list(known.values())
         for batch in batches:
-            rows = [verdict(lang, text or "", refs.value, short, params) for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 9
-            types = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.bool_()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], names=list(NAMES))
+            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
+            yield emit(batch, [verdict([known[x]] if x in known else everyone, t or "", short, params) for x, t in zip(langs, texts, strict=True)])
+
+    def judge_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short = ShortWords(params.word_length)
+        for batch in batches:
+            own = [as_reference(r) for r in batch.column("reference__").to_pylist()]
+            rest = batch.drop_columns(["reference__"])
+            yield emit(rest, [verdict([r], t or "", short, params) for r, t in zip(own, rest.column("text").to_pylist(), strict=True)])
+
+    if len(top) < params.broadcast_languages or table.count() == len(top):
+        return docs.mapInArrow(judge, schema)
+    common = F.coalesce(F.col("lang").isin([r["lang"] for r in top]), F.lit(True))
+    others = docs.where(~common).join(table.select("lang", F.struct("classes", "words", "hist").alias("reference__")), "lang").select(*docs.columns, "reference__")
+    return docs.where(common).mapInArrow(judge, schema).unionByName(others.mapInArrow(judge_others, schema))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(judge, SCHEMA)
 
+def quality_rules(docs: DataFrame, params: QualityParams | None = None) -> DataFrame:
+    """Counts, distances and verdict of every document.
+
+    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    class_distance, word_distance, base_failed and kept.
+    A null text counts as an empty one (no words, base_failed); a null lang is
+    held against the nearest of the commonest languages; rows with equal ids are
+    judged one by one; an empty table gives no rows.
+    """
+
+    def emit(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 9
+        types = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.bool_()] * 2
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], names=list(NAMES))
+
+    return judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), params, SCHEMA, emit)
 
-def verdict(lang: str | None, text: str, refs: dict, short: ShortWords, params: QualityParams) -> tuple:
+
+def verdict(refs: list[Reference], text: str, short: ShortWords, params: QualityParams) -> tuple:
     """n_words and all columns after it, for one document."""
     words = words_of(text)
     n = len(words)
     chars, symbols, dup, repeat = base_counts(text, words)
     failed = n < params.min_words or 100 * repeat > params.max_repeat_percent * n
-    d_class, d_word = distances(text, words, lang, refs, short)
+    d_class, d_word = distances(text, words, refs, short)
     slack = params.slack / np.sqrt(max(n, 1))
     fits = d_class <= params.max_class_distance + slack / 2 and d_word <= params.max_word_distance + slack
     return n, chars, symbols, dup, repeat, d_class, d_word, failed, not failed and bool(fits)
@@ -242,18 +272,7 @@ def verdict(lang: str | None, text: str, refs: dict, short: ShortWords, params:
 
 def keep_good(docs: DataFrame, params: QualityParams | None = None) -> DataFrame:
     """The rows of docs that quality_rules() keeps, with all their columns."""
-    params = params or QualityParams()
-    spark = docs.sparkSession
-    arrow_rows(spark)
-    refs = spark.sparkContext.broadcast(references(docs, params))
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        short = ShortWords(params.word_length)
-        for batch in batches:
-            kept = [verdict(lang, text or "", refs.value, short, params)[-1] for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-            yield batch.filter(pa.array(kept, pa.bool_()))
-
-    return docs.mapInArrow(choose, docs.schema)
+    return judged(docs, params, docs.schema, lambda batch, rows: batch.filter(pa.array([r[-1] for r in rows], pa.bool_())))
 
 
 NAMES = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filter_parts, marked, new_path, stored
+from .common import filter_parts, left_by, marked, new_path, stored
 
 # Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
@@ -24,8 +24,10 @@ class WarcParams:
     least_payload: int = 100
     #: Mean size of an archive; a reader holds one archive in memory.
     archive_bytes: int = 32 << 20
-    #: Pages have no capture time: page n counts as captured n seconds after this moment.
+    #: Pages have no capture time: page n counts as captured n seconds after this moment, modulo a thousand million.
     first_capture: str = "2024-01-01 00:00:00"
+    #: Captures of one range of the merged index, on average; a task holds one range.
+    range_rows: int = 200_000
 
 
 def records(pages: DataFrame, params: WarcParams) -> DataFrame:
@@ -40,12 +42,12 @@ def records(pages: DataFrame, params: WarcParams) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html").cast("long"))
     keyed = p.where((F.col("bytes") >= params.least_payload) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    first = keyed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("many")).where("many > 1").drop("many")
-    revisit = stored(keyed.join(first, "digest").where("page_id <> refers_to").distinct(), "revisits")
+    first = stored(keyed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("many")).where("many > 1"), "payloads")
+    revisit = stored(left_by(keyed, first, ["digest"], "many", keyed.count()).where("page_id <> refers_to").distinct(), "revisits")
     p = marked(p, filter_parts(revisit, "page_id"), "page_id")
     met = p.where("maybe__").drop("maybe__").join(revisit, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "bytes", "refers_to")
     p = p.where("NOT maybe__").select("page_id", "url", "html", "digest", "bytes", F.lit(None).cast("long").alias("refers_to")).unionByName(met)
-    captured = F.lit(params.first_capture).cast("timestamp_ntz") + F.make_interval(secs=F.coalesce("page_id", F.lit(0)).cast("decimal(18,6)"))
+    captured = F.lit(params.first_capture).cast("timestamp_ntz") + F.make_interval(secs=F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1_000_000_000)).cast("decimal(18,6)"))
     is_revisit = F.col("refers_to").isNotNull()
 
     def line(name: str, *value: Column) -> Column:
@@ -57,7 +59,7 @@ def records(pages: DataFrame, params: WarcParams) -> DataFrame:
     head = F.concat(
         F.lit(f"{VERSION}\r\n"),
         line("WARC-Type", F.when(is_revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">")),
+        line("WARC-Record-ID", F.coalesce(F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string")), F.concat(F.lit("<urn:uuid:"), F.uuid())), F.lit(">")),
         line("WARC-Date", F.date_format("captured", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         F.coalesce(line("WARC-Target-URI", uri), F.lit("")),
         line("WARC-Payload-Digest", F.lit("sha256:"), F.col("digest")),
@@ -203,13 +205,22 @@ class LoserTree:
             self.first = r
 
 
-def merged_index(runs: DataFrame) -> DataFrame:
-    """All captures in global order of URL key, time and id, with their place in the URL's part of the order.
+def natural_runs(rows: list[tuple], order) -> list[list[tuple]]:
+    """rows cut wherever they descend, so that each piece is sorted."""
+    cuts = [k for k in range(1, len(rows)) if order(rows[k - 1]) > order(rows[k])]
+    return [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True) if a < b]
+
+
+def merged_index(runs: DataFrame, params: WarcParams | None = None) -> DataFrame:
+    """All captures in global order of URL key, time and id.
 
     Spark deals the runs out by ranges of (key, time, id), so a URL with very
-    many captures is still split; inside a range the pieces of the runs, which
-    are sorted already, go through a loser tree. A range holds index rows only.
+    many captures is still split, and there are so many ranges that each holds
+    range_rows captures on average, whatever the corpus. Inside a range the
+    pieces of the runs come as they were sorted and go through a loser tree;
+    where a run was read in parts, each part is a piece of its own.
     """
+    params = params or WarcParams()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, key, when, page, offset = (COLUMNS.index(c) for c in ("archive", "url_key", "captured", "page_id", "offset"))
@@ -218,20 +229,16 @@ def merged_index(runs: DataFrame) -> DataFrame:
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 pieces.setdefault(row[run], []).append(row)
-        names = sorted(pieces)
-        for name in names:
-            rows = pieces[name]
-            if any(order(a) > order(b) for a, b in zip(rows, rows[1:], strict=False)):  # a shuffle may hand the blocks of a run over in any order
-                rows.sort(key=order)
         out = []
-        for row in LoserTree([pieces[n] for n in names], order):
+        for row in LoserTree([x for name in sorted(pieces) for x in natural_runs(pieces[name], order)], order):
             out.append(row)
             if len(out) == 5000:
                 yield as_batch(out, COLUMNS, TYPES)
                 out = []
         yield as_batch(out, COLUMNS, TYPES)
 
-    return runs.repartitionByRange(F.col("url_key").asc_nulls_first(), "captured", "page_id").mapInArrow(merge, SCHEMA)
+    ranges = max(runs.count() // params.range_rows + 1, int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return runs.repartitionByRange(ranges, F.col("url_key").asc_nulls_first(), "captured", "page_id").mapInArrow(merge, SCHEMA)
 
 
 def archived(pages: DataFrame, params: WarcParams | None = None) -> DataFrame:
@@ -244,4 +251,4 @@ def archived(pages: DataFrame, params: WarcParams | None = None) -> DataFrame:
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path, params)
-    return merged_index(sorted_runs(spark, path))
+    return merged_index(sorted_runs(spark, path), params)
