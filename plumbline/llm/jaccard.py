@@ -5,8 +5,9 @@
 2. Sizes fall into bands so narrow that linked sets lie in the same or the next
    band. For a band with largest set u, linked sets differ in at most
    d = floor((1 - t) / (1 + t) * 2u) shingles, so if the hash space is dealt
-   into d + 1 parts, linked sets agree in a whole part. A (band, part, content
-   of the part) key is a tile; candidates meet only in a shared tile.
+   into more than d parts, linked sets agree in a whole part. A (band, part,
+   content of the part) key is a tile; candidates meet only in a shared tile.
+   Sets with enough parts that are not empty have no tiles of empty ones.
 3. In a tile, sets are held against the tile's smallest member first; what is
    connected by those links needs no other comparison. In tiles whose members
    still lie in different components, all members outside the largest of these
@@ -75,14 +76,30 @@ def bands(percent: int, longest: int) -> np.ndarray:
     return np.array(starts, np.int64)
 
 
-def parts_of(band: int, starts: np.ndarray, percent: int) -> int:
-    """One more than two linked sets of the band can differ in."""
+#: More parts than a linked pair can differ in, so that a set may have a few empty ones.
+SPARE = Fraction(21, 20)
+
+
+def differing(n: int, m: int, percent: int) -> int:
+    """The most shingles that linked sets of at most n and m shingles can differ in."""
     t = Fraction(percent, 100)
-    return int((1 - t) / (1 + t) * 2 * (int(starts[band + 1]) - 1)) + 1
+    return int((1 - t) / (1 + t) * (n + m))
+
+
+def parts_of(band: int, starts: np.ndarray, percent: int) -> int:
+    """More parts than two linked sets of the band can differ in."""
+    largest = int(starts[band + 1]) - 1
+    return int((differing(largest, largest, percent) + 1) * SPARE) + 1
 
 
 def tile_keys(s: np.ndarray, starts: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set's tiles: those of its own band, and of the next, where it may be the smaller side."""
+    """Keys of a set's tiles: those of its own band, and of the next, where it may be the smaller side.
+
+    Very many sets share an empty part. Where a set has more parts that are not
+    empty than it can differ in from any linked set, one of these is whole, so
+    its empty parts are no tiles. Of two linked sets one such is enough, since
+    both have the tiles of what is not empty.
+    """
     own = int(np.searchsorted(starts, len(s), "right")) - 1
     out = []
     scrambled = mixed(s ^ MIX)
@@ -93,7 +110,10 @@ def tile_keys(s: np.ndarray, starts: np.ndarray, percent: int) -> np.ndarray:
             place = (s % np.uint64(parts)).astype(np.int64)
             np.add.at(content, place, scrambled)
             label = np.arange(parts, dtype=np.uint64) + np.uint64(band << 40)
-            out.append(mixed(mixed(content + MIX) + label * MIX))
+            keys = mixed(mixed(content + MIX) + label * MIX)
+        held = np.bincount(place, minlength=parts) > 0
+        partner = min(int(starts[band + 1]) - 1, len(s) * 100 // percent)
+        out.append(keys[held] if int(held.sum()) > differing(len(s), max(partner, len(s)), percent) else keys)
     return np.concatenate(out)
 
 
@@ -160,11 +180,16 @@ def jaccard_rows(docs: DataFrame, params: JaccardParams | None = None, id_col: s
         star = t.stored(tiles.join(ends, "key").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
         own = filter_parts(tiles, "node")
         bits = t.stored(maybe_in(usable.select("node", "n", "bits"), own, "node").dropDuplicates(["node"]), "bits")
-        links = t.stored(verified(star, bits, nodes, source, params, t), "links")
+        # most sets are linked to their least candidate, which makes nearly all other pairs of them needless
+        least = t.stored(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+        links = t.stored(verified(least, bits, nodes, source, params, t), "links")
         found = connected_components(links)
-        more = t.stored(verified(t.stored(unresolved(tiles, found, bits, params, t), "pairs"), bits, nodes, source, params, t), "links")
-        if not more.isEmpty():
-            found = connected_components(links.unionByName(more))
+        apart = t.stored(across(star.join(least, ["a", "b"], "left_anti"), found), "pairs")
+        for pairs in (lambda: apart, lambda: t.stored(unresolved(tiles, found, bits, params, t), "pairs")):
+            more = t.stored(verified(pairs(), bits, nodes, source, params, t), "links")
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                found = connected_components(links)
 
         # what is neither a copy nor linked is its own group
         grouped = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").where("many > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
@@ -258,18 +283,28 @@ def verified(pairs: DataFrame, bits: DataFrame, nodes: DataFrame, source: DataFr
             may = pa.array(most >= needed(n_a, n_b, percent))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(may), batch.column("b").filter(may)], names=["a", "b"])
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s_a, s_b = batch.column("s_a"), batch.column("s_b")
-            hold = pa.array([linked(np.frombuffer(s_a[k].as_py(), np.uint64), np.frombuffer(s_b[k].as_py(), np.uint64), percent) for k in range(batch.num_rows)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(hold), batch.column("b").filter(hold)], names=["a", "b"])
+    def exact(group: pd.DataFrame) -> pd.DataFrame:
+        lead = np.frombuffer(group[group["lead"]]["s"].iloc[0], np.uint64)
+        own = group[~group["lead"]]
+        own = own[[linked(lead, np.frombuffer(s, np.uint64), percent) for s in own["s"]]]
+        return pd.DataFrame({"a": own["a"], "b": own["node"]})
 
     # the bitmaps, of fixed size, meet first; the sets only of pairs that they allow
     near = pairs.join(side(bits, "a", "n", "bits"), "a").join(side(bits, "b", "n", "bits"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     allowed = t.stored(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bound, "a long, b long"), "allowed")
-    ids = allowed.select(F.col("a").alias("node")).unionByName(allowed.select(F.col("b").alias("node"))).distinct()
-    sets = t.stored(with_sets(source, marked_ids(nodes.join(ids, "node").select("head.*")), params), "sets")
-    return allowed.join(side(sets, "a", "s"), "a").join(side(sets, "b", "s"), "b").select("a", "b", "s_a", "s_b").mapInArrow(exact, "a long, b long").distinct()
+    # a set goes once to each part of the pairs that it is in: a's set, and block of its partners' sets at most on average
+    parts = allowed.groupBy("a").agg(F.ceil(F.count("*") / params.block).cast("int").alias("parts"))
+    dealt = t.stored(allowed.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part")), "dealt")
+    roles = dealt.select(F.col("b").alias("node"), "a", "part", F.lit(False).alias("lead")).unionByName(dealt.select(F.col("a").alias("node"), "a", "part", F.lit(True).alias("lead")).distinct())
+    wanted = marked_ids(nodes.join(roles.select("node").distinct(), "node").select("head.*"))
+    return with_sets(source, wanted, params).join(roles, "node").groupBy("a", "part").applyInPandas(exact, "a long, b long").distinct()
+
+
+def across(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are in different components."""
+    own = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"component_{x}"))
+    met = pairs.join(own("a"), "a", "left").join(own("b"), "b", "left")
+    return met.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
 
 
 def unresolved(tiles: DataFrame, found: DataFrame, bits: DataFrame, params: JaccardParams, t: Tables) -> DataFrame:
@@ -285,6 +320,7 @@ def unresolved(tiles: DataFrame, found: DataFrame, bits: DataFrame, params: Jacc
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
     divided = parts.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("components"), F.max(F.struct("n", "component")).alias("largest"), F.sum("who").alias("who")).where("components > 1 AND size > 2")
     once = divided.groupBy("who", "size").agg(F.min(F.struct("key", "largest")).alias("x")).select("x.key", F.col("x.largest.component").alias("largest"), F.ceil(F.col("size") / block).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("x.largest.n")) / block).cast("int").alias("asked"))
+    once = t.stored(once, "divided")
     inside = t.stored(placed.join(once, "key"), "divided")
     part = lambda n, seed: F.pmod(F.xxhash64("node", "key", F.lit(seed)), F.col(n)).cast("int")
     members = inside.select("key", "node", "component", F.lit(False).alias("query"), part("blocks", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("j"))
@@ -304,7 +340,9 @@ def unresolved(tiles: DataFrame, found: DataFrame, bits: DataFrame, params: Jacc
             b += node[near][hit].tolist()
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    met = members.unionByName(queries).join(bits, "node").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+    # a task compares some hundred pairs of blocks, however few bytes these have
+    tasks = (once.agg(F.sum(F.col("blocks").cast("long") * F.col("asked"))).first()[0] or 0) // 512 + int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = members.unionByName(queries).join(bits, "node").repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
