@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -106,6 +108,19 @@ def test_html_extraction(spark):
     assert html.extract(df).count() == 7 and html.extract(df.where("false")).count() == 0
 
 
+def test_html_attributes_and_deep_pages():
+    """Names inside values, words of a subject, and visible elements are no reason to leave text out; a page of a megabyte costs linear time."""
+    keep = ('<p aria-hidden="false">x</p>', '<p data-title="hidden gems">x</p>', '<div><a href="/style/hidden-gems">x</a> more words</div>', '<div class="entry-header"><h2>x</h2></div>', '<p class="lead search-engine">x</p>', "<p title='class=ad'>x</p>", "<p CLASS=story>x</p>")
+    drop = ("<p hidden>x</p>", '<p aria-hidden="true">x</p>', "<div style='color:red; display : none'>x</div>", '<div class="site-header">x</div>', '<div id=sidebar-left>x</div>', '<div class="comment-list"><p>x</p></div>', "<div class=ad>x</div>", "<div role='contentinfo'>x</div>")
+    for elements, said in ((keep, True), (drop, False)):
+        for e in elements:
+            text = html.main_text(f"<article><p>First words of the text.</p>{e}<p>Last words of the text.</p></article>", html.DEFAULT_WEIGHTS)
+            assert text.startswith("First words of the text.\n") and text.endswith("\nLast words of the text.") and ("x" in text.replace("text", "")) == said, e
+    n = 60_000
+    deep = "<article>" + "<b><i>x " * n + "</u>" * n + "<td>" * 1000 + "</article>"
+    assert len(deep) > 600_000 and html.main_text(deep, html.DEFAULT_WEIGHTS) == " ".join("x" * n)
+
+
 def test_region_is_the_best_sum():
     rng = np.random.default_rng(2)
     for _ in range(50):
@@ -142,6 +157,45 @@ def test_personal_data_base_spans(spark, docs):
     assert pii.personal_data(docs).count() == len(TEXTS) and pii.personal_data(df.where("false")).count() == 0
 
 
+def test_secrets_are_added_by_the_method(spark):
+    """Tokens that are assigned become spans, for their form and surroundings; long words, identifiers and names do not."""
+    rng = np.random.default_rng(31)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 9))))
+    token = lambda: "".join(rng.choice(list("0123456789abcdef"), 40))
+    rows, want = [], {}
+    for k in range(80):
+        text = " ".join(word() for _ in range(20)) + " "
+        if k % 2:
+            want[k] = f"secret:{len(text) + 9}:{len(text) + 49}"
+            text += f'token = "{token()}" ' + word()
+        else:
+            text += f"{word()}-{word()}-{word()}-{word()}-{word()}-{word()}-{k} {word()}_{word()}_{word()}_{word()}_{word()}_{word()}2 and more"
+        rows.append((k, text))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(df).collect()}
+    assert {k: r.spans for k, r in got.items() if r.n_added} == want
+    assert all(r.n_spans == r.n_added and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got.values())
+    terms = spark.createDataFrame([("secret", "zz"), ("email", "example"), (None, "x"), ("phone", None)], "kind string, term string")
+    assert pii.terms_of(terms, pii.PiiParams())["email"] == ["example"] and pii.personal_data(df, gazetteer=terms).count() == 80
+    with pytest.raises(ValueError):
+        pii.terms_of(terms, pii.PiiParams(most_terms=1))
+
+
+def test_expectation_maximisation_finds_planted_reliabilities(spark):
+    """Three labelers of known hit and false-alarm rates over 20,000 candidates, a third of them personal data."""
+    rng = np.random.default_rng(32)
+    truth = rng.random(20_000) < 1 / 3
+    rates = [(0.95, 0.1), (0.8, 0.2), (0.7, 0.05)]
+    votes = np.stack([np.where(rng.random(len(truth)) < 0.15, -1, rng.random(len(truth)) < np.where(truth, a, b)) for a, b in rates], 1).astype(int)
+    df = spark.createDataFrame([("email", tuple(v)) for v in votes.tolist()], "kind string, v struct<v1: int, v2: int, v3: int>")
+    s = pii.reliabilities(df, pii.PiiParams(em_rounds=60)).first().s
+    assert abs(s.prior - 1 / 3) < 0.03
+    assert all(abs(s[f"a{k}"] - a) < 0.05 and abs(s[f"b{k}"] - b) < 0.05 for k, (a, b) in enumerate(rates, 1))
+    p = {(r.v1, r.v2, r.v3): r.p for r in pii.posteriors(df, pii.PiiParams(em_rounds=60)).collect()}
+    decided = np.array([p[tuple(v)] > 0.5 for v in votes.tolist()])
+    assert (decided == truth).mean() > 0.9
+
+
 def test_archives(spark):
     x = "<p>same payload " + "y" * 120
     rows = [(1, "http://A.com:80/x?b", x), (2, "http://www.a.com/x?b", x), (3, None, None), (4, "http://b.org/\r\nfoo", "short"), (5, "u", "short"), (None, "http://c.com", x), (7, "http://c.com", "WARC/1.1\r\n\r\n" + "é😀" * 60), (2, "http://www.a.com/x?b", x)]
@@ -155,6 +209,22 @@ def test_archives(spark):
     assert warc.archived(df.where("false")).count() == 0
 
 
+def test_captures_of_any_id_and_ranges_of_bounded_size(spark):
+    big = [(10**12 + k, f"http://h{k % 7}.org/{k % 5}", f"<p>payload {k % 11} " + "z" * 120) for k in range(120)] + [(9223372036854775807, "http://a.org", "end"), (-5, "http://a.org", "minus"), (None, "http://a.org", "none")] * 2
+    df = spark.createDataFrame(big, "page_id long, url string, html string").repartition(4)
+    got = warc.archived(df, warc.WarcParams(archive_bytes=4000, range_rows=20)).collect()
+    keys = [((r.url_key or ""), r.captured, r.page_id is not None, r.page_id or 0) for r in got]
+    assert keys == sorted(keys) and len(got) == len(big)
+    assert {r.page_id: r.refers_to for r in got if r.page_id and r.page_id > 10**11 and r.page_id < 10**13} == {10**12 + k: 10**12 + k % 11 if k >= 11 else None for k in range(120)}
+
+
+def test_runs_read_in_parts_are_cut_where_they_descend():
+    rng = np.random.default_rng(41)
+    rows = [x for _ in range(6) for x in sorted(rng.integers(0, 50, 9).tolist())]
+    pieces = warc.natural_runs(rows, lambda x: x)
+    assert [x for p in pieces for x in p] == rows and all(p == sorted(p) for p in pieces) and list(warc.LoserTree(pieces, lambda x: x)) == sorted(rows)
+
+
 def test_loser_tree():
     rng = np.random.default_rng(4)
     for k in range(0, 9):
@@ -168,13 +238,71 @@ def test_language(spark, docs, empty):
     rows = [(k, " ".join(rng.choice(words[lang].split(), 30)), lang) for k, lang in enumerate(list(words) * 40)]
     df = spark.createDataFrame([*rows, (900, None, "en"), (901, "12 !?", "de"), (902, "", None), (903, "the thing", None)], "doc_id long, text string, lang string").withColumn("held_out", language.held_out())
     assert {r.doc_id: r.held_out for r in df.collect()} == {r: zlib.crc32(str(r).encode()) % 4 == 2 for r in [*range(120), 900, 901, 902, 903]}
-    model = language.train(df.where("not held_out"))
+    gothic = "\U00010330\U00010331\U00010332 " * 9
+    model = language.train(df.where("not held_out").unionByName(spark.createDataFrame([(904, gothic, "got", False)], df.schema)))
+    df = df.unionByName(spark.createDataFrame([(905, gothic[:11], None, False)], df.schema))
     got = {r.doc_id: r for r in language.identify(df, model, keep=("held_out",)).collect()}
-    assert all(got[k].lang_pred == lang for k, _, lang in rows) and got[903].lang_pred == "en"
+    assert all(got[k].lang_pred == lang for k, _, lang in rows) and got[903].lang_pred == "en" and got[905].lang_pred == "got"
     assert all(got[k].lang_pred == "und" and got[k].score == 0 for k in (900, 901, 902)) and all(0 <= r.score <= 1 for r in got.values())
     assert language.identify(docs, language.train(empty)).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_held_out_languages_of_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").withColumn("held_out", language.held_out())
+    told = language.identify(docs.where("held_out"), language.train(docs.where("not held_out")), keep=("lang",)).where("lang is not null and lang_pred <> 'und'")
+    right = told.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("x"), F.count("*").alias("n")).first()
+    assert right.n > 150 and right.x > 0.98
+
+
+def plain_distance(p, q):
+    p, q = ([x / sum(v) for x in v] for v in (p, q))
+    m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+    d = sum(a * np.log2(a / c) for a, c in zip(p, m, strict=True) if a) + sum(b * np.log2(b / c) for b, c in zip(q, m, strict=True) if b)
+    return (d / 2) ** 0.5
+
+
+def test_quality_verdicts_against_plain_counting(spark):
+    """Every language has its reference, broadcast or joined; distances and verdicts equal a plain computation."""
+    rng = np.random.default_rng(51)
+    words = {"en": "the of and a to in that it was for longerword otherlong", "zz": "zu zi za zo ze lang-es-wort zzz zy", "ja": "これはです ものです そして 日本語の文章"}
+    rows = []
+    for k in range(90):
+        lang = list(words)[k % 3]
+        w = rng.choice(words[lang].split(), 80).tolist() if k % 10 else ["#|&"] * 40 + [f"x{j}" for j in range(60)]
+        rows.append((k, " ".join(w), lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kind = {"L": 2, "M": 2, "N": 3, "P": 5, "S": 6, "Z": 4}
+
+    def classes(text):
+        out = [0] * 8
+        for c in text:
+            x = unicodedata.category(c)
+            out[4 if c in " \t\n" else 6 if c in quality.SYMBOLS else 0 if x == "Ll" else 1 if x in ("Lu", "Lt") else kind.get(x[0], 7)] += 1
+        return out
+
+    def common(text):
+        return Counter(x for x in (w.strip(".,;:!?\"'()").lower() for w in text.split()) if 0 < len(x) <= 5 and x.isalpha())
+
+    ref = {}
+    for lang in words:
+        own = [t for _, t, x in rows if x == lang]
+        counts = sum((common(t) for t in own), Counter())
+        top = sorted(counts, key=lambda w: (-counts[w], w))[:48]
+        ref[lang] = np.sum([classes(t) for t in own], 0), top, [counts[w] for w in top] + [sum(len(t.split()) for t in own) - sum(counts[w] for w in top)]
+    for broadcast in (64, 1):
+        got = {r.doc_id: r for r in quality.quality_rules(df, quality.QualityParams(broadcast_languages=broadcast)).collect()}
+        assert len(got) == 90
+        for k, text, lang in rows:
+            c, n = common(text), len(text.split())
+            hist = [c[w] for w in ref[lang][1]]
+            d_class, d_word = plain_distance(classes(text), ref[lang][0]), plain_distance([*hist, n - sum(hist)], ref[lang][2])
+            assert abs(got[k].class_distance - d_class) < 1e-9 and abs(got[k].word_distance - d_word) < 1e-9
+            fits = d_class <= 0.17 + 0.6 / n**0.5 and d_word <= 0.29 + 1.2 / n**0.5
+            assert got[k].kept == (fits and not got[k].base_failed)
+    assert {r.doc_id for r in quality.keep_good(df, quality.QualityParams(broadcast_languages=1)).collect()} == {k for k in got if got[k].kept}
+    assert any(got[k].kept for k in got) and not any(got[k].kept for k in range(0, 90, 10))
+
+
 def test_quality_counts(spark, docs, empty):
     def brute(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
@@ -232,10 +360,39 @@ def test_jaccard_groups_are_exact(spark, docs, empty, words, percent):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), jaccard.JaccardParams(words=words, percent=percent, block=8)).collect()}
     assert got == shingle_groups(rows, words, percent)
     odd = jaccard.jaccard_groups(docs).collect()
-    assert len(odd) == len(TEXTS) + 0 and {r.doc_id: r.component_id for r in odd}[2] == 1 and {r.doc_id: r.component_id for r in odd}[None] is None
+    assert len(odd) == len(TEXTS) and {r.doc_id: r.component_id for r in odd}[2] == 1 and {r.doc_id: r.component_id for r in odd}[None] is None
     assert jaccard.jaccard_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_tile(percent):
+    """All sizes, at the edge of the threshold; unlike sets hardly ever share one, though many have empty parts."""
+    rng = np.random.default_rng(percent)
+    starts = jaccard.bands(percent, 3000)
+    met = 0
+    for _ in range(1500):
+        n = int(np.exp(rng.uniform(0, 7)))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        out, new = (int(x) for x in rng.integers(0, n // 4 + 1, 2))
+        b = np.unique(np.concatenate([a[out:], rng.integers(0, 1 << 63, new).astype(np.uint64)]))
+        if len(b) and jaccard.linked(a, b, percent):
+            met += 1
+            assert set(jaccard.tile_keys(a, starts, percent).tolist()) & set(jaccard.tile_keys(b, starts, percent).tolist()), (len(a), len(b))
+    assert met > 300
+    many = [set(jaccard.tile_keys(np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64)), starts, percent).tolist()) for _ in range(200)]
+    assert sum(bool(x & y) for k, x in enumerate(many) for y in many[:k]) < 0.001 * 200 * 199 / 2
+
+
+def test_jaccard_ids_with_two_texts_and_without_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(7, a), (7, b), (7, b), (3, b), (9, c), (None, a), (None, c), (None, "one " * 9 + "two"), (11, a + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard.jaccard_groups(df).collect())
+    assert got == [(0, 0), (0, 7), (0, 9), (3, 3), (7, 3), (7, 3), (7, 7), (9, 9), (11, 7)]
+    left = sorted((r.doc_id or 0, r.text[:3]) for r in jaccard.keep_one(df.withColumn("keys", F.lit(1)).withColumn("id", F.lit("clash"))).collect())
+    assert left == [(0, "one"), (3, "b0 "), (7, "a0 "), (9, "c0 ")]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -249,9 +406,21 @@ def line_signature(words):
 
 
 def test_simhash_of_lines(spark):
-    texts = ["a b c d e", " ".join(f"w{k % 200}" for k in range(300)), "é ü ñ ö ß ø å"]
-    got = lines.split_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), lines.LineParams()).collect()
-    assert {r.doc: r.simhash % (1 << 64) for r in got} == {k: line_signature(t.split()) for k, t in enumerate(texts)}
+    texts = ["a b c d e", "one", " ".join(f"w{k % 200}" for k in range(300)), "é ü ñ ö ß ø å"]
+    got = lines.signatures(spark.createDataFrame(list(enumerate(texts)), "h1 long, line string")).collect()
+    assert {r.h1: r.simhash % (1 << 64) for r in got} == {k: line_signature(t.split()) for k, t in enumerate(texts)}
+
+
+def test_simhash_blocks_meet_by_the_pigeonhole_principle(spark):
+    """Lines with fewer differing bits than a bucket has blocks share a part of it, if it is dealt by all blocks."""
+    rng = np.random.default_rng(21)
+    base = [" ".join(f"w{rng.integers(1 << 20)}" for _ in range(80)) for _ in range(6)]
+    texts = {10 * k + j: near(t, rng, j) for k, t in enumerate(base) for j in range(3)}
+    sign = {k: line_signature(t.split()) for k, t in texts.items()}
+    df = spark.createDataFrame([(7, k, x - (1 << 64) if x >> 63 else x) for k, x in sign.items()], "key long, h1 long, simhash long")
+    parts = {r.h1: set(r.parts) for r in df.select("h1", F.expr(lines.block_key(lines.LineParams(dealt_blocks=6))).alias("parts")).collect()}
+    want = {(a, b) for a in texts for b in texts if a < b and (sign[a] ^ sign[b]).bit_count() < 6}
+    assert len(want) > 5 and all(parts[a] & parts[b] for a, b in want) and all(len(p) == 6 for p in parts.values())
 
 
 def test_lines_keep_one_occurrence(spark, docs, empty):
@@ -261,7 +430,7 @@ def test_lines_keep_one_occurrence(spark, docs, empty):
     got = {r.doc_id: r for r in lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("clash"))).collect()}
     assert got[1].text == f"Head\n\n{long.upper()}\nlast words here" and (got[1].n_lines, got[1].n_dropped) == (4, 1)
     assert got[3].text == "own line of the third document here" and got[6].text == "short"
-    assert line_signature(long.split()) ^ line_signature(near_long.split()) and got[2].text in ("", near_long)
+    assert got[2].text == "" and (got[2].n_lines, got[2].n_dropped) == (2, 2)
     assert got[4].text is None and got[5].text == "" and got[7].text == "" and got[7].n_left == 0
     kept = {r.doc_id for r in lines.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert 7 not in kept and {1, 3, 4, 5, 6} <= kept
@@ -305,6 +474,50 @@ def test_fuzzy_lines_reach_the_similarity(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def brute_line_groups(texts):
+    """Smallest-first groups of distinct lines of edit similarity 0.8 or more; letter counts rule most pairs out first."""
+    letters = sorted({c for t in texts for c in t})
+    counts = np.array([[t.count(c) for c in letters] for t in texts])
+    size = np.array([len(t) for t in texts])
+    parent = list(range(len(texts)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for k in range(len(texts)):
+        longer = np.maximum(size, size[k])
+        least = (np.abs(counts - counts[k]).sum(1) + np.abs(size - size[k])) / 2  # no edit distance is smaller
+        for j in np.flatnonzero((least <= 0.2 * longer) & (np.arange(len(texts)) > k)).tolist():
+            if root(j) != root(k) and edit_similarity(texts[k], texts[j]) >= 0.8:
+                parent[root(j)] = root(k)
+    return [root(k) for k in range(len(texts))]
+
+
+def test_line_groups_against_brute_force_on_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = lines.line_places(docs).select("h1", "line").distinct().orderBy("h1").collect()
+    texts = [r.line for r in rows]
+    want = brute_line_groups(texts)
+    placed = lines.with_keys(lines.line_places(docs), lines.LineParams()).persist()
+    distinct = placed.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc", "place", "text_hash")).alias("first"), F.count("*").alias("many"))
+    found = {r.id: r.component for r in lines.groups(placed, docs, distinct, lines.LineParams()).collect()}
+    got = [found.get(r.h1, r.h1) for r in rows]
+    members = lambda groups: {(a, b) for x in {g: [k for k, y in enumerate(groups) if y == g] for g in groups}.values() for a in x for b in x if a < b}
+    wanted, had = members(want), members(got)
+    assert had <= wanted and len(had) >= 0.95 * len(wanted) and len(wanted) > 20
+
+
+def test_lines_of_a_hot_template_and_repeated_rows(spark):
+    """A line that half of the documents share, near copies of it by the hundred, an id with several texts."""
+    base = " ".join(f"word{k}" for k in range(40))
+    rows = [(k, base) for k in range(300)] + [(1000 + k, f"{base} number {k}") for k in range(150)] + [(7, f"{own}\n{base}") for own in ("first of its words", "quite another line")] + [(None, base)] * 2
+    got = lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("place", F.lit("clash")).withColumn("key", F.lit(1)), lines.LineParams()).collect()
+    assert len(got) == len(rows) and sum(r.n_left for r in got if r.doc_id is not None) == 2
+    assert [r.text for r in got if r.doc_id is None] == [base, base]
+
+
 def test_long_lines_are_held_by_edits(spark):
     rng = np.random.default_rng(12)
     rows = []
@@ -321,23 +534,25 @@ def test_long_lines_are_held_by_edits(spark):
 def test_decontamination(spark, docs, empty):
     rng = np.random.default_rng(6)
     word = lambda: "w" + str(rng.integers(3000)) if rng.random() > 0.4 else str(rng.choice(["the", "of", "and"]))
-    items = [(k, " ".join(word() for _ in range(20)) + ". " + " ".join(word() for _ in range(12))) for k in range(60)] + [(98, None), (99, "  ")]
+    items = [(k // 2 * 2, " ".join(word() for _ in range(20)) + ". " + " ".join(word() for _ in range(12))) for k in range(60)] + [(98, None), (99, "  ")]  # each id has two texts
     texts, want = [], set()
     for k in range(80):
         filler = [word() for _ in range(int(rng.integers(0, 900)))]
         if k % 3 == 0:
             at, item = int(rng.integers(0, len(filler) + 1)), int(rng.integers(60))
             filler[at:at] = items[item][1].split()
-            want.add((k, item))
+            want.add((k, item // 2 * 2))
         elif k % 3 == 1:
             filler += items[k % 60][1].split()[:16]  # the question without its answer
         texts.append((k, " ".join(filler)))
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = spark.createDataFrame([*texts, (500, None), (501, "")], "doc_id long, text string")
-    for size in (7, 20_000):
+    for size in (7, 1, 20_000):
         got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench, decontaminate.DecontaminationParams(items_per_index=size)).collect()}
         assert got == want
     assert {r.doc_id for r in decontaminate.decontaminate(df, bench).collect()} == {k for k, _ in texts} - {k for k, _ in want} | {500, 501}
+    held = spark.createDataFrame([(None, "some words " + items[3][1]), (None, "some words"), (5, items[4][1]), (5, "own words")], "doc_id long, text string").withColumn("item_id", F.lit("clash")).withColumn("score", F.lit(0))
+    assert sorted(r.text for r in decontaminate.decontaminate(held, bench).collect()) == ["own words", "some words"]
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, bench.where("false")).count() == 0
 
 
