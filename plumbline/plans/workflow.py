@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import events, evaluation, ingest, patterns, ranking, recommend, scene, summary, trends
-from ..sources.tables import frames, latest, table
-from .analytics import DAYS, MEMBERS_SQL, ROUTED_SQL, density_sql, signature_members, with_frames
+from ..sources.tables import frames, table
+from .analytics import DAYS, MEMBERS_SQL, ROUTED_SQL, clock, density_sql, signature_members, with_frames
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -92,7 +92,7 @@ def report_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def density_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites in their order; a ranking has one row a site, so its window is small whatever the reports."""
     f = frames(spark, sf_dir)
-    d = ranking.simple_density(f, "site", latest(table(spark, sf_dir, "lineitem"), "l_shipdate"), DAYS)
+    d = ranking.simple_density(f, "site", clock(spark, sf_dir), DAYS)
     return d.select(F.row_number().over(Window.orderBy(F.col("density").desc(), "g")).cast("long").alias("place"), "g", "density")
 
 
