@@ -206,8 +206,9 @@ def merge_many(words: list[bytes], v: Vocabulary) -> list[bytes]:
         else:
             classes.setdefault(1 << max(len(w) - 2, 0).bit_length() if len(w) > 2 else 1, []).append(k)
     for size, rows in classes.items():
-        for at in range(0, len(rows), 50_000):
-            some = rows[at : at + 50_000]
+        step = 400_000 // size  # the trees of one step take some 20 MB, whatever their size
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
             for k, packed in zip(some, merge_class([words[k] for k in some], size, v), strict=True):
                 out[k] = packed
     return out
@@ -376,8 +377,9 @@ class Encoder:
 
     def __init__(self, path: str):
         self.v = vocabulary(path)
-        self.words = Known(lambda words: merge_many([w.encode("utf-8", "replace") for w in words], self.v))
-        self.units = Units(self.many, self.whole)
+        # a unit is mostly one word, so the words of units that were seen are hardly asked for again
+        self.words = Known(lambda words: merge_many([w.encode("utf-8", "replace") for w in words], self.v), 50_000)
+        self.units = Units(self.many, self.whole, 150_000)
 
     def many(self, units: list[str]) -> list[bytes]:
         split = [WORDS.findall(u) for u in units]
@@ -416,7 +418,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in grouped(batches):
+        for batch in grouped(batches, 2 << 20):
             ids = encoder.batch([t or "" for t in batch.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, "ids"])
 
@@ -432,14 +434,14 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
-        for batch in batches:
-            rows = batch.column("ids").to_pylist()
-            sha = lambda b: hashlib.sha256(b).hexdigest()
+        encoder, v = Encoder(path), vocabulary(path)
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        for batch in grouped(batches, 2 << 20):
+            rows = encoder.batch([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(r) // 4 for r in rows], pa.int64()), pa.array([sha(r) for r in rows]), pa.array([sha(decode(r, v).encode()) for r in rows])],
+                [batch.column("doc_id"), pa.array([len(r) // 4 for r in rows], pa.int64()), pa.array([sha(r) for r in rows], pa.string()), pa.array([sha(decode(r, v).encode()) for r in rows], pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    encoded = encode_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path)
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    # encoded and decoded by one worker, so that a task has a single copy of the vocabulary
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
