@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, jaccard, language, lines, pii, quality, tokens, warc
+from . import alignment, bpe, decontaminate, html, jaccard, language, lines, pii, quality, tokens, warc
 from .common import new_path, table
 
 #: The vocabulary file that the token queries use; a parameter of the operators.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: The sentencepiece model that its tokens are aligned with.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,5 +71,9 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), jaccard.JaccardParams(words=3, percent=90))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op2_html_extraction, op3_line_dedup, op4_decontamination, op5_pii, op6_warc, op7_bpe, op8_language, op9_quality, op10_jaccard)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_documents(table(spark, sf_dir, "documents"), alignment.AlignmentParams(TOKENIZER, PIECES))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op2_html_extraction, op3_line_dedup, op4_decontamination, op5_pii, op6_warc, op7_bpe, op8_language, op9_quality, op10_jaccard, op11_alignment)}
 ORACLES: dict[str, str] = {"op6_warc": OP6_SQL}
