@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, decontaminate, html, jaccard, language, lines, negatives, pii, quality, tokens, warc
+from . import alignment, bpe, decontaminate, html, jaccard, language, lines, negatives, neighbours, pii, quality, tokens, warc
 from .common import new_path, table
 
 #: The vocabulary file that the token queries use; a parameter of the operators.
@@ -76,6 +76,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned_documents(table(spark, sf_dir, "documents"), alignment.AlignmentParams(TOKENIZER, PIECES))
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return neighbours.neighbours(rows, rows.where("id % 20 = 0")).withColumnRenamed("id", "vec_id")
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"))
@@ -105,5 +110,5 @@ QUALIFY row_number() OVER w <= 5
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op2_html_extraction, op3_line_dedup, op4_decontamination, op5_pii, op6_warc, op7_bpe, op8_language, op9_quality, op10_jaccard, op11_alignment, op13_negatives)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op2_html_extraction, op3_line_dedup, op4_decontamination, op5_pii, op6_warc, op7_bpe, op8_language, op9_quality, op10_jaccard, op11_alignment, op12_neighbours, op13_negatives)}
 ORACLES: dict[str, str] = {"op6_warc": OP6_SQL, "op13_negatives": OP13_SQL}
