@@ -52,11 +52,18 @@ OUTSIDE_ENDS = frozenset(
     "banner header footer copyright aside rail consent notice notices notification popup overlay alert disclaimer subscribe subscription signup login register "
     "share sharing social respond reply replies discussion feedback reader trending popular search searchbox skip".split()
 )
+#: Words that may stand beside one of these in a name; a name with any other word is about a subject.
+BESIDE_NAMES = frozenset(
+    "site page main left right top bottom upper lower primary secondary global local mobile desktop user reader list lists box boxes area section wrapper wrap container block bar inner outer holder "
+    "panel group row col column columns slot unit space zone region body text content thread count form links link buttons button icons posts articles stories news the all latest more".split()
+)
 #: A name that follows one of these is about a layout, not about the element.
 LAYOUT_NAMES = frozenset("has no with without hide show is page".split())
 #: The header of one of these is part of the article.
 ARTICLE_NAMES = frozenset("entry post article story content".split())
 CONTENT = frozenset(("article", "main"))
+#: Elements inside a line of text.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 KINDS = ("outside", "link", "item", "heading", "paragraph", "plain")
 
 
@@ -65,17 +72,27 @@ class HtmlParams:
     #: Pages that the weights are counted on, at most (but for ties): those with the smallest hash of their id.
     labelled_pages: int = 5_000
     most_weight: float = 3.0
+    #: Bounds of what a tag costs. Tags are seen this often before their own odds outweigh those of all tags.
     least_tag_cost: float = 0.05
+    most_tag_cost: float = 0.5
+    prior_tags: float = 200.0
 
 
-#: Where no page is labelled.
-DEFAULT_WEIGHTS = {"word outside": -0.5, "word link": -0.5, "word item": 0.2, "word heading": 1.0, "word paragraph": 1.0, "word plain": 0.5, "tag": -0.3}
+#: Where no page is labelled. "outside" is a tag in, or a run of words in, an element that is told to be outside.
+DEFAULT_WEIGHTS = {"word outside": -0.5, "word link": -0.5, "word item": 0.3, "word heading": 1.0, "word paragraph": 1.0, "word plain": 0.5, "tag": -0.3, "tag outside": -0.3}
+#: A tag inside a line costs less than a hundredth of the most that a word gives.
+INLINE_COST = -0.01
+#: Inside an article or main element each word outside none of the others gives this at least, and all that lies between two
+#: such words costs less; elsewhere what lies in elements that are told to be outside costs so much at most.
+CONTENT_WORD, CONTENT_GAP, OUTSIDE_GAP = 0.5, -0.4, -3.0
 
 
 def tells_outside(value: str) -> bool:
-    """Whether a class, id or role has a name of an element outside the article."""
+    """Whether a class, id or role has a name of an element outside the article, and nothing else in the name."""
     for word in value.split():
         names = [x.lower() for x in PART.findall(word)]
+        if not all(x in BESIDE_NAMES or x in OUTSIDE_NAMES or x in OUTSIDE_ENDS or x in LAYOUT_NAMES or x in ARTICLE_NAMES for x in names):
+            continue
         for k, name in enumerate(names):
             before = names[k - 1] if k else ""
             if before in LAYOUT_NAMES or (name == "header" and before in ARTICLE_NAMES):
@@ -106,6 +123,8 @@ def is_outside(name: str, attributes: str) -> bool:
     return False
 
 
+#: Names of tags that have weights of their own.
+COUNTED = (BLOCK | VOID | CELL | {"outside"}) - INLINE
 KIND = {"a": "link", "li": "item", "p": "paragraph", "blockquote": "paragraph", "pre": "paragraph", "td": "paragraph"} | {f"h{k}": "heading" for k in range(1, 7)}
 #: Elements that end an open one of the same name before them.
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
@@ -126,7 +145,8 @@ class Open:
         return self.stack[-1] if self.stack else ("", False, False, "plain")
 
     def push(self, name: str, outside: bool, within: bool) -> None:
-        kind = KIND.get(name) or ("plain" if name in BLOCK else self.top()[3])
+        above = self.top()[3]
+        kind = above if name in INLINE and (name != "a" or above in ("paragraph", "heading")) else KIND.get(name) or ("plain" if name in BLOCK else above)
         self.stack.append((name, outside, within, kind))
         self.count[name] += 1
 
@@ -179,11 +199,13 @@ def parse(html: str) -> list[tuple[str, str, bool, str]]:
             gap = "\n"
         elif name in CELL and gap != "\n":
             gap = " "
-        within = elements.top()[2]
-        out.append((f"tag {name}", "", within, ""))
+        _, outside, within, _ = elements.top()
         if m["end"]:
+            out.append(("tag outside" if outside else f"tag {name}", "", within, ""))
             elements.close(name)
-        elif name not in VOID:
+        elif name in VOID:
+            out.append(("tag outside" if outside else f"tag {name}", "", within, ""))
+        else:
             if name in CONTENT and not within:  # content does not stand inside what was left open around it
                 elements.cut(0)
             elif name in CLOSES_ITSELF:
@@ -191,6 +213,7 @@ def parse(html: str) -> list[tuple[str, str, bool, str]]:
             _, outside, within, _ = elements.top()
             attributes = m["attributes"] or ""
             own = is_outside(name, attributes) or (name == "header" and not within)
+            out.append(("tag outside" if outside or own else f"tag {name}", "", within, ""))
             if not (name == "body" or attributes.rstrip().endswith("/")):
                 elements.push(name, outside or own, within or name in CONTENT)
     words(at, len(html))
@@ -209,7 +232,7 @@ def count_weights(pages: DataFrame, params: HtmlParams) -> dict[str, float]:
         for batch in batches:
             for html in batch.column("html").to_pylist():
                 for feature, text, within, _ in parse(html):
-                    total[feature if feature[4:] in BLOCK | VOID | CELL | set(KINDS) | {"a", "b", "i", "em", "strong", "span", "u", "small", "code"} or text else "tag", within] += len(text.split()) if text else 1
+                    total[feature if feature[4:] in COUNTED or text else "tag", within] += len(text.split()) if text else 1
         keys = list(total)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64())], names=["feature", "inside", "n"])
 
@@ -220,22 +243,35 @@ def count_weights(pages: DataFrame, params: HtmlParams) -> dict[str, float]:
     sample = pages.where(F.xxhash64("page_id") <= F.lit(last if last is not None else -(1 << 63))).where(marks == 1).select("html")
     rows = sample.mapInArrow(count, "feature string, inside boolean, n long").groupBy("feature", "inside").agg(F.sum("n").alias("n")).collect()
     own = {(r["feature"], r["inside"]): r["n"] for r in rows}
+    return learned(own, params)
+
+
+def learned(own: dict[tuple[str, bool], int], params: HtmlParams) -> dict[str, float]:
+    """Weights from how often each feature stands inside and outside of content.
+
+    A tag's odds are drawn towards those of all tags, so that an element that
+    the labelled pages' articles hardly use costs as much as most do.
+    """
     weights = dict(DEFAULT_WEIGHTS)
-    for group in ("word", "tag"):
-        names = {f for f, _ in own if f.startswith(group)}
-        inside, outside = (sum(own.get((f, side), 0) for f in names) + 1 for side in (True, False))
-        for f in names:
-            odds = math.log((own.get((f, True), 0) + 0.5) / inside * outside / (own.get((f, False), 0) + 0.5))
-            odds = max(-params.most_weight, min(params.most_weight, odds))
-            if group == "tag":
-                odds = min(odds, -params.least_tag_cost)
-            elif f in ("word paragraph", "word heading"):
-                odds = max(odds, 0.5)
-            elif f == "word plain":
-                odds = max(odds, 0.1)
-            elif f == "word outside":
-                odds = -0.5
-            weights[f] = odds
+    names = {f for f, _ in own}
+    words, tags = [f for f in names if f.startswith("word")], [f for f in names if f.startswith("tag") and f != "tag outside"]
+    n = lambda f, side: own.get((f, side), 0)
+    inside, outside = (sum(n(f, side) for f in words) + 1 for side in (True, False))
+    for f in words:
+        odds = math.log((n(f, True) + 0.5) / inside * outside / (n(f, False) + 0.5))
+        odds = max(-params.most_weight, min(params.most_weight, odds))
+        least = {"word paragraph": CONTENT_WORD, "word heading": CONTENT_WORD, "word plain": 0.3, "word item": 0.3}.get(f, -params.most_weight)
+        weights[f] = DEFAULT_WEIGHTS[f] if f == "word outside" else max(odds, least)
+    inside, outside = (sum(n(f, side) for f in tags) for side in (True, False))
+    # a word inside is worth as much as one tag of all: the share of tags among what stands outside, against that inside
+    mean = math.log((inside + 1) / (sum(n(f, True) for f in words) + 1) / (outside + 1) * (sum(n(f, False) for f in words) + 1))
+    bounded = lambda odds: max(-params.most_tag_cost, min(-params.least_tag_cost, odds))
+    weights["tag"] = bounded(mean) if tags else DEFAULT_WEIGHTS["tag"]
+    for f in tags:
+        k = params.prior_tags
+        there = n(f, True) + n(f, False)
+        odds = math.log((n(f, True) + 0.5) / (inside + 1) * (outside + 1) / (n(f, False) + 0.5))
+        weights[f] = bounded((there * bounded(odds) + k * weights["tag"]) / (there + k)) if n(f, True) else weights["tag"]
     return weights
 
 
@@ -251,13 +287,34 @@ def region(scores: list[float]) -> tuple[int, int]:
     return best_at
 
 
+def token_scores(tokens: list[tuple[str, str, bool, str]], weights: dict[str, float]) -> list[float]:
+    """What each token adds to a region that holds it."""
+    tag = weights["tag"]
+    scores: list[float] = []
+    gap: list[int] = []
+    for k, (feature, text, within, _) in enumerate(tokens):
+        if text and feature != "word outside":
+            weight = weights[feature]
+            if gap:
+                held = sum(scores[i] for i in gap)
+                told = sum(scores[i] for i in gap if tokens[i][0].endswith(" outside"))
+                least = max(held, CONTENT_GAP) if all(tokens[i][2] for i in gap) else held - told + max(told, OUTSIDE_GAP)
+                if held < least:
+                    for i in gap:
+                        scores[i] *= least / held
+                gap.clear()
+            scores.append((max(weight, CONTENT_WORD) if within else weight) * len(text.split()))
+        else:
+            # what is told to be outside is left out of the text anyway; a run of its words costs like a tag, so content may go on behind it
+            scores.append(weights[feature] if text else INLINE_COST if feature[4:] in INLINE else weights.get(feature, tag))
+            gap.append(k)
+    return scores
+
+
 def main_text(html: str, weights: dict[str, float]) -> str:
     """Text of the best region: blank runs inside a block are one space, blocks are joined by one line feed."""
     tokens = parse(html)
-    tag = weights["tag"]
-    # what is told to be outside by its element is left out anyway; once an element it costs like a tag, so content may go on behind it
-    scores = [weights.get(f, tag) if not text or f == "word outside" else weights[f] * len(text.split()) for f, text, _, _ in tokens]
-    a, b = region(scores)
+    a, b = region(token_scores(tokens, weights))
     blocks: list[list[str]] = [[]]
     for feature, text, _, gap in tokens[a:b]:
         if text:

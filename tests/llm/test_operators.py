@@ -121,6 +121,53 @@ def test_html_attributes_and_deep_pages():
     assert len(deep) > 600_000 and html.main_text(deep, html.DEFAULT_WEIGHTS) == " ".join("x" * n)
 
 
+LEARNED = {f: {"word paragraph": 3.0, "word heading": 3.0, "word link": -2.0, "tag": -0.5, "tag body": -0.5, "tag p": -0.05}.get(f, w) for f, w in (html.DEFAULT_WEIGHTS | {"tag body": -0.5, "tag p": -0.05}).items()}
+
+
+@pytest.mark.parametrize("weights", [html.DEFAULT_WEIGHTS, LEARNED])
+def test_articles_stay_whole(weights):
+    """Lists, lines in div elements, links, inline marks, tables and what follows them stay; so do blocks whose class names a subject."""
+    some = "<p>" + " ".join(f"word{k}" for k in range(25)) + "</p>"
+    last = "<p>" + " ".join(f"end{k}" for k in range(12)) + "</p>"
+    advert = '<div class="ad"><p>Buy</p></div>'
+    bodies = (
+        "<h1>Title here</h1>" + some * 3 + "<ul>" + "".join(f"<li>item number {k}</li>" for k in range(10)) + "</ul>" + last,
+        "<h1>Title here</h1>" + "".join(f"<div>line number {k} of text</div>" for k in range(12)),
+        "<h1>Two words</h1><p>See <a>one</a>, <a>two</a>, <a>three</a> and <a>four</a>.</p>",
+        "<p>" + " ".join(f"<span><i>w{k}</i></span>" for k in range(12)) + "</p>",
+        '<div class="post-related-work"><h2>Related work</h2>' + some + "</div>",
+        some + '<div class="menu-item"><p>Soup of the day with bread</p></div>' + some,
+        some + "<table>" + "".join(f"<tr><td>a{k}</td><td>b{k}</td></tr>" for k in range(20)) + "</table>" + last,
+        some + "<dl>" + "".join(f"<dt>t{k}</dt><dd>d{k}</dd>" for k in range(20)) + "</dl>" + last,
+        some + advert * 3 + last,
+    )
+    around = "<html><body><nav><ul><li><a href=/>Home</a><li><a>About us</a></ul></nav><header><h1>Site</h1></header>%s<footer>(c) site</footer></body></html>"
+    for body in bodies:
+        want = re.findall(r"[^<>\s]+(?![^<]*>)", body.replace(advert, ""))
+        for within in ("<article>%s</article>", "<main>%s</main>", '<div class="content">%s</div>', "%s"):
+            assert "".join(html.main_text(around % within % body, weights).split()) == "".join(want), (body[:60], within)
+    for body in (some + "<td></td>" * 500 + last, some + advert * 200 + last):
+        assert html.main_text(f"<article>{body}</article>", weights).count("\n") == 1
+    page = "<article>" + (some + "<ul><li>an item</ul>") * 4500 + last + "</article>"
+    assert len(page) > 1_000_000 and html.main_text(page, weights).count("\n") == 9000
+
+
+def test_weights_of_tags_that_articles_hardly_use():
+    """An element of the surroundings alone costs as much as most tags; no tag costs more than its bound."""
+    seen = {("word paragraph", True): 9000, ("word item", False): 900, ("tag p", True): 400, ("tag li", False): 5000, ("tag div", True): 3, ("tag div", False): 4000, ("word outside", False): 50}
+    got = html.learned(seen, html.HtmlParams())
+    assert got["tag li"] == got["tag"] and got["word paragraph"] >= 0.5 and got["word outside"] == -0.5
+    assert all(-0.5 <= w <= -0.05 for f, w in got.items() if f.startswith("tag"))
+    assert html.learned({}, html.HtmlParams()) == html.DEFAULT_WEIGHTS
+
+
+def test_pages_with_ties_and_clashing_columns(spark):
+    page = "<article><p>Some words of text.</p></article>"
+    df = spark.createDataFrame([(1, "u", page, "x", 1), (1, "v", page, "y", 2), (2, "u", page, None, None)], "page_id long, url string, html string, text string, n_chars int")
+    got = html.extract(df).collect()
+    assert sorted((r.page_id, r.url) for r in got) == [(1, "u"), (1, "v"), (2, "u")] and {(r.text, r.n_chars) for r in got} == {("Some words of text.", 19)}
+
+
 def test_region_is_the_best_sum():
     rng = np.random.default_rng(2)
     for _ in range(50):
