@@ -148,8 +148,8 @@ def test_articles_stay_whole(weights):
             assert "".join(html.main_text(around % within % body, weights).split()) == "".join(want), (body[:60], within)
     for body in (some + "<td></td>" * 500 + last, some + advert * 200 + last):
         assert html.main_text(f"<article>{body}</article>", weights).count("\n") == 1
-    page = "<article>" + (some + "<ul><li>an item</ul>") * 4500 + last + "</article>"
-    assert len(page) > 1_000_000 and html.main_text(page, weights).count("\n") == 9000
+    page = "<article>" + (some + "<ul><li>an item</ul>") * 5500 + last + "</article>"
+    assert len(page) > 1_000_000 and html.main_text(page, weights).count("\n") == 11000
 
 
 def test_weights_of_tags_that_articles_hardly_use():
