@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import BLANKS, ENDS, Known
-from .common import Tables, arrow_rows, stored
+from .common import Tables, arrow_rows, gathered, stored
 from .tokens import LibraryEncoder
 
 #: A single space between two other characters than blanks: no token of either kind crosses it.
@@ -26,7 +26,7 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of a unit that is kept with its ids for later texts.
 LONG = 64
 #: Units that a worker keeps, in each of two generations.
-KEPT = 250_000
+KEPT = 120_000
 #: Marks the ids of B where both kinds lie together.
 OF_B = 1 << 31
 #: A letter or digit and a closing mark behind it.
@@ -41,7 +41,7 @@ class AlignmentParams:
     a: str
     b: str
     #: Characters of texts that are aligned together; longer texts go in parts.
-    block_chars: int = 4 << 20
+    block_chars: int = 2 << 20
 
 
 @dataclass
@@ -306,23 +306,6 @@ BLOCKS = "block long, pairs array<long>, weights array<long>, docs binary"
 MEASURES = "key binary, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
-    """Rows with up to about `most` characters of text at a time, one row at least."""
-    held, size = [], 0
-    for batch in batches:
-        k = 0
-        for j, n in enumerate(pc.utf8_length(batch.column("text")).to_pylist(), 1):
-            size += n
-            if size >= most:
-                held.append(batch.slice(k, j - k))
-                yield pa.Table.from_batches(held)
-                held, size, k = [], 0, j
-        if k < batch.num_rows:
-            held.append(batch.slice(k))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """Distinct texts that are not empty: key (SHA-256), text, weight (how many documents have it)."""
     texts = docs.where("text IS NOT NULL AND text <> ''").groupBy("text").agg(F.count("*").alias("weight"))

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What new_path() gives inside alone() is noted here, to be deleted.
+SCOPE: ContextVar[Tables | None] = ContextVar("scope", default=None)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if scope := SCOPE.get():
+        scope.paths.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -81,12 +92,42 @@ class Tables:
         self.delete()
 
 
+def alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows of make() as one stored table; all else that it put into the shared folder is deleted."""
+    path = new_path(spark, name)
+    with Tables(spark) as t:
+        before = SCOPE.set(t)
+        try:
+            out = make()
+            out.write.parquet(path)
+        finally:
+            SCOPE.reset(before)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int, column: str = "text") -> Iterator[pa.Table]:
+    """Rows with up to about `most` characters of text at a time, one row at least."""
+    held, size = [], 0
+    for batch in batches:
+        k = 0
+        for j, n in enumerate(pc.utf8_length(batch.column(column)).to_pylist(), 1):
+            size += n or 0
+            if size >= most:
+                held.append(batch.slice(k, j - k))
+                yield pa.Table.from_batches(held)
+                held, size, k = [], 0, j
+        if k < batch.num_rows:
+            held.append(batch.slice(k))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Smallest reachable id for every id that has an edge: (id, component), a stored table.
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", store: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
+    """Smallest reachable id for every id that has an edge: (id, component), as `store` keeps it.
 
     Alternating large-star and small-star rounds; both are grouped minima
     (combined before the shuffle) followed by joins, so a node with very many
@@ -118,7 +159,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
                 break
             before = after
         found = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
-        return stored(found, "components")
+        return store(found, "components")
 
 
 #: Bits of a membership filter (4 MB, whatever the corpus), and of one of its parts.
