@@ -310,7 +310,10 @@ def search_with(index, params: DecontaminationParams):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams | None = None) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns.
 
-    Each row is judged by its own text where it is read, whatever its id.
+    Each row is judged by its own text where it is read, whatever its id, its
+    other columns or their names; null and empty texts stay; repeated rows stay or
+    go together; a text is searched whole, however long; without items, or
+    without documents, nothing changes.
     """
     params = params or DecontaminationParams()
     arrow_rows(docs.sparkSession)

@@ -183,13 +183,13 @@ def jaccard_rows(docs: DataFrame, params: JaccardParams | None = None, id_col: s
         # most sets are linked to their least candidate, which makes nearly all other pairs of them needless
         least = t.stored(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
         links = t.stored(verified(least, bits, nodes, source, params, t), "links")
-        found = connected_components(links)
+        found = connected_components(links, store=t.stored)
         apart = t.stored(across(star.join(least, ["a", "b"], "left_anti"), found), "pairs")
         for pairs in (lambda: apart, lambda: t.stored(unresolved(tiles, found, bits, params, t), "pairs")):
             more = t.stored(verified(pairs(), bits, nodes, source, params, t), "links")
             if not more.isEmpty():
                 links = links.unionByName(more)
-                found = connected_components(links)
+                found = connected_components(links, store=t.stored)
 
         # what is neither a copy nor linked is its own group
         grouped = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").where("many > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))

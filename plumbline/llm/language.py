@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, gathered
 
 UNDETERMINED = "und"
 
@@ -21,6 +21,8 @@ class LanguageParams:
     orders: tuple[int, ...] = (1, 2, 3)
     buckets: int = 1 << 14
     smoothing: float = 0.5
+    #: Characters that are counted together; about 100 bytes of memory each.
+    most_chars: int = 1 << 20
     #: Greatest size of the broadcast matrix (languages * buckets * 4 bytes).
     most_matrix_bytes: int = 256 << 20
 
@@ -31,12 +33,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def grams(texts: list[str], params: LanguageParams) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of several texts, and the text that each belongs to.
+    """Buckets of all n-grams of several lower-case texts, and the text that each belongs to.
 
-    Texts are lower-cased; every character that is no letter is a blank, and
+    Every character that is no letter is a blank, and
     blanks in a row are one, so figures and punctuation say nothing.
     """
-    joined = "\0".join(t.lower() for t in texts) + "\0"
+    joined = "\0".join(texts) + "\0"
     points = np.frombuffer(joined.encode("utf-32-le", "replace"), "<u4")
     ends = points == 0
     owner = np.cumsum(ends) - ends
@@ -62,6 +64,50 @@ def grams(texts: list[str], params: LanguageParams) -> tuple[np.ndarray, np.ndar
     return np.concatenate(buckets or [np.zeros(0, np.uint32)]).astype(np.int64), np.concatenate(owners or [np.zeros(0, np.int64)])
 
 
+def before(text: str, at: int, n: int) -> str:
+    """The last n characters or some more before a letter's place, from a letter on, with blanks in a row as one, as grams() sees them."""
+    out = ""
+    while at > 0 and (len(out) < n or out[:1] == " "):
+        at -= 1
+        if text[at].isalpha():
+            out = text[at] + out
+        elif out[:1] != " ":
+            out = " " + out
+    return out.lstrip(" ")
+
+
+def counted(texts: list[str], params: LanguageParams) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The n-grams of the texts, some at a time: bucket, text, and 1 or -1.
+
+    A long text is cut before letters. A part has the characters before it in
+    front, and what these hold by themselves counts -1.
+    """
+    reach = max(params.orders) - 1
+    parts: list[tuple[int, int, str]] = []
+    size = 0
+
+    def settle() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        bucket, part = grams([p for _, _, p in parts], params)
+        return bucket, np.array([k for k, _, _ in parts], np.int64)[part], np.array([s for _, s, _ in parts], np.int64)[part]
+
+    for k, text in enumerate(texts):
+        low = text.replace("\0", " ").lower()
+        at = 0
+        while at < len(low):
+            end = at + params.most_chars
+            while end < len(low) and not low[end].isalpha():
+                end += 1
+            front = before(low, at, reach) if at else ""
+            parts += [(k, 1, front + low[at:end]), *([(k, -1, front)] if front else [])]
+            size += min(end, len(low)) - at
+            at = end
+            if size >= params.most_chars:
+                yield settle()
+                parts, size = [], 0
+    if parts:
+        yield settle()
+
+
 @lru_cache(maxsize=1)
 def is_letter() -> np.ndarray:
     """Whether a code point is a letter."""
@@ -79,13 +125,14 @@ def train(docs: DataFrame, params: LanguageParams | None = None) -> tuple[list[s
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in gathered(batches, params.most_chars):
             by: dict[str, list[str]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
                 own = total.setdefault(lang, np.zeros(params.buckets + 1, np.int64))
-                own[:-1] += np.bincount(grams(texts, params)[0], minlength=params.buckets)
+                for bucket, _, sign in counted(texts, params):
+                    own[:-1] += np.bincount(bucket[sign > 0], minlength=params.buckets) - np.bincount(bucket[sign < 0], minlength=params.buckets)
                 own[-1] += len(texts)
         for lang, counts in total.items():
             at = np.flatnonzero(counts)
@@ -118,19 +165,23 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], params: Langu
     matrix = spark.sparkContext.broadcast(model[1])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [(t or "").replace("\0", " ") for t in batch.column("text").to_pylist()]
+        for batch in gathered(batches, params.most_chars):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            if langs and texts:
+            if langs:
                 logs = matrix.value
-                bucket, owner = grams(texts, params)
-                sums = np.stack([np.bincount(owner, logs[:-1, k][bucket], len(texts)) for k in range(len(langs))], 1) + logs[-1]
+                sums, seen = np.tile(logs[-1].astype(np.float64), (len(texts), 1)), np.zeros(len(texts))
+                for bucket, owner, sign in counted(texts, params):
+                    seen += np.bincount(owner, sign, len(texts))
+                    for k in range(len(langs)):
+                        sums[:, k] += np.bincount(owner, logs[:-1, k][bucket] * sign, len(texts))
                 best = sums.argmax(1)
                 p = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
-                known = np.bincount(owner, minlength=len(texts)) > 0
+                known = seen > 0
                 scores = np.where(known, p, 0.0)
                 names = [langs[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", *keep, "lang_pred", "score"])
+            own = [batch.column(c).combine_chunks() for c in ("doc_id", *keep)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", *keep, "lang_pred", "score"])
 
     extra = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in keep if c not in ("doc_id", "text")))

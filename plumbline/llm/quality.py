@@ -271,7 +271,11 @@ def verdict(refs: list[Reference], text: str, short: ShortWords, params: Quality
 
 
 def keep_good(docs: DataFrame, params: QualityParams | None = None) -> DataFrame:
-    """The rows of docs that quality_rules() keeps, with all their columns."""
+    """The rows of docs that quality_rules() keeps, with all their columns, whatever their names.
+
+    Null and empty texts go (they have no words); rows that repeat an id are
+    judged one by one; an empty table stays empty.
+    """
     return judged(docs, params, docs.schema, lambda batch, rows: batch.filter(pa.array([r[-1] for r in rows], pa.bool_())))
 
 

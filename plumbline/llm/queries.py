@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import alignment, bpe, decontaminate, html, jaccard, language, lines, negatives, neighbours, pii, quality, tokens, warc
-from .common import new_path, table
+from .common import alone, new_path, table
 
 #: The vocabulary file that the token queries use; a parameter of the operators.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,29 +18,39 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "tokens")
-    tokens.write_token_files(table(spark, sf_dir, "documents"), path, tokens.TokenFileParams(TOKENIZER))
-    return tokens.positions(spark, path)
+    """Nulls and empty texts have the end id only; repeated ids one row each; other columns are ignored."""
+
+    def run() -> DataFrame:
+        path = new_path(spark, "tokens")
+        tokens.write_token_files(table(spark, sf_dir, "documents"), path, tokens.TokenFileParams(TOKENIZER))
+        return tokens.positions(spark, path)
+
+    return alone(spark, run, "positions")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty pages have an empty text; repeated ids one row each; other columns are ignored."""
     return html.extract(table(spark, sf_dir, "pages"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with what is left of their texts; null texts stay null."""
     return lines.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Null and empty texts and items match nothing; repeated rows give repeated results."""
+    return alone(spark, lambda: decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")), "contaminated")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.personal_data(table(spark, sf_dir, "documents"))
+    """Null and empty texts have no spans; repeated ids one row each."""
+    return alone(spark, lambda: pii.personal_data(table(spark, sf_dir, "documents")), "personal-data")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """A null page is an empty payload; repeated ids one row each."""
+    return alone(spark, lambda: warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "captures")
 
 
 #: The same decisions in SQL.
@@ -56,32 +66,39 @@ FROM f
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no ids; repeated ids one row each."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts and those without a letter are `und`; a null lang is not learned from; repeated ids one row each."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out())
     return language.identify(docs, language.train(docs.where("not held_out")), keep=("held_out",))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents"))
+    """Null and empty texts fail the base rules; repeated ids one row each."""
+    return alone(spark, lambda: quality.quality_rules(table(spark, sf_dir, "documents")), "quality")
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), jaccard.JaccardParams(words=3, percent=90))
+    """Null, empty and blank texts are groups of their own; repeated ids one row each."""
+    return alone(spark, lambda: jaccard.jaccard_groups(table(spark, sf_dir, "documents"), jaccard.JaccardParams(words=3, percent=90)), "jaccard")
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts, and those that B's pieces change, have zeros; repeated ids one row each."""
     return alignment.aligned_documents(table(spark, sf_dir, "documents"), alignment.AlignmentParams(TOKENIZER, PIECES))
 
 
 def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null, zero and non-finite vectors take no part; ties go to smaller ids."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return neighbours.neighbours(rows, rows.where("id % 20 = 0")).withColumnRenamed("id", "vec_id")
 
 
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a null id, label or vector, or a component that is not finite, take no part; ties go to smaller ids."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"))
     return negatives.hard_negatives(rows, rows.where("id % 100 = 0"))

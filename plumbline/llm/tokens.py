@@ -72,8 +72,14 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+FILES = "shard int, first long, doc_id long, n_tokens long, ids array<int>"
+
+
 def write_token_files(docs: DataFrame, path: str, params: TokenFileParams) -> None:
-    """Encodes every text and writes (shard, doc_id, n_tokens, ids) as ORC in ascending doc_id order.
+    """Encodes every text and writes (shard, first, doc_id, n_tokens, ids) as ORC in ascending doc_id order.
+
+    `first` counts the ids of the shard's documents before this one, so the place
+    of a document in its file does not depend on how a reader sorts what repeats an id.
 
     Documents are range-partitioned by id (and by a hash of the text, so that an
     id that repeats very often is still dealt to several tasks); a task writes
@@ -87,19 +93,21 @@ def write_token_files(docs: DataFrame, path: str, params: TokenFileParams) -> No
     end, tokenizer = params.end_id, params.tokenizer
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(tokenizer)
+        encoder, first = library_encoder(tokenizer), 0
         for batch in grouped(batches):
             plain, size = encoder.batch([t or "" for t in batch.column("text").to_pylist()])
             flat = np.insert(plain.astype(np.int32), np.cumsum(size), end)
             size = size + 1
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), pa.array(size), ids], names=["shard", "doc_id", "n_tokens", "ids"])
+            before = first + np.cumsum(size) - size
+            first += int(size.sum())
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(before), batch.column("doc_id"), pa.array(size), ids], names=["shard", "first", "doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ranged = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     placed = ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "text")
     (
-        placed.mapInArrow(encode, "shard int, doc_id long, n_tokens long, ids array<int>")
+        placed.mapInArrow(encode, FILES)
         .write.option("orc.compress", "LZ4")
         .option("orc.stripe.size", params.stripe_bytes)
         .option("orc.row.index.stride", params.index_rows)
@@ -111,14 +119,16 @@ def write_token_files(docs: DataFrame, path: str, params: TokenFileParams) -> No
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("shard int, doc_id long, n_tokens long, ids array<int>").orc(path)
+    """The rows of the files, a null id's first in them; no rows if no document was written. Filters on doc_id skip files, stripes and index entries."""
+    return spark.read.schema(FILES).orc(path)
 
 
 def positions(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files alone: doc_id, start, n_tokens, ids_crc32.
 
-    start counts the ids of all documents before it: one sum a shard (a row for
-    each file), accumulated, and a running sum inside the shard.
+    start counts the ids of all documents before it in the order of the files:
+    one sum a shard (a row for each file), accumulated, and the shard's own count.
+    Of documents that share an id, or have none, each has its own place.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,11 +137,10 @@ def positions(spark: SparkSession, path: str) -> DataFrame:
             ends = ids.offsets.to_numpy()
             flat = ids.values.to_numpy().astype("<u4")
             crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "doc_id", "n_tokens")), pa.array(crc, pa.int64())], names=["shard", "doc_id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "first", "doc_id", "n_tokens")), pa.array(crc, pa.int64())], names=["shard", "first", "doc_id", "n_tokens", "ids_crc32"])
 
     arrow_rows(spark)
-    rows = read_token_files(spark, path).mapInArrow(digest, "shard int, doc_id long, n_tokens long, ids_crc32 long")
+    rows = read_token_files(spark, path).mapInArrow(digest, "shard int, first long, doc_id long, n_tokens long, ids_crc32 long")
     sums = read_token_files(spark, path).groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     before = sums.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("before"))
-    inside = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("doc_id", "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.join(before, "shard").select("doc_id", (F.col("before") + inside - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(before, "shard").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")

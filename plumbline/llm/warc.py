@@ -22,8 +22,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 class WarcParams:
     #: Payloads shorter than this are never revisits.
     least_payload: int = 100
-    #: Mean size of an archive; a reader holds one archive in memory.
+    #: Mean size of an archive, and how many times that it has at most (or one record); a reader holds one archive in memory.
     archive_bytes: int = 32 << 20
+    most_times: int = 4
     #: Pages have no capture time: page n counts as captured n seconds after this moment, modulo a thousand million.
     first_capture: str = "2024-01-01 00:00:00"
     #: Captures of one range of the merged index, on average; a task holds one range.
@@ -75,11 +76,13 @@ def write_archives(pages: DataFrame, path: str, params: WarcParams | None = None
     """Writes the pages as WARC files by Spark's text writer, whose row ends are a record's closing blank lines.
 
     Spark commits the files, so a task that runs twice leaves one copy, on any
-    file system that Spark writes to.
+    file system that Spark writes to. An archive has so few records that even if
+    all were as long as the longest it would keep within its bytes.
     """
     params = params or WarcParams()
-    mean = pages.agg(F.avg(F.octet_length(F.coalesce("html", F.lit(""))) + 600)).first()[0] or 600
-    most = max(1, int(params.archive_bytes / mean))
+    length = F.octet_length(F.coalesce("html", F.lit(""))) + F.coalesce(F.octet_length("url"), F.lit(0)) + 600
+    mean, longest = pages.agg(F.avg(length), F.max(length)).first()
+    most = max(1, int(min(params.archive_bytes / (mean or 600), params.most_times * params.archive_bytes / (longest or 600))))
     records(pages, params).select("value").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).text(path)
 
 

@@ -93,6 +93,33 @@ def test_token_files(spark, docs, empty):
     assert tokens.positions(spark, path).count() == 0
 
 
+def test_repeated_ids_stand_in_file_order_and_filters_skip_stripes(spark):
+    t = tokenizer()
+    texts = ["one two three four five six", "a", "b c d e f g h i j", "k"]
+    df = spark.createDataFrame([(2, x) for x in texts] + [(k, f"text {k} of many") for k in range(3, 4000)], "doc_id long, text string").repartition(3)
+    path = new_path(spark, "t")
+    tokens.write_token_files(df.where("doc_id < 5"), path, tokens.TokenFileParams(queries.TOKENIZER))
+    files = tokens.read_token_files(spark, path)
+    shards = sorted({r.shard for r in files.select("shard").collect()})
+    rows = [r for s in shards for r in files.where(F.col("shard") == s).collect()]  # as they lie in the files
+    place, want = 0, set()
+    for r in rows:
+        want.add((r.doc_id, place, r.n_tokens, zlib.crc32(np.array(r.ids, "<u4").tobytes())))
+        place += r.n_tokens
+    assert {tuple(r) for r in tokens.positions(spark, path).collect()} == want
+    assert sorted(r.n_tokens for r in rows if r.doc_id == 2) == sorted(len(t.encode(x).ids) + 1 for x in texts)
+    path = new_path(spark, "t")
+    tokens.write_token_files(df.where("doc_id > 2").coalesce(1), path, tokens.TokenFileParams(queries.TOKENIZER, index_rows=1000))
+
+    def read(condition: str) -> int:
+        found = tokens.read_token_files(spark, path).where(condition)
+        found.collect()
+        leaf = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return leaf.metrics().apply("numOutputRows").value()
+
+    assert read("doc_id >= 3") == 3997 and read("doc_id = 3500") <= 1000 and read("doc_id = -5") == 0
+
+
 def test_html_extraction(spark):
     page = (
         '<html><head><title>T</title><script>var a="</p>"</script></head><body><header><h1>Site</h1></header><div id="cookie-notice">We use cookies for many good reasons</div>'
@@ -294,6 +321,39 @@ def test_language(spark, docs, empty):
     assert language.identify(docs, language.train(empty)).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_long_texts_are_counted_in_parts():
+    """What is counted part by part is what is counted at once; 20 MB take no more memory than the parts do."""
+    whole = language.LanguageParams()
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdé  ,\n1ΣİßЖ中😀  "))
+    for k in range(60):
+        text = "".join(rng.choice(letters, rng.integers(0, 400)))
+        want = np.bincount(language.grams([text.lower()], whole)[0], minlength=whole.buckets)
+        got = np.zeros(whole.buckets)
+        for bucket, owner, sign in language.counted([text], language.LanguageParams(most_chars=int(rng.integers(1, 40)))):
+            assert (owner == 0).all()
+            got += np.bincount(bucket, sign, whole.buckets)
+        assert (got == want).all(), k
+    import tracemalloc
+
+    long = "some words and more " * 1_000_000
+    tracemalloc.start()
+    total = sum(int(sign.sum()) for _, _, sign in language.counted([long], whole))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 3 * len(long) - 4_000_000 - 3 and peak < 300e6, (total, peak)
+
+
+def test_archives_are_bounded_by_bytes(spark):
+    """A few very long pages among short ones make no archive much longer than asked."""
+    df = spark.createDataFrame([(k, f"http://x/{k}", "y" * (400_000 if k % 50 == 0 else 30) + str(k)) for k in range(400)], "page_id long, url string, html string").coalesce(1)
+    path = new_path(spark, "t")
+    warc.write_archives(df, path, warc.WarcParams(archive_bytes=1 << 20))
+    sizes = [r[0] for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    assert max(sizes) <= 4 << 20 and len(sizes) > 4
+    assert warc.merged_index(warc.sorted_runs(spark, path)).count() == 400
+
+
 def test_held_out_languages_of_the_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").withColumn("held_out", language.held_out())
     told = language.identify(docs.where("held_out"), language.train(docs.where("not held_out")), keep=("lang",)).where("lang is not null and lang_pred <> 'und'")
