@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def ratio(a, b):
@@ -128,3 +132,47 @@ def class_overall(df: DataFrame, truth: str, first: str, second: str) -> DataFra
     top = n.agg((F.sum(F.when(F.col(truth) == F.col(first), F.col("n")).otherwise(0)) / F.sum("n")).alias("top1"), (F.sum(F.when((F.col(truth) == F.col(first)) | (F.col(truth) == F.col(second)), F.col("n")).otherwise(0)) / F.sum("n")).alias("top2"))
     per = class_metrics(df, truth, first)
     return top.crossJoin(per.agg(F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1")))  # one row each
+
+
+def span_scores_partial(gold: DataFrame, found: DataFrame, doc: str = "doc", label: str = "label") -> DataFrame:
+    """(label, tp, gold, told, precision, recall, f1) of spans (doc, label, start, end) that overlap, each matched at most once.
+
+    In each document and label, gold spans take in order of start (then end) the
+    first overlapping span found that is still free. Rows are dealt by document
+    and label and sorted by start; a task walks along them and keeps only the
+    spans that have no partner yet and still reach beyond the place it is at, so
+    what it keeps is as many spans as lie over each other. Empty spans overlap nothing.
+    """
+    tagged = [df.select(F.col(doc).alias("doc"), F.col(label).alias("label"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.lit(kind).alias("kind")) for df, kind in ((gold, 0), (found, 1))]
+    rows = tagged[0].unionByName(tagged[1]).withColumn("h", F.xxhash64("doc", "label"))
+    rows = rows.repartition("h").sortWithinPartitions("h", "doc", "label", "start", "end", "kind")
+    label_type = rows.schema["label"].dataType
+    arrow_type = to_arrow_type(label_type)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, free = None, ([], [])
+        seen: dict = {}
+        for batch in batches:
+            for d, name, start, end, kind in zip(*(batch.column(c).to_pylist() for c in ("doc", "label", "start", "end", "kind")), strict=True):
+                if (d, name) != own:
+                    own, free = (d, name), ([], [])
+                counts = seen.setdefault(name, [0, 0, 0])
+                counts[1 + kind] += 1
+                if start >= end:
+                    continue
+                others = free[1 - kind]
+                while others and others[0] <= start:  # sorted by start; what ends here meets nothing that comes
+                    others.pop(0)
+                partner = next((k for k, e in enumerate(others) if e > start), None)
+                if partner is None:
+                    free[kind].append(end)
+                else:
+                    others.pop(partner)
+                    counts[0] += 1
+        names = list(seen)
+        columns = [pa.array([seen[n][k] for n in names], pa.int64()) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array(names, arrow_type), *columns], names=["label", "tp", "gold", "told"])
+
+    both = rows.drop("h").mapInArrow(walk, f"label {label_type.simpleString()}, tp long, gold long, told long").groupBy("label").agg(*(F.sum(c).alias(c) for c in ("tp", "gold", "told")))
+    both = both.withColumns({"precision": ratio(F.col("tp"), F.col("told")), "recall": ratio(F.col("tp"), F.col("gold"))})
+    return both.withColumn("f1", f_beta(F.col("precision"), F.col("recall"), 1.0))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, tables, texts, workflow
+from . import analytics, corpus, tables, texts, workflow
 
-QUERIES: dict = analytics.QUERIES | tables.QUERIES | texts.QUERIES | workflow.QUERIES
-ORACLES: dict[str, str] = analytics.ORACLES | tables.ORACLES | texts.ORACLES | workflow.ORACLES
+PARTS = (analytics, tables, texts, workflow, corpus)
+QUERIES: dict = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
