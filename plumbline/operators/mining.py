@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 # The fields of an itemset, what a rule may conclude, and pairs of fields that hold by definition.
 ITEM_FIELDS = ("activity", "energy_type", "barrier_status", "barrier_failure_mode", "exposure", "site")
 CONSEQUENTS = ("exposure", "barrier_status", "barrier_failure_mode")
@@ -30,11 +32,12 @@ def itemset_counts(frames: DataFrame, params: RuleParams) -> tuple[DataFrame, in
     """(items, n) of every frequent itemset up to the largest size, the transactions, and the least count.
 
     Itemsets are choices of fields, so they are counted by one grouping of each
-    choice, after frames are first grouped to distinct field combinations.
+    choice, after frames are first grouped to distinct field combinations, which
+    are few and written once.
     """
     value = lambda f: F.when(~F.col(f).isin(*MISSING), F.concat(F.lit(f + "="), F.col(f)))
     signed = frames.select(*(value(f).alias(f) for f in params.fields)).groupBy(*params.fields).agg(F.count("*").alias("n"))
-    signed = signed.where(F.coalesce(*params.fields).isNotNull())
+    signed = stored(signed.where(F.coalesce(*params.fields).isNotNull()), "signed")
     total = signed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(2, int(params.min_support * total))
     sets = F.array(*(F.array_compact(F.array_sort(F.array(*map(F.col, c)))) if len(c) == 1 else F.when(F.expr(" AND ".join(f"`{f}` IS NOT NULL" for f in c)), F.array_sort(F.array(*map(F.col, c)))) for size in range(1, params.max_itemset + 1) for c in combinations(params.fields, size)))

@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .density import density_labels
 from .ranking import first_mode
 
 SIGNATURE = ("activity", "energy_type", "barrier_type", "barrier_status", "exposure")
 MISSING = ("", "nan", "none", "<na>")
-#: Signatures that one clustering holds in memory: the product of five vocabularies, not the number of reports.
-MOST_SIGNATURES = 20_000
 
 
 def cleaned(c: str):
@@ -30,132 +25,30 @@ def signatures(frames: DataFrame, fields: tuple[str, ...] = SIGNATURE) -> DataFr
 
 
 def density_clusters(frames: DataFrame, min_size: int = 15, fields: tuple[str, ...] = SIGNATURE) -> DataFrame:
-    """(fields, n, label): hierarchical density clusters of the signatures, -1 for noise.
+    """(fields, n, label): hierarchical density clusters of the signatures, -1 for noise; reports of one signature are one weighted point."""
+    return density_labels(signatures(frames, fields), fields, min_size)
+
+
+#: What a pattern's label says of the barrier and of the exposure.
+BARRIER_SAYS = {"confirmed_present": "barrier confirmed", "uncertain": "unverified barrier", "explicitly_absent": "absent barrier", "not_mentioned": "barrier not recorded"}
+EXPOSURE_SAYS = {"direct_proximity": "direct exposure", "indirect_proximity": "indirect exposure", "no_exposure": "no exposure"}
 
-    One-hot rows of unit length differ by sqrt(2 k / fields) if k fields differ,
-    so reports of one signature are one weighted point, and the clustering (core
-    distances, mutual reachability, minimum spanning tree, condensed tree,
-    excess of mass) runs on the signatures, which are few whatever the number of
-    reports. Labels go by falling number of reports, then by signature.
+
+def pattern_labels(members: DataFrame, order: str = "report_id") -> DataFrame:
+    """(cluster_id, pattern_label): the most frequent activity, energy, barrier state and exposure of each cluster, in words.
+
+    Blank values do not count; of equal numbers the value that is met first by
+    `order` wins. A field without any value is called unspecified or unknown.
     """
-    sign = signatures(frames, fields)
-    if (many := sign.count()) > MOST_SIGNATURES:
-        raise ValueError(f"{many} signatures; the clustering holds {MOST_SIGNATURES}. Group by fewer fields")
-    schema = ", ".join(f"{f} string" for f in fields) + ", n long, label int"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
-        if len(rows):
-            rows = rows.sort_values(list(fields), ignore_index=True)
-            rows["label"] = weighted_hdbscan(np.stack([rows[f].astype("category").cat.codes.to_numpy() for f in fields], 1), rows["n"].to_numpy(), min_size)
-            size = rows[rows["label"] >= 0].groupby("label")["n"].sum()
-            order = {old: new for new, old in enumerate(sorted(size.index, key=lambda k: (-size[k], rows.index[rows["label"] == k][0])))}
-            rows["label"] = rows["label"].map(order).fillna(-1).astype("int32")
-            yield rows
-
-    return sign.repartition(1).mapInPandas(run, schema)
-
-
-def weighted_hdbscan(codes: np.ndarray, weight: np.ndarray, min_size: int) -> np.ndarray:
-    """Labels of weighted categorical points under the matching distance, as hierarchical density clustering gives them."""
-    n, m = codes.shape
-    if n == 1:
-        return np.zeros(1, int) if weight.sum() >= min_size else np.full(1, -1)
-    step = np.sqrt(2 * np.arange(m + 1) / m)
-    apart = np.stack([(codes != codes[k]).sum(1) for k in range(n)]).astype(np.int8)
-    core = np.zeros(n)
-    for k in range(n):
-        reach = np.cumsum(np.bincount(apart[k], weights=weight, minlength=m + 1))
-        core[k] = step[min(int(np.searchsorted(reach, min_size)), m)]
-    # Prim's tree over mutual reachability
-    inside, best, link = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
-    edges, here = [], 0
-    for _ in range(n - 1):
-        inside[here] = True
-        d = np.maximum(np.maximum(step[apart[here]], core[here]), core)
-        closer = (d < best) & ~inside
-        best[closer], link[closer] = d[closer], here
-        here = int(np.where(inside, np.inf, best).argmin())
-        edges.append((best[here], link[here], here))
-    # merges of equal distance happen at once
-    edges.sort(key=lambda e: e[0])
-    owner = list(range(n))
-    node: dict[int, tuple] = {k: (0.0, float(weight[k]), [], k) for k in range(n)}  # distance, weight, children, point
-    next_id = n
-
-    def find(a: int) -> int:
-        while owner[a] != a:
-            owner[a] = owner[owner[a]]
-            a = owner[a]
-        return a
-
-    at = 0
-    while at < len(edges):
-        end = at
-        touched: dict[int, set[int]] = {}
-        while end < len(edges) and edges[end][0] == edges[at][0]:
-            end += 1
-        parent = {}
-
-        def root(x: int, parent=parent) -> int:
-            parent.setdefault(x, x)
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        for _, a, b in edges[at:end]:
-            parent[root(find(a))] = root(find(b))
-        for x in list(parent):
-            touched.setdefault(root(x), set()).add(x)
-        for group in touched.values():
-            owner.append(next_id)
-            node[next_id] = (float(edges[at][0]), sum(node[g][1] for g in group), sorted(group), None)
-            for g in group:
-                owner[g] = next_id
-            next_id += 1
-        at = end
-    top = find(0)
-
-    def points(x: int) -> list[int]:
-        out, todo = [], [x]
-        while todo:
-            y = todo.pop()
-            if node[y][3] is not None:
-                out.append(node[y][3])
-            todo += node[y][2]
-        return out
-
-    labels, count = np.full(n, -1), 0
-    lam = lambda d: 1 / max(d, 1e-9)
-
-    def walk(x: int, born: float) -> tuple[float, list[int]]:
-        """Stability and chosen clusters of the condensed subtree that is born at lambda `born` with node x."""
-        stability, at = 0.0, x
-        while True:
-            children = node[at][2]
-            here = lam(node[at][0])
-            big = [c for c in children if node[c][1] >= min_size]
-            if not children or not big:
-                return stability + node[at][1] * (here - born), [x]
-            stability += sum(node[c][1] for c in children if c not in big) * (here - born)
-            if len(big) == 1:
-                at = big[0]
-                continue
-            stability += sum(node[c][1] for c in big) * (here - born)
-            below = [walk(c, here) for c in big]
-            total = sum(s for s, _ in below)
-            return (total, [k for _, ks in below for k in ks]) if total > stability else (stability, [x])
-
-    if node[top][1] < min_size:
-        return labels
-    chosen = walk(top, lam(node[top][0]))[1]
-    if chosen == [top]:  # the whole data is no cluster, unless nothing ever splits
-        big = [c for c in node[top][2] if node[c][1] >= min_size]
-        chosen = [k for c in big for k in walk(c, lam(node[top][0]))[1]]
-    for c in chosen:
-        labels[points(c)] = count
-        count += 1
-    return labels
+    fields = {"activity": "unspecified activity", "energy_type": "unspecified energy", "barrier_status": "unknown", "exposure": "unknown exposure"}
+    out = members.select("cluster_id").distinct()
+    for f in fields:
+        known = members.where(F.coalesce(F.col(f).cast("string"), F.lit("")) != "")
+        out = out.join(first_mode(known, ["cluster_id"], f, order), "cluster_id", "left")
+    said = {f: F.coalesce(f, F.lit(default)) for f, default in fields.items()}
+    for f, words in (("barrier_status", BARRIER_SAYS), ("exposure", EXPOSURE_SAYS)):
+        said[f] = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in words.items() for x in kv)), said[f]), said[f])
+    return out.select("cluster_id", F.concat_ws(" + ", *said.values()).alias("pattern_label"))
 
 
 def clustered(frames: DataFrame, labels: DataFrame, fields: tuple[str, ...] = SIGNATURE) -> DataFrame:
@@ -175,8 +68,8 @@ def cluster_summary(members: DataFrame, recent: float = 0.25) -> DataFrame:
     members or fewer, of which all but one have high energy, and one lacks a barrier.
     """
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("cluster_id")
-    timed = members.withColumns({"t": seconds, "low": F.min(seconds).over(w), "high": F.max(seconds).over(w)})
+    ends = members.groupBy("cluster_id").agg(F.min(seconds).alias("low"), F.max(seconds).alias("high"))
+    timed = members.withColumn("t", seconds).join(ends, "cluster_id")
     out = timed.groupBy("cluster_id").agg(
         F.count("*").alias("member_count"),
         F.count_distinct("site").alias("site_count"),

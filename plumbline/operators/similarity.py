@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import Scratch, stored
+
 
 def norm(v: str) -> str:
     return f"greatest(sqrt(aggregate({v}, 0D, (s, x) -> s + cast(x as double) * x)), 1e-9)"
@@ -60,17 +64,33 @@ def weighted_vote(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def match_edges(members: DataFrame, group: str, key: str, fields: tuple[str, ...], top: int = 40) -> DataFrame:
-    """(group, source, target, same): the pairs of a group's members that agree in most fields, `top` a group.
+    """(group, source, target, same): the pairs of a group's members that agree in most fields, `top` a group, then by source and target.
 
-    Members of one signature are equal to each other, so pairs are formed of
-    signatures, and each signature offers only as many members as can get into
-    the first `top` pairs.
+    From all fields down to none: members that share the values of a choice of
+    so many fields are candidates, in groups that have fewer than `top` pairs
+    yet. Such a group has fewer than `top` pairs that agree in more, so of those
+    that share a choice's values the first 2 * top + 2 by key hold its next pairs,
+    and no more are paired. Nulls agree with nulls; keys are unique.
     """
-    offered = members.withColumn("r", F.row_number().over(Window.partitionBy(group, *fields).orderBy(key))).where(F.col("r") <= top + 1)
-    first = Window.partitionBy(group)
-    sign = offered.withColumn("n", F.count("*").over(first))
-    a, b = sign.alias("a"), sign.alias("b")
-    same = sum((F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))).cast("int") for f in fields)
-    pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))).select(F.col(f"a.{group}").alias(group), F.col(f"a.{key}").alias("source"), F.col(f"b.{key}").alias("target"), same.alias("same"))
-    w = Window.partitionBy(group).orderBy(F.col("same").desc(), "source", "target")
-    return pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).drop("r")
+    with Scratch(members.sparkSession) as t:
+        rows = t.stored(members.select(group, key, *fields), "members")
+        found = None
+        for size in range(len(fields), -1, -1):
+            own = rows
+            if found is not None:
+                full = found.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") >= top)
+                own = rows.join(full, group, "left_anti")
+            choices = list(combinations(fields, size))
+            keys = F.array(*(F.struct(F.lit(k).alias("choice"), F.array(*(F.coalesce(F.concat(F.lit("="), F.col(f).cast("string")), F.lit("")) for f in c)).cast("array<string>").alias("values")) for k, c in enumerate(choices)))
+            dealt = own.select(group, key, F.struct(*fields).alias("own"), F.explode(keys).alias("at"))
+            first = F.row_number().over(Window.partitionBy(group, "at").orderBy(key))
+            few = dealt.withColumn("r", first).where(F.col("r") <= 2 * top + 2).drop("r")
+            a, b = few.alias("a"), few.alias("b")
+            same = sum((F.col(f"a.own.{f}").eqNullSafe(F.col(f"b.own.{f}")).cast("int") for f in fields), F.lit(0))
+            met = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.at") == F.col("b.at")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (same == size))
+            pairs = met.select(F.col(f"a.{group}").alias(group), F.col(f"a.{key}").alias("source"), F.col(f"b.{key}").alias("target"), F.lit(size).alias("same"))
+            best = F.row_number().over(Window.partitionBy(group).orderBy("source", "target"))
+            pairs = t.stored(pairs.withColumn("r", best).where(F.col("r") <= top).drop("r"), "edges")
+            found = pairs if found is None else found.unionByName(pairs)
+        w = Window.partitionBy(group).orderBy(F.col("same").desc(), "source", "target")
+        return stored(found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).drop("r"), "edges")

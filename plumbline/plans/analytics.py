@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import mining, patterns, ranking, summary, trends
+from ..operators import mining, patterns, ranking, similarity, summary, trends
 from ..sources.tables import FRAMES_SQL, frames, latest, table
 
 QUERIES: dict = {}
@@ -265,9 +265,29 @@ def evidence_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.evidence(signature_members(spark, sf_dir))
 
 
+EDGE_FIELDS = ("energy_type", "barrier_type", "barrier_status", "exposure")
+
+
+@query(with_frames(f""", m AS (SELECT site || substr(activity, 1, 2) AS cluster_id, report_id, {", ".join(EDGE_FIELDS)} FROM frames),
+e AS (SELECT a.cluster_id, a.report_id AS source, b.report_id AS target, {" + ".join(f"CAST(a.{f} IS NOT DISTINCT FROM b.{f} AS INT)" for f in EDGE_FIELDS)} AS same FROM m a JOIN m b ON a.cluster_id = b.cluster_id AND a.report_id < b.report_id)
+SELECT cluster_id, source, target, same FROM e QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY same DESC, source, target) <= 40"""))
+def pattern_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 40 pairs of each group of reports that agree in most fields; groups are of a site and a kind of activity."""
+    m = frames(spark, sf_dir).withColumn("cluster_id", F.concat("site", F.substring("activity", 1, 2)))
+    return similarity.match_edges(m, "cluster_id", "report_id", EDGE_FIELDS)
+
+
+@query(with_frames(MEMBERS_SQL + "".join(f", {f}_n AS (SELECT cluster_id, {f}, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, min(report_id)) AS r FROM members WHERE {f} <> '' GROUP BY cluster_id, {f})" for f in ("activity", "energy_type", "barrier_status", "exposure")) + """
+SELECT DISTINCT members.cluster_id, a.activity || ' + ' || e.energy_type || ' + ' || CASE b.barrier_status WHEN 'confirmed_present' THEN 'barrier confirmed' WHEN 'uncertain' THEN 'unverified barrier' WHEN 'explicitly_absent' THEN 'absent barrier' ELSE 'barrier not recorded' END
+  || ' + ' || CASE x.exposure WHEN 'direct_proximity' THEN 'direct exposure' WHEN 'indirect_proximity' THEN 'indirect exposure' ELSE 'no exposure' END AS pattern_label
+FROM members JOIN activity_n a ON a.cluster_id = members.cluster_id AND a.r = 1 JOIN energy_type_n e ON e.cluster_id = members.cluster_id AND e.r = 1 JOIN barrier_status_n b ON b.cluster_id = members.cluster_id AND b.r = 1 JOIN exposure_n x ON x.cluster_id = members.cluster_id AND x.r = 1"""))
+def pattern_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words for each pattern, from its most frequent values."""
+    return patterns.pattern_labels(signature_members(spark, sf_dir))
+
+
 @query()
 def pattern_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Density clusters of the frames' signatures with their summary; an iterative algorithm, checked in tests."""
+    """Density clusters of the frames' five fields with their summary; tested against a plain form of the algorithm."""
     f = frames(spark, sf_dir)
-    labels = patterns.density_clusters(f, 15, FEW)
-    return patterns.cluster_summary(patterns.clustered(f, labels, FEW))
+    return patterns.cluster_summary(patterns.clustered(f, patterns.density_clusters(f)))
