@@ -176,3 +176,75 @@ def span_scores_partial(gold: DataFrame, found: DataFrame, doc: str = "doc", lab
     both = rows.drop("h").mapInArrow(walk, f"label {label_type.simpleString()}, tp long, gold long, told long").groupBy("label").agg(*(F.sum(c).alias(c) for c in ("tp", "gold", "told")))
     both = both.withColumns({"precision": ratio(F.col("tp"), F.col("told")), "recall": ratio(F.col("tp"), F.col("gold"))})
     return both.withColumn("f1", f_beta(F.col("precision"), F.col("recall"), 1.0))
+
+
+def pooled(blocks: Iterator[tuple[float, float, float, float]]) -> list[list[float]]:
+    """Blocks (low, high, n, positives) in order of score, pooled until their rates rise."""
+    out: list[list[float]] = []
+    for low, high, n, positives in blocks:
+        out.append([low, high, n, positives])
+        while len(out) > 1 and out[-2][3] * out[-1][2] >= out[-1][3] * out[-2][2]:
+            _, high, n, positives = out.pop()
+            out[-1][1] = high
+            out[-1][2] += n
+            out[-1][3] += positives
+    return out
+
+
+BLOCK = "part int, low double, high double, n double, positives double"
+
+
+def isotonic(scores: DataFrame, ranges: int = 64, together: int = 16) -> DataFrame:
+    """(low, high, n, positives, rate): the rising steps that fit y best by least squares over p, lowest first by `low`.
+
+    Rows of one score count together. Scores are dealt by ranges; each range is
+    pooled by itself, in order, and then so many neighbouring ranges at a time,
+    until one is left: pooling what is pooled gives the same steps. A task holds
+    steps, not rows; noisy labels leave about the cube root of the rows of them.
+    Null scores and labels take no part; without rows there are no steps.
+    """
+    columns = ("low", "high", "n", "positives")
+
+    def table(part: int, own: list) -> dict:
+        return {"part": pa.array([part] * len(own), pa.int32())} | {c: pa.array([b[k] for b in own], pa.float64()) for k, c in enumerate(columns)}
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, part = [], 0
+        for batch in batches:
+            part = batch.column("part")[0].as_py() if batch.num_rows else part
+            own = pooled([*own, *zip(*(batch.column(c).to_pylist() for c in columns), strict=True)])
+        yield pa.RecordBatch.from_pydict(table(part, own))
+
+    def merge(t: pa.Table) -> pa.Table:
+        t = t.sort_by("low")
+        return pa.table(table(t.column("part")[0].as_py(), pooled(zip(*(t.column(c).to_pylist() for c in columns), strict=True))))
+
+    by_score = scores.where("p IS NOT NULL AND y IS NOT NULL").groupBy(F.col("p").cast("double").alias("low")).agg(F.count("*").cast("double").alias("n"), F.sum(F.col("y").cast("double")).alias("positives"))
+    dealt = by_score.repartitionByRange(ranges, "low").sortWithinPartitions("low").select(F.spark_partition_id().alias("part"), "low", F.col("low").alias("high"), "n", "positives")
+    steps = dealt.mapInArrow(pool, BLOCK)
+    while ranges > 1:
+        ranges = -(-ranges // together)
+        steps = steps.withColumn("part", F.floor(F.col("part") / together).cast("int")).groupBy("part").applyInArrow(merge, BLOCK)
+    return steps.select("low", "high", "n", "positives", (F.col("positives") / F.col("n")).alias("rate"))
+
+
+#: Equal parts of the scores' range in which rows and steps meet.
+CELLS = 1024
+
+
+def isotonic_rates(df: DataFrame, steps: DataFrame) -> DataFrame:
+    """df with p replaced by the rate of the fitted steps: between two steps along the line, beyond the ends the nearest. Null scores stay null.
+
+    Rows and steps meet in cells of the scores' range, and a step is in the cells from its own low to the next one's.
+    """
+    following = F.lead(F.struct("low", "rate")).over(Window.orderBy("low"))  # steps, not rows
+    cell = lambda p: F.greatest(F.lit(0), F.least(F.lit(CELLS - 1), F.floor(p * CELLS).cast("int")))
+    known = steps.withColumn("next", following).withColumn("before", F.lag("low").over(Window.orderBy("low")))
+    known = known.select(
+        F.when(F.col("before").isNull(), F.lit(float("-inf"))).otherwise(F.col("low")).alias("from__"), F.coalesce("next.low", F.lit(float("inf"))).alias("to__"), F.col("high").alias("high__"), F.col("rate").alias("rate__"), F.col("next").alias("next__")
+    ).withColumn("cell__", F.explode(F.sequence(F.when(F.col("from__") == float("-inf"), 0).otherwise(cell(F.col("from__"))), F.when(F.col("to__") == float("inf"), CELLS - 1).otherwise(cell(F.col("to__"))))))
+    score = F.col("p").cast("double")
+    met = df.withColumn("cell__", cell(score)).alias("d").join(known.alias("k"), (F.col("d.cell__") == F.col("k.cell__")) & (score >= F.col("from__")) & (score < F.col("to__")), "left")
+    slope = (F.col("next__.rate") - F.col("rate__")) / (F.col("next__.low") - F.col("high__"))
+    rate = F.when((score <= F.col("high__")) | F.col("next__").isNull(), F.col("rate__")).otherwise(F.col("rate__") + slope * (score - F.col("high__")))
+    return met.select(*(rate.alias("p") if c == "p" else F.col(f"d.{c}") for c in df.columns))

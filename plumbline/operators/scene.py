@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,27 +42,59 @@ def scene_events(signals: DataFrame) -> DataFrame:
     return signals.select(*key, F.explode(F.array_compact(rules)).alias("e")).select(*key, "e.*")
 
 
-def falls(track: DataFrame, key: str, ts: str, x: str, y: str, height: str, *, youngest: float = 0.25, oldest: float = 1.8, shrink: float = 0.65, drop: float = 0.08) -> DataFrame:
-    """Adds `fall`: against the newest sample of the track between youngest and oldest seconds ago, the box lost height and its centre sank.
-
-    Only the first of a track counts. y grows downwards.
+@dataclass(frozen=True)
+class FallParams:
+    """Fixed values of the fall rules: seconds, ratios of height to width, frame heights a second."""
+
+    youngest: float = 0.25
+    oldest: float = 1.8
+    upright: float = 1.15
+    prone: float = 0.95
+    shrink: float = 0.72
+    drop: float = 0.30
+    fast_drop: float = 0.55
+    still_seconds: float = 2.0
+    still_reach: float = 0.025
+    #: Samples of a track that are remembered.
+    history: int = 12
+
+
+def posture(track: DataFrame, key: str, ts: str, order: str, x: str, y: str, width: str, height: str, params: FallParams = FallParams()) -> DataFrame:
+    """track with `fall`, `immobile`, `confidence`, `drop_speed`, `aspect_before`, `aspect_after` by the last samples of each key.
+
+    A sample is held against the newest of the last samples that is between
+    youngest and oldest seconds old. It is a fall if the box went from upright to
+    lying (0.80 sure, 0.90 if its centre sank fast), or sank very fast (0.72), or
+    lost height against its width while it sank (0.55); the first of a track
+    counts. Immobile (0.85): still_seconds or more after the fall, all samples of
+    that time that are remembered, two at least, lie within reach of the first
+    of them; the first such sample counts. y grows downwards; times are ordered by ts, then `order`.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(micros).rangeBetween(-int(oldest * 1e6), -int(youngest * 1e6))
-    ref = F.last(F.struct(F.col(height).alias("h"), F.col(y).alias("y"))).over(w)
-    seen = track.withColumn("ref__", ref).withColumn("hit__", F.coalesce((F.col(height) <= shrink * F.col("ref__.h")) & (F.col(y) - F.col("ref__.y") >= drop), F.lit(False)))
-    before = F.count_if("hit__").over(Window.partitionBy(key).orderBy(micros).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return seen.withColumn("fall", F.col("hit__") & (before == 1)).drop("ref__", "hit__")
-
-
-def immobile(track: DataFrame, key: str, ts: str, x: str, y: str, *, seconds: float = 2.0, reach: float = 0.025, least: int = 2) -> DataFrame:
-    """Adds `immobile`: all samples of the last seconds lie within reach of the first of them; null under `least` samples."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(micros).rangeBetween(-int(seconds * 1e6), 0)
-    held = track.withColumn("held__", F.collect_list(F.struct(micros.alias("t"), F.col(x).alias("x"), F.col(y).alias("y"))).over(w))
-    held = held.withColumn("held__", F.array_sort("held__"))
-    near = F.expr(f"forall(held__, p -> hypot(p.x - held__[0].x, p.y - held__[0].y) <= {reach})")
-    return held.withColumn("immobile", F.when(F.size("held__") >= least, near)).drop("held__")
+    own = Window.partitionBy(key).orderBy(micros, order)
+    sample = F.struct(micros.alias("t"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), (F.col(height) / F.greatest(F.col(width), F.lit(1e-4))).cast("double").alias("aspect"))
+    # as many samples as a track remembers, whatever its density
+    held = track.withColumn("held__", F.collect_list(sample).over(own.rowsBetween(1 - params.history, 0)))
+    age = "(held__[size(held__) - 1].t - s.t)"
+    held = held.withColumn("now__", F.expr("held__[size(held__) - 1]"))
+    held = held.withColumn("ref__", F.expr(f"try_element_at(filter(held__, s -> {age} BETWEEN {round(params.youngest * 1e6)} AND {round(params.oldest * 1e6)}), -1)"))
+    c = F.col
+    speed = (c("now__.y") - c("ref__.y")) / F.greatest((c("now__.t") - c("ref__.t")) / 1e6, F.lit(1e-3))
+    held = held.withColumn("speed__", speed)
+    collapse = (c("ref__.aspect") >= params.upright) & (c("now__.aspect") <= params.prone)
+    shrunk = (c("now__.aspect") < c("ref__.aspect") * params.shrink) & (c("speed__") >= params.drop)
+    held = held.withColumns({"collapse__": F.coalesce(collapse, F.lit(False)), "hit__": F.coalesce(collapse | shrunk | (c("speed__") >= params.fast_drop), F.lit(False))})
+    so_far = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = held.withColumn("fall", c("hit__") & (F.count_if("hit__").over(so_far) == 1)).withColumn("fallen__", F.min(F.when(c("hit__"), c("now__.t"))).over(so_far))
+    recent = f"filter(held__, s -> {age} <= {round(params.still_seconds * 1e6)})"
+    calm = F.expr(f"size({recent}) >= 2 AND forall({recent}, s -> hypot(s.x - {recent}[0].x, s.y - {recent}[0].y) <= {params.still_reach})")
+    still = ~c("fall") & c("ref__").isNotNull() & (c("now__.t") - c("fallen__") >= round(params.still_seconds * 1e6)) & calm
+    held = held.withColumn("still__", F.coalesce(still, F.lit(False)))
+    held = held.withColumn("immobile", c("still__") & (F.count_if("still__").over(so_far) == 1))
+    sure = F.when(c("immobile"), 0.85).when(c("fall"), F.when(c("collapse__"), F.when(c("speed__") >= params.drop, 0.90).otherwise(0.80)).when(c("speed__") >= params.fast_drop, 0.72).otherwise(0.55))
+    said = c("fall") | c("immobile")
+    extra = {"confidence": sure, "drop_speed": F.when(c("immobile"), 0.0).when(c("fall"), F.round("speed__", 3)), "aspect_before": F.when(said, F.round("ref__.aspect", 2)), "aspect_after": F.when(said, F.round("now__.aspect", 2))}
+    return held.withColumns(extra).select(*track.columns, "fall", "immobile", *extra)
 
 
 def falling_mass(track: DataFrame, key: str, ts: str, x: str, y: str, near_person: Column, *, youngest: float = 0.15, oldest: float = 1.2, least: float = 0.35, least_near: float = 0.20) -> DataFrame:

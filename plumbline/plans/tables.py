@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from ..functions.numbers import rounded_even
 from ..operators import evaluation, events, similarity, trends
 from ..sources.tables import table
 
@@ -76,6 +77,39 @@ def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.class_metrics(d, "t", "q").withColumn("f1", F.round("f1", 9))
 
 
+@query()
+def event_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event values and their eighths, rounded half to even by their binary value, as Python's round does; tested against it."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", rounded_even(F.col("value"), 1).alias("value"), rounded_even(F.floor("value") / 8, 2).alias("eighths"))
+
+
+def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The scored documents of even ids, to fit on, and of odd ids."""
+    s = scored(spark, sf_dir)
+    return s.where("doc_id % 2 = 0"), s.where("doc_id % 2 = 1")
+
+
+#: The fitted rate of a score is the greatest, over the places where a stretch may begin at or before it, of the least mean of the stretches from there to an end at or behind it.
+STEPS_SQL = f"""{SCORED}, g AS (SELECT p, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS pos FROM s WHERE doc_id % 2 = 0 GROUP BY p), c AS (SELECT p, n, sum(n) OVER (ORDER BY p) AS cn, sum(pos) OVER (ORDER BY p) AS cp, pos FROM g),
+m AS (SELECT k.p, k.n, k.pos, max(a.least) AS rate FROM c k JOIN (SELECT a.p AS a, x.p AS x, min((b.cp - a.cp + a.pos) / (b.cn - a.cn + a.n)) AS least FROM c a JOIN c x ON x.p >= a.p JOIN c b ON b.p >= x.p GROUP BY a.p, x.p) a ON a.x = k.p GROUP BY k.p, k.n, k.pos),
+steps AS (SELECT min(p) AS low, max(p) AS high, sum(n) AS n, sum(pos) AS positives, round(rate, 9) AS rate FROM m GROUP BY round(rate, 9))"""
+
+
+@query(f"WITH {STEPS_SQL} SELECT * FROM steps")
+def isotonic_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rising steps of quality over the score, fitted on documents of even ids."""
+    return evaluation.isotonic(halves(spark, sf_dir)[0]).withColumn("rate", F.round("rate", 9))
+
+
+@query(f"""WITH {STEPS_SQL}, k AS (SELECT *, lead(low) OVER (ORDER BY low) AS next_low, lead(rate) OVER (ORDER BY low) AS next_rate, lag(low) OVER (ORDER BY low) AS before FROM steps)
+SELECT s.doc_id, round(CASE WHEN p <= high OR next_low IS NULL THEN rate ELSE rate + (next_rate - rate) / (next_low - high) * (p - high) END, 6) AS p FROM s JOIN k ON (before IS NULL OR p >= low) AND (next_low IS NULL OR p < next_low) WHERE s.doc_id % 2 = 1""")
+def isotonic_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calibrated scores of documents of odd ids."""
+    fit, rest = halves(spark, sf_dir)
+    return evaluation.isotonic_rates(rest, evaluation.isotonic(fit)).select("doc_id", F.round("p", 6).alias("p"))
+
+
 @query("""WITH n AS (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL) SELECT quality, toxic, n, n / sum(n) OVER () AS share FROM n""")
 def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))

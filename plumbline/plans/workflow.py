@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events, evaluation, ingest, patterns, ranking, recommend, scene, summary, trends
 from ..sources.tables import frames, table
+from ..streaming import monitor
 from .analytics import DAYS, MEMBERS_SQL, ROUTED_SQL, clock, density_sql, signature_members, with_frames
 
 QUERIES: dict = {}
@@ -292,28 +293,61 @@ def scene_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scene.scene_events(signals(spark, sf_dir)).select("camera", "t", "event_type", scene.narrative(F.col("event_type"), zone, F.col("t"), F.col("confidence")).alias("narrative"))
 
 
-TRACK_SQL = "tr AS (SELECT event_id, user_id, ts, (value % 10) / 10.0 AS x, (value % 7) / 7.0 AS y, (value % 5) / 5.0 AS h FROM events)"
+TRACK_SQL = "tr AS (SELECT event_id, user_id, ts, (value % 10) / 10.0 AS x, (value % 7) / 7.0 AS y, (value % 5) / 5.0 AS h, (value % 3) / 3.0 AS w FROM events)"
 
 
 def track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events of a user as a track; an hour stands for a tenth of a second."""
     v = F.col("value")
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", ((v % 10) / 10.0).alias("x"), ((v % 7) / 7.0).alias("y"), ((v % 5) / 5.0).alias("h"))
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", ((v % 10) / 10.0).alias("x"), ((v % 7) / 7.0).alias("y"), ((v % 5) / 5.0).alias("h"), ((v % 3) / 3.0).alias("w"))
 
 
 HOUR = 36_000.0
 
 
-@query(f"""WITH {TRACK_SQL}, r AS (SELECT *, last_value({{'h': h, 'y': y}}) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 64800 SECOND PRECEDING AND INTERVAL 9000 SECOND PRECEDING) AS ref FROM tr),
-a AS (SELECT *, coalesce(h <= 0.65::DOUBLE * ref.h AND y - ref.y >= 0.08::DOUBLE, false) AS hit FROM r), b AS (SELECT *, count(*) FILTER (hit) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM a) SELECT event_id, user_id FROM b WHERE hit AND k = 1""")
+#: Rules for tracks whose samples lie hours apart.
+SLOW = scene.FallParams(youngest=0.25 * HOUR, oldest=1.8 * HOUR, drop=0.30 / HOUR, fast_drop=0.55 / HOUR, still_seconds=2 * HOUR, still_reach=0.5)
+POSTURE_SQL = f"""{TRACK_SQL}, h AS (SELECT event_id, user_id, list({{'t': epoch_us(ts), 'x': x, 'y': y, 'a': h / greatest(w, 1e-4::DOUBLE)}}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 11 PRECEDING) AS held, ts FROM tr),
+g AS (SELECT *, held[-1] AS n, list_filter(held, lambda s: held[-1].t - s.t BETWEEN {round(SLOW.youngest * 1e6)} AND {round(SLOW.oldest * 1e6)})[-1] AS r FROM h),
+q AS (SELECT *, (n.y - r.y) / greatest((n.t - r.t) / 1e6::DOUBLE, 1e-3::DOUBLE) AS speed FROM g),
+z AS (SELECT *, coalesce(r.a >= 1.15::DOUBLE AND n.a <= 0.95::DOUBLE, false) AS collapse, coalesce((r.a >= 1.15::DOUBLE AND n.a <= 0.95::DOUBLE) OR (n.a < r.a * 0.72::DOUBLE AND speed >= {SLOW.drop!r}::DOUBLE) OR speed >= {SLOW.fast_drop!r}::DOUBLE, false) AS hit FROM q),
+f AS (SELECT *, hit AND count(*) FILTER (hit) OVER o = 1 AS fall, min(n.t) FILTER (hit) OVER o AS fallen, list_filter(held, lambda s: held[-1].t - s.t <= {round(SLOW.still_seconds * 1e6)}) AS recent FROM z WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+i AS (SELECT *, coalesce(NOT fall AND r IS NOT NULL AND n.t - fallen >= {round(SLOW.still_seconds * 1e6)} AND len(recent) >= 2 AND len(list_filter(recent, lambda s: sqrt((s.x - recent[1].x) * (s.x - recent[1].x) + (s.y - recent[1].y) * (s.y - recent[1].y)) > {SLOW.still_reach}::DOUBLE)) = 0, false) AS still FROM f),
+p AS (SELECT *, still AND count(*) FILTER (still) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) = 1 AS immobile FROM i)"""
+
+
+def postures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scene.posture(track(spark, sf_dir), "user_id", "ts", "event_id", "x", "y", "w", "h", SLOW)
+
+
+@query(f"WITH {POSTURE_SQL} SELECT event_id, user_id, CASE WHEN collapse THEN CASE WHEN speed >= {SLOW.drop!r}::DOUBLE THEN 0.9::DOUBLE ELSE 0.8::DOUBLE END WHEN speed >= {SLOW.fast_drop!r}::DOUBLE THEN 0.72::DOUBLE ELSE 0.55::DOUBLE END AS confidence, round(r.a, 2) AS aspect_before, round(n.a, 2) AS aspect_after FROM p WHERE fall")
 def track_falls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scene.falls(track(spark, sf_dir), "user_id", "ts", "x", "y", "h", youngest=0.25 * HOUR, oldest=1.8 * HOUR).where("fall").select("event_id", "user_id")
+    """The first fall of each track: collapse of posture, a very fast drop, or a shrinking box that sinks."""
+    return postures(spark, sf_dir).where("fall").select("event_id", "user_id", "confidence", "aspect_before", "aspect_after")
+
+
+@query()
+def track_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Falls and immobility of the tracks that a follower makes of each user's events as boxes; tested on streams and tables."""
+    t = track(spark, sf_dir).where("w > 0 AND h > 0")
+    half = lambda c, size, sign: F.col(c) + sign * F.col(size) / 2
+    box = F.array(half("x", "w", -1), half("y", "h", -1), half("x", "w", 1), half("y", "h", 1))
+    frames = t.select(F.col("user_id").alias("camera"), F.col("ts").cast("timestamp").alias("at"), F.array(F.lit("person")).alias("kinds"), F.array(box).alias("boxes"))
+    return monitor.person_events(frames, SLOW, 24 * HOUR).where("event IS NOT NULL").select("camera", F.col("at").cast("timestamp_ntz").alias("at"), "track", "event", "confidence")
+
+
+@query()
+def event_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips of a user's loud events, an hour standing for a second; tested on streams and tables."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("device"), F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("rms"))
+    out = monitor.clips(e, voice=50, least_ms=2 * 3_600_000, silence_ms=int(2.5 * 3_600_000), longest_ms=30 * 3_600_000)
+    return out.select("device", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "blocks", "voiced")
 
 
-@query(f"""WITH {TRACK_SQL}, r AS (SELECT event_id, x, y, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy, list({{'x': x, 'y': y}}) OVER w AS held FROM tr WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 72000 SECOND PRECEDING AND CURRENT ROW))
-SELECT event_id, CASE WHEN len(held) >= 2 THEN len(list_filter(held, lambda p: sqrt((p.x - fx) * (p.x - fx) + (p.y - fy) * (p.y - fy)) > 0.3::DOUBLE)) = 0 END AS immobile FROM r""")
+@query(f"WITH {POSTURE_SQL} SELECT event_id, user_id FROM p WHERE immobile")
 def track_immobile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scene.immobile(track(spark, sf_dir), "user_id", "ts", "x", "y", seconds=2 * HOUR, reach=0.3).select("event_id", "immobile")
+    """The first sample of each fallen track that shows it has not moved since."""
+    return postures(spark, sf_dir).where("immobile").select("event_id", "user_id")
 
 
 @query(f"""WITH {TRACK_SQL}, r AS (SELECT *, last_value({{'t': ts, 'x': x, 'y': y}}) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 43200 SECOND PRECEDING AND INTERVAL 5400 SECOND PRECEDING) AS ref FROM tr),
