@@ -6,12 +6,21 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, NGram, SQLTransformer, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def text_classifier(train: DataFrame, text: str = "text", label: str = "y", features: int = 1 << 16, regularisation: float = 1e-3) -> PipelineModel:
-    """TF-IDF over words and pairs of words, and a logistic regression with balanced class weights.
+def terms_sql(chars: tuple[int, int] | None) -> str:
+    """SQL of a text's terms from its `words__` and `pairs__`: these, and n-grams of the characters of each word between blanks, marked by a leading ~."""
+    if chars is None:
+        return "concat(words__, pairs__)"
+    least, most = chars
+    grams = f"transform(filter(sequence({least}, {most}), n -> n <= length(w) + 2), n -> transform(sequence(1, length(w) + 3 - n), k -> concat('~', substring(concat(' ', w, ' '), k, n))))"
+    return f"concat(words__, pairs__, flatten(flatten(transform(filter(words__, w -> w <> ''), w -> {grams}))))"
+
+
+def text_classifier(train: DataFrame, text: str = "text", label: str = "y", features: int = 1 << 16, regularisation: float = 1e-3, chars: tuple[int, int] | None = None) -> PipelineModel:
+    """TF-IDF over words, pairs of words and, if asked for, n-grams of characters, and a logistic regression with balanced class weights.
 
     Features are hashed, so no vocabulary is gathered.
     """
@@ -19,7 +28,7 @@ def text_classifier(train: DataFrame, text: str = "text", label: str = "y", feat
     stages = [
         Tokenizer(inputCol=text, outputCol="words__"),
         NGram(n=2, inputCol="words__", outputCol="pairs__"),
-        SQLTransformer(statement="SELECT *, concat(words__, pairs__) AS terms__ FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, {terms_sql(chars)} AS terms__ FROM __THIS__"),
         HashingTF(numFeatures=features, inputCol="terms__", outputCol="tf__"),
         IDF(inputCol="tf__", outputCol="tfidf__"),
         LogisticRegression(featuresCol="tfidf__", labelCol=label, weightCol="weight__", regParam=regularisation, maxIter=20, probabilityCol="probability__", rawPredictionCol="raw__", predictionCol="prediction__"),
@@ -39,3 +48,32 @@ def calibrated(held_out: DataFrame, df: DataFrame, label: str = "y") -> DataFram
     as_vector = lambda x: x.withColumn("raw_vector__", array_to_vector(F.array("raw")))
     model = LogisticRegression(featuresCol="raw_vector__", labelCol=label, probabilityCol="probability__", rawPredictionCol="raw__", predictionCol="prediction__").fit(as_vector(held_out))
     return model.transform(as_vector(df)).withColumn("p", vector_to_array("probability__")[1]).select(df.columns)
+
+
+def top_terms(model: PipelineModel, train: DataFrame, top: int = 15, shown: int = 5, text: str = "text") -> DataFrame:
+    """(side, rank, coefficient, n_terms, terms): the features of greatest and least coefficient, with the terms that hash to them.
+
+    Only features that terms of the texts fall into count. The coefficients are
+    as many as the features, whatever the texts; terms are looked up for the top
+    features alone. A feature shows its most used terms first, then by name, and how many more
+    it has; equal coefficients go by their first term.
+    """
+    spark = train.sparkSession
+    hashing = next(s for s in model.stages if isinstance(s, HashingTF))
+    weights = model.stages[-1].coefficients.toArray()
+    until = model.stages.index(hashing)
+    terms = PipelineModel(model.stages[:until]).transform(train.withColumn(text, F.coalesce(text, F.lit("")))).select(F.explode("terms__").alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("uses"))
+    placed = hashing.transform(terms.withColumn("terms__", F.array("term"))).withColumn("feature", vector_to_array("tf__")).select("term", "uses", F.array_position("feature", 1.0).alias("feature"))
+    placed = placed.withColumn("feature", (F.col("feature") - 1).cast("int"))
+    known = spark.createDataFrame([(k, float(w)) for k, w in enumerate(weights) if w], "feature int, coefficient double")
+    used = placed.select("feature").distinct().join(known, "feature")
+    sides = []
+    for side, key in (("positive", F.desc("coefficient")), ("negative", F.asc("coefficient"))):
+        # features of the top coefficient, with all that equal the last of them, until their terms tell which come first
+        best = used.withColumn("r", F.rank().over(Window.orderBy(key))).where(F.col("r") <= top)
+        own = placed.join(best.select("feature", "coefficient"), "feature")
+        place = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("uses"), "term"))
+        own = own.withColumn("place", place).groupBy("feature", "coefficient").agg(F.count("*").alias("n_terms"), F.sort_array(F.collect_list(F.when(F.col("place") <= shown, F.struct("place", "term")))).alias("terms"))
+        own = own.withColumn("terms", F.transform("terms", lambda x: x["term"])).withColumn("rank", F.row_number().over(Window.orderBy(key, F.col("terms")[0])))
+        sides.append(own.where(F.col("rank") <= top).select(F.lit(side).alias("side"), "rank", "coefficient", "n_terms", "terms"))
+    return sides[0].unionByName(sides[1])

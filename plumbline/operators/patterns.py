@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.versions import published
 from .density import density_labels
 from .ranking import first_mode
+from .similarity import match_edges
 
 SIGNATURE = ("activity", "energy_type", "barrier_type", "barrier_status", "exposure")
 MISSING = ("", "nan", "none", "<na>")
@@ -95,6 +97,23 @@ def cluster_summary(members: DataFrame, recent: float = 0.25) -> DataFrame:
     return out.withColumn("priority", priority())
 
 
+def stamped(frames: DataFrame, members: DataFrame, key: str = "report_id") -> DataFrame:
+    """frames with the cluster_id that their key has among the members, null for others."""
+    return frames.drop("cluster_id").join(members.select(key, "cluster_id"), key, "left")
+
+
+def materialised(frames: DataFrame, path: str, min_size: int = 15, fields: tuple[str, ...] = SIGNATURE) -> str:
+    """Clusters of the flagged frames, their members and edges, published together as the current version under a path.
+
+    Replaces all clusters, or none: see sources.versions. Fewer flagged frames
+    than a cluster needs publish empty tables.
+    """
+    flagged = frames.where("sif_potential")
+    members = clustered(flagged, density_clusters(flagged, min_size, fields), fields)
+    clusters = cluster_summary(members).join(pattern_labels(members), "cluster_id", "left")
+    return published({"clusters": clusters, "members": members.select("report_id", "cluster_id"), "edges": match_edges(members, "cluster_id", "report_id", fields)}, path)
+
+
 def priority():
     """HIGH, MEDIUM or LOW of a pattern."""
     n = F.col("member_count")

@@ -114,3 +114,10 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = models.text_classifier(d.where("part = 'train'"))
     held, test = (models.scored(model, d.where(f"part = '{p}'").drop("part")) for p in ("validation", "test"))
     return evaluation.binary_metrics(models.calibrated(held, test))
+
+
+@query()
+def quality_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words, pairs and character n-grams that speak most for and against quality; a learned model, so rows only."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("quality").alias("y"))
+    return models.top_terms(models.text_classifier(d, features=1 << 14, chars=(3, 5)), d)
