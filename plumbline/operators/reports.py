@@ -46,6 +46,18 @@ class ReportParams:
     confirmations: list = field(default_factory=lambda: L.CONFIRMATIONS)
     #: Tokens before a confirmation that may negate it.
     window: int = 4
+    negations: list = field(default_factory=lambda: L.NEGATIONS)
+    negation_pairs: list = field(default_factory=lambda: L.NEGATION_PAIRS)
+    #: Cues of each high energy type, as whole words; None: those of the lexicons.
+    energy_cues: dict | None = None
+    #: A column with a learned energy type, which comes before what hazard and cues say.
+    energy_label: str | None = None
+    #: Cues of the consistency checks.
+    clearance: list = field(default_factory=lambda: CLEARANCE)
+    near: list = field(default_factory=lambda: NEAR)
+    live: list = field(default_factory=lambda: LIVE)
+    unharmed: list = field(default_factory=lambda: UNHARMED)
+    exposed: list = field(default_factory=lambda: EXPOSED)
     #: Whether a confirmation must stand within so many tokens of a barrier's name; None: it need not.
     proximity: int | None = None
 
@@ -112,7 +124,7 @@ def extracted(reports: DataFrame, params: ReportParams | None = None, text: str
     clear, near = F.size("clear_spans") > 0, F.col("nearest")
     df = df.withColumn("exposure_contradiction", clear & near.isNotNull())
     df = df.withColumn("exposure", F.when(clear & ~F.coalesce(near == "direct_proximity", F.lit(False)), "no_exposure").when(near.isNotNull(), near).otherwise("unspecified"))
-    confirm = f"transform(confirm_spans, s -> named_struct('start', s.start, 'end', s.end, 'negated', {T.negated('lc', 's.start', p.window, L.NEGATIONS, L.NEGATION_PAIRS)}))"
+    confirm = f"transform(confirm_spans, s -> named_struct('start', s.start, 'end', s.end, 'negated', {T.negated('lc', 's.start', p.window, p.negations, p.negation_pairs)}))"
     if p.proximity is not None:
         place = lambda x: f"size({T.tokens(f'substring(lc, 1, {x}.start)')})"
         confirm = confirm.replace("transform(confirm_spans,", f"transform(filter(confirm_spans, s -> exists(term_spans, b -> abs({place('s')} - {place('b')}) <= {p.proximity})),")
@@ -131,9 +143,11 @@ def extracted(reports: DataFrame, params: ReportParams | None = None, text: str
     return df.withColumn("gap_severity", gap)
 
 
-def energy_gate(df: DataFrame) -> DataFrame:
+def energy_gate(df: DataFrame, params: ReportParams | None = None) -> DataFrame:
     """Adds high_energy, energy_confidence and energy_type: cues of high energy, else what the hazard category stands for."""
-    cues = energy_cues()
+    p = params or ReportParams()
+    cues = energy_cues() if p.energy_cues is None else p.energy_cues
+    label = F.lit(None).cast("string") if p.energy_label is None else F.col(p.energy_label)
     df = df.withColumn("energy_hits", F.expr(f"filter({T.lexicon(cues)}, p -> contains(lc, p.phrase) AND lc rlike concat('(?U)\\\\b\\\\Q', p.phrase, '\\\\E\\\\b'))"))
     by_hazard = F.create_map(*(F.lit(x) for k, v in L.HAZARD_ENERGY.items() for x in (k, v[0])))
     some = F.size("energy_hits") > 0
@@ -142,33 +156,40 @@ def energy_gate(df: DataFrame) -> DataFrame:
             "high_energy": some | F.col("hazard").isNotNull(),
             "energy_confidence": F.when(some, F.least(0.70 + 0.05 * F.size("energy_hits"), F.lit(0.95))).when(F.col("hazard").isNotNull(), 0.80).otherwise(0.85),
             # without a learned label the hazard's energy type names the energy, then the first type with a cue
-            "energy_type": F.coalesce(F.element_at(by_hazard, F.col("hazard")), F.when(some, F.expr("array_min(transform(energy_hits, p -> named_struct('place', p.place, 'c', p.category))).c")), F.lit("low-energy/ergonomic")),
+            "energy_type": F.coalesce(label, F.element_at(by_hazard, F.col("hazard")), F.when(some, F.expr("array_min(transform(energy_hits, p -> named_struct('place', p.place, 'c', p.category))).c")), F.lit("low-energy/ergonomic")),
         }
     )
 
 
-def checked(df: DataFrame) -> DataFrame:
+def checked(df: DataFrame, params: ReportParams | None = None) -> DataFrame:
     """Adds the consistency findings: kinds of warnings, contradiction, penalty and near miss."""
+    p = params or ReportParams()
     agree = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in L.HAZARD_ENERGIES.items() for x in kv))
     expected = F.element_at(agree, F.col("hazard"))
     disagrees = F.coalesce(~F.array_contains(expected, F.col("energy_type")), F.lit(False))
     low = F.col("energy_type") == "low-energy/ergonomic"
-    exposure = F.col("exposure_contradiction") | (any_of(CLEARANCE) & any_of(NEAR))
-    live = (F.col("barrier_status") == "confirmed_present") & any_of(LIVE)
+    exposure = F.col("exposure_contradiction") | (any_of(p.clearance) & any_of(p.near))
+    live = (F.col("barrier_status") == "confirmed_present") & any_of(p.live)
     df = df.withColumn("warnings", F.array_compact(F.array(F.when(exposure, "EXPOSURE_CONTRADICTION"), F.when(live, "BARRIER_HAZARD_CONTRADICTION"), F.when(disagrees, "ENERGY_HAZARD_DISAGREEMENT"))))
     df = df.withColumn("contradiction", exposure | live | (disagrees & low))
     df = df.withColumn("penalty", F.least(F.lit(0.4), F.when(exposure, 0.25).otherwise(0.0) + F.when(live, 0.20).otherwise(0.0) + F.when(disagrees, 0.15).otherwise(0.0)))
-    return df.withColumn("near_miss", any_of(UNHARMED) & (F.col("exposure").isin("direct_proximity", "indirect_proximity") | any_of(NEAR)))
+    return df.withColumn("near_miss", any_of(p.unharmed) & (F.col("exposure").isin("direct_proximity", "indirect_proximity") | any_of(p.near)))
 
 
-def decided(df: DataFrame) -> DataFrame:
-    """Adds the verdict, rule tag, pathway, bucket, confidence and a justification."""
+def direct_controls() -> dict[str, bool]:
+    """Whether the barrier that controls an energy type (the first declared one) is a direct control."""
     first: dict[str, str] = {}
     for name, values in L.BARRIERS.items():
         for energy in values[1:]:
             first.setdefault(energy, name)
-    direct = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for e, b in first.items() for x in (e, L.BARRIERS[b][0] == "true"))), F.col("energy_type")), F.lit(False))
-    exposure = F.when((F.col("exposure") == "unspecified") & any_of(EXPOSED), "direct_proximity").otherwise(F.col("exposure"))
+    return {energy: L.BARRIERS[name][0] == "true" for energy, name in first.items()}
+
+
+def decided(df: DataFrame, params: ReportParams | None = None) -> DataFrame:
+    """Adds the verdict, rule tag, pathway, bucket, confidence and a justification."""
+    p = params or ReportParams()
+    direct = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in direct_controls().items() for x in kv)), F.col("energy_type")), F.lit(False))
+    exposure = F.when((F.col("exposure") == "unspecified") & any_of(p.exposed), "direct_proximity").otherwise(F.col("exposure"))
     df = df.withColumn("exposure", exposure)
     near, close = F.col("exposure").isin("direct_proximity", "indirect_proximity"), F.col("exposure") == "direct_proximity"
     confirmed, silent = F.col("barrier_status") == "confirmed_present", F.col("barrier_status") == "not_mentioned"
@@ -203,4 +224,4 @@ def decided(df: DataFrame) -> DataFrame:
 
 def assessed(reports: DataFrame, params: ReportParams | None = None, text: str = "text") -> DataFrame:
     """The whole chain for a DataFrame of reports; one row of input gives one row."""
-    return decided(checked(energy_gate(extracted(reports, params, text)))).drop("lc")
+    return decided(checked(energy_gate(extracted(reports, params, text), params), params), params).drop("lc")
