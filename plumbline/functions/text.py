@@ -10,14 +10,19 @@ def sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def folds(phrase: str) -> str:
+    """SQL true if a phrase can overlap itself: it ends as it begins."""
+    return str(any(phrase[:k] == phrase[-k:] for k in range(1, len(phrase)))).lower()
+
+
 def lexicon(groups: dict[str, list[str]]) -> str:
-    """SQL of an array of (category, place of the category, phrase), lower-cased, in order."""
-    rows = (f"named_struct('category', {sql_text(c)}, 'place', {k}, 'phrase', {sql_text(p.lower())})" for k, (c, phrases) in enumerate(groups.items()) for p in phrases)
+    """SQL of an array of (category, place of the category, phrase, whether it can overlap itself), lower-cased, in order."""
+    rows = (f"named_struct('category', {sql_text(c)}, 'place', {k}, 'phrase', {sql_text(p.lower())}, 'folds', {folds(p.lower())})" for k, (c, phrases) in enumerate(groups.items()) for p in phrases)
     return "array(" + ", ".join(rows) + ")"
 
 
 #: Values that one fold adds up; longer arrays are cut into such chunks, so that running sums cost no square.
-CHUNK = 256
+CHUNK = 24
 
 
 def running_sums(values: str) -> str:
@@ -42,6 +47,12 @@ def offsets(text: str, regex: str) -> str:
     return f"transform({running_sums(lengths)}, n -> n - 1)"
 
 
+def cuts(text: str, regex: str, size: str) -> str:
+    """SQL of the places, from 0, of the matches of a regex that are all `size` long and do not overlap: the text is cut at them."""
+    lengths = f"transform(array(split({text}, {regex}, -1)), p -> transform(slice(p, 1, size(p) - 1), x -> length(x)))[0]"
+    return f"transform({running_sums(lengths)}, (n, i) -> n + i * {size})"
+
+
 def phrase_spans(text: str, groups: dict[str, list[str]], whole_words: bool = False) -> Column:
     """All occurrences of a lexicon's phrases in a lower-cased text column: array of (category, place, phrase, start, end).
 
@@ -49,10 +60,12 @@ def phrase_spans(text: str, groups: dict[str, list[str]], whole_words: bool = Fa
     whole words (in the Unicode sense). Spans come in the lexicon's order, then by place.
     """
     edge = "\\\\b" if whole_words else ""
-    regex = f"concat('(?U)(?={edge}\\\\Q', p.phrase, '\\\\E{edge})')"
+    ahead = f"concat('(?U)(?={edge}\\\\Q', p.phrase, '\\\\E{edge})')"
+    plain = f"concat('{'(?U)' if whole_words else ''}{edge}\\\\Q', p.phrase, '\\\\E{edge}')"
+    places = f"IF(p.folds, {offsets(text, ahead)}, {cuts(text, plain, 'length(p.phrase)')})"
     hits = f"filter({lexicon(groups)}, p -> contains({text}, p.phrase))"
     span = "named_struct('category', p.category, 'place', p.place, 'phrase', p.phrase, 'start', o, 'end', o + length(p.phrase))"
-    return F.expr(f"flatten(transform({hits}, p -> transform({offsets(text, regex)}, o -> {span})))")
+    return F.expr(f"flatten(transform({hits}, p -> transform({places}, o -> {span})))")
 
 
 def best_category(spans: str, groups: dict[str, list[str]]) -> Column:
@@ -72,9 +85,16 @@ def tokens(text: str) -> str:
     return f"regexp_extract_all({text}, \"[a-zA-Z0-9']+\", 0)"
 
 
+#: Characters before a place that are looked at first.
+TAIL = 128
+
+
 def negated(text: str, start: str, window: int, single: list[str], pairs: list[str]) -> str:
     """SQL: whether one of the tokens just before a place negates it, alone or with its neighbour."""
-    before = f"slice(reverse({tokens(f'substring({text}, 1, {start})')}), 1, {window})"
+    # mostly the last characters hold the tokens; a first token that is cut off does not count among so many
+    tail = tokens(f"substring({text}, greatest({start} - {TAIL - 1}, 1), least({start}, {TAIL}))")
+    whole = tokens(f"substring({text}, 1, {start})")
+    before = f"slice(reverse(transform(array({tail}), q -> IF({start} <= {TAIL} OR size(q) > {window}, q, {whole}))[0]), 1, {window})"
     one = "array(" + ", ".join(map(sql_text, single)) + ")"
     two = "array(" + ", ".join(map(sql_text, pairs)) + ")"
     couples = "transform(slice(w, 1, greatest(size(w) - 1, 0)), (x, i) -> concat(w[i + 1], ' ', x))"
