@@ -92,9 +92,11 @@ class Tables:
         self.delete()
 
 
-def alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """The rows of make() as one stored table; all else that it put into the shared folder is deleted."""
+def alone(spark: SparkSession, make: Callable[[], DataFrame], name: str, into: Tables | None = None) -> DataFrame:
+    """The rows of make() as one stored table (of `into`, if given); all else that it put into the shared folder is deleted."""
     path = new_path(spark, name)
+    if into is not None:
+        into.paths.append(path)
     with Tables(spark) as t:
         before = SCOPE.set(t)
         try:
