@@ -152,7 +152,7 @@ class Graph:
         params, n = self.params, len(self.points)
         order = np.random.default_rng(params.seed + 1).permutation(n)
         order = np.concatenate([self.begin, order[~np.isin(order, self.begin)]])
-        done = min(len(self.begin), params.degree + 1)
+        done = min(n, params.degree + 1)
         # the first nodes know each other
         first = order[:done]
         for k in first.tolist():
