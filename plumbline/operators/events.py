@@ -93,12 +93,3 @@ def adaptive_baseline(events: DataFrame, key: str, order: list[str], value: str,
             yield batch.assign(baseline=pd.array(out, dtype="Float64"))
 
     return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", baseline double")
-
-
-def voice_clips(blocks: DataFrame, device: str, ts: str, rms: str, voice: float = 380, silence_ms: int = 2500, longest_ms: int = 30_000) -> DataFrame:
-    """Clips of voiced blocks: a pause of silence_ms ends a clip, and so does its length of longest_ms."""
-    s = F.session_window(ts, f"{silence_ms} milliseconds")
-    clips = blocks.where(F.col(rms) >= voice).groupBy(device, s.alias("s")).agg(F.count("*").alias("blocks"))
-    at = F.sequence(F.col("s.start"), F.col("s.end"), F.make_dt_interval(secs=F.lit(longest_ms / 1000)))
-    cut = clips.select(device, "blocks", F.col("s.end").alias("last"), F.explode(at).alias("start")).where("start < last")
-    return cut.select(device, "start", F.least("last", F.col("start") + F.make_dt_interval(secs=F.lit(longest_ms / 1000))).alias("end"), "blocks")

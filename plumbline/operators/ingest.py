@@ -79,7 +79,7 @@ def matching(rows: DataFrame, term: str, columns: Sequence[str]) -> DataFrame:
 
 
 def with_actions(reports: DataFrame, actions: DataFrame, key: str, order: Sequence[str], said: str) -> DataFrame:
-    """Reports with all their actions, in order: n_actions and an array; reports without any keep none."""
+    """Reports with all their actions, in order: n_actions and an array; reports without any keep none. A report's actions are few: one row holds them all."""
     own = actions.groupBy(key).agg(F.count("*").alias("n_actions"), F.array_sort(F.collect_list(F.struct(*order, said))).alias("a__"))
     out = reports.join(own, key, "left")
     return out.withColumn("n_actions", F.coalesce("n_actions", F.lit(0).cast("long"))).withColumn("actions", F.transform(F.coalesce("a__", F.array()), lambda x: x[said])).drop("a__")

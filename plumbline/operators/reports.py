@@ -126,8 +126,11 @@ def extracted(reports: DataFrame, params: ReportParams | None = None, text: str
     df = df.withColumn("exposure", F.when(clear & ~F.coalesce(near == "direct_proximity", F.lit(False)), "no_exposure").when(near.isNotNull(), near).otherwise("unspecified"))
     confirm = f"transform(confirm_spans, s -> named_struct('start', s.start, 'end', s.end, 'negated', {T.negated('lc', 's.start', p.window, p.negations, p.negation_pairs)}))"
     if p.proximity is not None:
+        # how many tokens stand before each, counted once
         place = lambda x: f"size({T.tokens(f'substring(lc, 1, {x}.start)')})"
-        confirm = confirm.replace("transform(confirm_spans,", f"transform(filter(confirm_spans, s -> exists(term_spans, b -> abs({place('s')} - {place('b')}) <= {p.proximity})),")
+        placed = f"filter(transform(confirm_spans, s -> named_struct('s', s, 'at', {place('s')})), c -> exists(terms, b -> abs(c.at - b) <= {p.proximity}))"
+        close = f"transform(array(transform(term_spans, b -> {place('b')})), terms -> transform({placed}, c -> c.s))[0]"
+        confirm = confirm.replace("transform(confirm_spans,", f"transform({close},")
     df = df.withColumn("confirmed_at", F.expr(confirm))
     no, yes = F.expr("exists(confirmed_at, s -> s.negated)"), F.expr("exists(confirmed_at, s -> NOT s.negated)")
     status = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,6 +175,18 @@ def report_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "barrier_status", count(lambda s: ~s["negated"]).alias("n_confirmed"), count(lambda s: s["negated"]).alias("n_negated"))
 
 
+NEAR_SQL = BARRIER_SQL.replace("bn AS (SELECT doc_id, x[greatest(len(x) - 3, 1):] AS y FROM bc)", """bz AS (SELECT bw.doc_id, len(regexp_extract_all(left(t, e - 2), '[a-zA-Z0-9'']+')) AS at FROM bw JOIN r ON r.doc_id = bw.doc_id WHERE w = 'is'),
+bn AS (SELECT doc_id, x[greatest(len(x) - 3, 1):] AS y FROM bc WHERE EXISTS (FROM bz WHERE bz.doc_id = bc.doc_id AND abs(bz.at - len(bc.x)) <= 8))""")
+
+
+@query(f"WITH {NEAR_SQL} SELECT doc_id, barrier_status, n_confirmed, n_negated FROM barrier")
+def report_barrier_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, where a confirmation counts only within eight tokens of a barrier's name."""
+    d = reports.extracted(chain(spark, sf_dir), replace(OWN, proximity=8))
+    count = lambda test: F.size(F.filter("confirmed_at", test)).cast("long")
+    return d.select("doc_id", "barrier_status", count(lambda s: ~s["negated"]).alias("n_confirmed"), count(lambda s: s["negated"]).alias("n_negated"))
+
+
 @query(f"WITH {BARRIER_SQL}, {ENERGY_SQL} SELECT doc_id, hazard, high_energy, round(energy_confidence, 6) AS energy_confidence, energy_type FROM energy")
 def report_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a high energy is named, how surely, and which."""

@@ -69,6 +69,7 @@ def doc_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, string_agg(trim(text), ' ' ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id HAVING length(string_agg(trim(text), ' ' ORDER BY turn)) >= 200")
 def conversation_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of a conversation as one text: a conversation is a result's row, so its turns fit into one."""
     parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: F.trim(x["text"])), " ").alias("transcript"))
     return c.where(F.length("transcript") >= 200)
