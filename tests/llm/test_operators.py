@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, decontaminate, html, jaccard, language, lines, pii, quality, queries, tokens, warc
-from plumbline.llm.common import connected_components, new_path
+from plumbline.llm.common import Tables, connected_components, new_path
 
 TEXTS = [
     (1, "The quick brown fox jumps over the lazy dog again and again today"),
@@ -616,6 +616,47 @@ def test_line_groups_against_brute_force_on_the_given_documents(spark):
     assert had <= wanted and len(had) >= 0.95 * len(wanted) and len(wanted) > 20
 
 
+def test_links_in_a_bucket_that_its_lead_does_not_have(spark):
+    """A hundred pairs of alike lines that all share one phrase with a more frequent line: they meet in its bucket only, whatever their SimHashes' blocks."""
+    rng = np.random.default_rng(31)
+    lead, rows = (7, 9, 40, 0), []
+    for k in range(200):
+        base = int(rng.integers(1 << 62))
+        bits = rng.choice(62, 12, replace=False).tolist()
+        rows += [(1, (1, 4 * k, 200, base, 4 * k)), (1, (1, 4 * k + 2, 200, base ^ sum(1 << int(b) for b in bits), 4 * k + 2))]
+    rows += [(1, (*lead, 9)), (1, (5, 11, 40, 0, 9))] + [(2, row) for _, row in rows[:2]] + [(3, row) for _, row in rows[:2]] + [(3, (5, 11, 40, 0, 9))]
+    placed = spark.createDataFrame(rows, "key long, line struct<many long, h1 long, size int, simhash long, component long>")
+    params = lines.LineParams(block=64)
+    with Tables(spark) as t:
+        got = [(r.a, r.b) for r in lines.across(placed, params, t).collect()]
+    alone = {line[1]: line for _, line in rows}.values()
+    want = {(x[1], y[1]) for x in alone for y in alone if x[1] < y[1] and x[4] != y[4] and x[2] == y[2] and (x[2] <= 60 or (x[3] ^ y[3]).bit_count() <= 20)}
+    assert len(got) == len(set(got)) and set(got) == want and {(4 * k, 4 * k + 2) for k in range(200)} <= want
+
+
+def test_all_links_of_a_bucket_are_found(spark):
+    """Families of short alike lines behind one shared beginning: in the shared bucket most are alike to no more frequent line."""
+    rng = np.random.default_rng(32)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    texts = {"quay rolls"}
+    for _ in range(60):
+        tail = "".join(rng.choice(letters, 8))
+        texts |= {f"quay {tail}", f"quay {tail[:3]}#{tail[4:6]}#{tail[7:]}", f"quay {tail[:1]}%{tail[2:]}"}
+    for _ in range(12):
+        word = "".join(rng.choice(letters, 5))
+        texts |= {word, word[:2] + "%" + word[3:], word[1:]}
+    texts = sorted(texts)
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000, "quay rolls"), (1001, "quay rolls")]
+    placed = lines.with_keys(lines.line_places(spark.createDataFrame(rows, "doc_id long, text string")), lines.LineParams()).persist()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    distinct = placed.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc", "place", "text_hash")).alias("first"), F.count("*").alias("many"))
+    found = {r.id: r.component for r in lines.groups(placed, docs, distinct, lines.LineParams()).collect()}
+    h1 = {r.line: r.h1 for r in lines.line_places(docs).select("line", "h1").distinct().collect()}
+    members = lambda groups: {(a, b) for a, x in enumerate(groups) for b, y in enumerate(groups) if a < b and x == y}
+    want = members(brute_line_groups(texts))
+    assert members([found.get(h1[t], h1[t]) for t in texts]) == want and len(want) > 150
+
+
 def test_lines_of_a_hot_template_and_repeated_rows(spark):
     """A line that half of the documents share, near copies of it by the hundred, an id with several texts."""
     base = " ".join(f"word{k}" for k in range(40))
