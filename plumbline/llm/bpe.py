@@ -378,8 +378,8 @@ class Encoder:
     def __init__(self, path: str):
         self.v = vocabulary(path)
         # a unit is mostly one word, so the words of units that were seen are hardly asked for again
-        self.words = Known(lambda words: merge_many([w.encode("utf-8", "replace") for w in words], self.v), 50_000)
-        self.units = Units(self.many, self.whole, 150_000)
+        self.words = Known(lambda words: merge_many([w.encode("utf-8", "replace") for w in words], self.v), 25_000)
+        self.units = Units(self.many, self.whole, 50_000)
 
     def many(self, units: list[str]) -> list[bytes]:
         split = [WORDS.findall(u) for u in units]
