@@ -292,6 +292,11 @@ class Known:
 ENDS = ".,;:!?"
 
 
+def strings(x: pa.Array) -> list[str]:
+    """The strings of an array without nulls, many times faster than Arrow's own list."""
+    return x.to_numpy(zero_copy_only=False).tolist()
+
+
 class Units:
     """Units of text and their packed ids.
 
@@ -323,9 +328,9 @@ class Units:
         fits = pc.and_(pc.match_substring_regex(trimmed, r"[\pL\pN]$"), pc.not_equal(pieces, trimmed))
         stems = pc.if_else(fits, trimmed, pieces).dictionary_encode()
         marked = np.flatnonzero(fits.to_numpy(zero_copy_only=False))
-        names = stems.dictionary.to_pylist()
+        names = strings(stems.dictionary)
         known = self.stems.all_of(set(names))
-        marks = [p[len(x) :] for p, x in zip(pieces.take(pa.array(marked)).to_pylist(), trimmed.take(pa.array(marked)).to_pylist(), strict=True)]
+        marks = [p[len(x) :] for p, x in zip(strings(pieces.take(pa.array(marked))), strings(trimmed.take(pa.array(marked))), strict=True)]
         kinds = {m: k for k, m in enumerate(dict.fromkeys(marks), 1)}
         of_mark = self.marks.all_of(set(kinds))
         # a text's first piece has no space before it: these are encoded as they are, and stand behind the stems
@@ -334,7 +339,7 @@ class Units:
         base = len(packed)
         packed += [b"", *(of_mark[m] for m in kinds)]
         whole_piece = len(packed)
-        packed += self.encode_many(pieces.take(pa.array(first)).to_pylist())
+        packed += self.encode_many(strings(pieces.take(pa.array(first))))
         whole_text = len(packed)
         packed += [self.encode_whole(texts[k]) for k in odd]
         stem_at = stems.indices.to_numpy().astype(np.int64)

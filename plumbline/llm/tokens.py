@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,11 +52,12 @@ class LibraryEncoder:
         out: list[bytes] = [b""] * len(units)
         for at in range(0, len(joined), 4096):
             some = joined[at : at + 4096]
-            ids = np.array(self.library.encode_batch_fast(["".join(units[k] for k in some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(np.fromiter((len(units[k].encode()) for k in some), np.int64, len(some)))
-            cut = np.searchsorted(np.cumsum(self.size[ids.astype(np.int64)]), ends, "right").tolist()
+            own = [units[k] for k in some]
+            packed = self.each(["".join(own)])[0]
+            ends = np.cumsum(pc.binary_length(pa.array(own, pa.large_string())).to_numpy())
+            cut = (4 * np.searchsorted(np.cumsum(self.size[np.frombuffer(packed, "<u4").astype(np.int64)]), ends, "right")).tolist()
             for k, a, b in zip(some, [0, *cut[:-1]], cut, strict=True):
-                out[k] = ids[a:b].tobytes()
+                out[k] = packed[a:b]
         rest = [k for k, u in enumerate(units) if u and not (len(u) > 1 and u[0] == " ")]
         for k, packed in zip(rest, self.each([units[k] for k in rest]), strict=True):
             out[k] = packed

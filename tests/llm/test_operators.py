@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import sys
 import unicodedata
 import zlib
 from collections import Counter
@@ -57,6 +58,21 @@ def test_bpe_is_the_library(docs, empty):
     assert set(bpe.encode_documents(docs, queries.TOKENIZER).columns) == set(docs.columns)
 
 
+def test_new_units_cost_few_calls():
+    """Units that were not seen before are cut from the library's ids, and listed by Arrow, without several calls for each."""
+    encoder, calls = tokens.LibraryEncoder(queries.TOKENIZER), Counter()
+    texts = [" ".join(f"wo{k:05d}rd{k % 7}é." for k in range(at, at + 500)) for at in range(0, 8000, 500)]
+    encoder.batch(["one"])
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        ids, size = encoder.batch(texts)
+    finally:
+        sys.setprofile(None)
+    each = [x.ids for x in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    assert [len(x) for x in each] == size.tolist() and [i for x in each for i in x] == ids.tolist()
+    assert calls["call"] + calls["c_call"] < 6 * 8000, calls
+
+
 def test_segment_tree_equals_plain_merging():
     v = bpe.vocabulary(queries.TOKENIZER)
 
