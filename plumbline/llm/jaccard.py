@@ -12,8 +12,8 @@
    connected by those links needs no other comparison. In tiles whose members
    still lie in different components, all members outside the largest of these
    are held against all others, block by block, by hashed bitmaps: bit counts
-   bound the overlap from above before the exact intersection of the sorted
-   arrays.
+   bound the overlap from above, and where they allow a link the sets
+   themselves meet in the block and give the links that join its components.
 
 No link between different sets is lost, copies are never expanded into pairs,
 and no bucket has a cap.
@@ -185,8 +185,8 @@ def jaccard_rows(docs: DataFrame, params: JaccardParams | None = None, id_col: s
         links = t.stored(verified(least, bits, nodes, source, params, t), "links")
         found = connected_components(links, store=t.stored)
         apart = t.stored(across(star.join(least, ["a", "b"], "left_anti"), found), "pairs")
-        for pairs in (lambda: apart, lambda: t.stored(unresolved(tiles, found, bits, params, t), "pairs")):
-            more = t.stored(verified(pairs(), bits, nodes, source, params, t), "links")
+        for others in (lambda: verified(apart, bits, nodes, source, params, t), lambda: joining(t.stored(unresolved(tiles, found, bits, params, t), "near"), nodes, source, params)):
+            more = t.stored(others(), "links")
             if not more.isEmpty():
                 links = links.unionByName(more)
                 found = connected_components(links, store=t.stored)
@@ -308,12 +308,13 @@ def across(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def unresolved(tiles: DataFrame, found: DataFrame, bits: DataFrame, params: JaccardParams, t: Tables) -> DataFrame:
-    """Candidate pairs across components in tiles that the first links leave divided.
+    """The sets that have a candidate of another component in a block of a tile that the first links leave divided: key, i, j, node, query, n, component.
 
     Of a pair across components at most one lies in the tile's largest component,
     so the members outside it are the queries and all members are searched. Both
     are cut into blocks, and a block of queries with a block of members is one
-    group of bounded size. Tiles with the same members count once.
+    group of bounded size. Tiles with the same members count once. A row is given for a
+    set and block, not for a pair, so there are no more rows than were searched.
     """
     percent, block = params.percent, params.block
     placed = tiles.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -329,21 +330,70 @@ def unresolved(tiles: DataFrame, found: DataFrame, bits: DataFrame, params: Jacc
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         ask, own = group[group["query"]], group[~group["query"]].sort_values(["n", "node"])
         stack = lambda g: np.stack([np.frombuffer(v, np.uint8) for v in g["bits"]]).view(np.uint64) if len(g) else np.zeros((0, 1), np.uint64)
-        bits, n, node, component = stack(own), own["n"].to_numpy(), own["node"].to_numpy(), own["component"].to_numpy()
+        bits, n, component = stack(own), own["n"].to_numpy(), own["component"].to_numpy()
         spare = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
-        a, b = [], []
-        for x, size, this, group_of in zip(stack(ask), ask["n"].to_numpy(), ask["node"].to_numpy(), ask["component"].to_numpy(), strict=True):
+        met, asked = np.zeros(len(own), bool), np.zeros(len(ask), bool)
+        for at, (x, size, group_of) in enumerate(zip(stack(ask), ask["n"].to_numpy(), ask["component"].to_numpy(), strict=True)):
             near = slice(int(np.searchsorted(n, -(-size * percent // 100))), int(np.searchsorted(n, size * 100 // percent, "right")))
             bound = np.bitwise_count(bits[near] & x).sum(1, dtype=np.int64) + np.minimum(size - int(np.bitwise_count(x).sum()), spare[near])
             hit = (bound >= needed(size, n[near], percent)) & (component[near] != group_of)
-            a += [this] * int(hit.sum())
-            b += node[near][hit].tolist()
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+            met[near] |= hit
+            asked[at] = hit.any()
+        return pd.concat([own[met], ask[asked]])[["key", "i", "j", "node", "query", "n", "component"]]
 
     # a task compares some hundred pairs of blocks, however few bytes these have
     tasks = (once.agg(F.sum(F.col("blocks").cast("long") * F.col("asked"))).first()[0] or 0) // 512 + int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = members.unionByName(queries).join(bits, "node").repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = members.unionByName(queries).join(bits, "node").repartition(tasks, "key", "i", "j").groupBy("key", "i", "j")
+    return met.applyInPandas(compare, "key long, i int, j int, node long, query boolean, n long, component long")
+
+
+#: Shingles of the sets that are held against each other in one group, about.
+GROUP_SHINGLES = 1 << 20
+
+
+def joining(near: DataFrame, nodes: DataFrame, source: DataFrame, params: JaccardParams) -> DataFrame:
+    """Links (a, b) that join the components of each block of unresolved() as far as its sets are linked.
+
+    The exact intersections are counted where the sets meet, and a link between
+    sets that other links already join is left out: a block gives fewer links
+    than it has sets, however many of its pairs are linked, or nearly are.
+    """
+    percent, width = params.percent, params.bitmap_bits
+    heavy = near.groupBy("key", "i", "j").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("parts"))
+    dealt = near.join(heavy, ["key", "i", "j"]).withColumns({"own": F.pmod(F.xxhash64("node"), "parts").cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
+    dealt = dealt.select("key", "i", "j", F.expr("IF(query, other, own)").alias("u"), F.expr("IF(query, own, other)").alias("v"), "node", "query", "component")
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates(["node", "query"])
+        group = group.assign(s=[np.frombuffer(v, np.uint64) for v in group["s"]])
+        ask, own = group[group["query"]], group[~group["query"]]
+        sets, node = own["s"].tolist(), own["node"].to_numpy()
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        stack = lambda g: np.stack([bitmap(s, width) for s in g]).view(np.uint64)
+        a, b = [], []
+        if len(own) and len(ask):
+            bits, label, joined = stack(sets), own["component"].to_numpy().copy(), {}
+            spare = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
+            for s, x, this, mine in zip(ask["s"], stack(ask["s"]), ask["node"], ask["component"], strict=True):
+                while mine in joined:
+                    mine = joined[mine]
+                bound = np.bitwise_count(bits & x).sum(1, dtype=np.int64) + np.minimum(len(s) - int(np.bitwise_count(x).sum()), spare)
+                at = np.flatnonzero((100 * np.minimum(n, len(s)) >= percent * np.maximum(n, len(s))) & (bound >= needed(len(s), n, percent)) & (label != mine))
+                if not len(at):
+                    continue
+                flat = np.concatenate([sets[k] for k in at])
+                common = np.add.reduceat(s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat, np.cumsum(n[at]) - n[at], dtype=np.int64)
+                for k in at[common >= needed(len(s), n[at], percent)]:
+                    if label[k] != mine:
+                        a.append(this)
+                        b.append(node[k])
+                        joined[int(label[k])] = mine
+                        label[label == label[k]] = mine
+        return pd.DataFrame({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
+
+    wanted = marked_ids(nodes.join(near.select("node").distinct(), "node").select("head.*"))
+    met = with_sets(source, wanted, params).dropDuplicates(["node"]).join(dealt, "node")
+    return met.groupBy("key", "i", "j", "u", "v").applyInPandas(settle, "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, params: JaccardParams | None = None) -> DataFrame:

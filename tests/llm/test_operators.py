@@ -506,6 +506,34 @@ def test_linked_sets_share_a_tile(percent):
     assert sum(bool(x & y) for k, x in enumerate(many) for y in many[:k]) < 0.001 * 200 * 199 / 2
 
 
+def test_jaccard_blocks_give_no_more_rows_than_they_search(spark, monkeypatch):
+    """A tile of near copies, nearly all pairs of which the bitmaps allow: 16 places of a text have a word of their own, few rows of a place are linked with others."""
+    params, base = jaccard.JaccardParams(words=3, percent=90, block=64), [f"w{k}" for k in range(100)]
+    texts = [" ".join([*base[: at - 1], *([f"y{at}"] if k else base[at - 1 : at]), f"x{at}-{k}", *base[at + 1 :]]) for at in range(3, 99, 6) for k in range(16)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    source = jaccard.source_rows(df, "doc_id").persist()
+    sets = [jaccard.shingles(x, 3) for x in texts]
+    node = [jaccard.node_of(x) for x in sets]
+    hashes = {r.id: r.text_hash for r in source.collect()}
+    nodes = spark.createDataFrame([(n, (k, hashes[k])) for k, n in enumerate(node)], "node long, head struct<id long, text_hash long>")
+    bits = spark.createDataFrame([(n, len(x), jaccard.bitmap(x, params.bitmap_bits).tobytes()) for n, x in zip(node, sets, strict=True)], "node long, n long, bits binary")
+    tiles, found = spark.createDataFrame([(1, n) for n in node], "key long, node long"), spark.createDataFrame([], "id long, component long")
+    want = shingle_groups(list(enumerate(texts)), 3, 90)
+    with Tables(spark) as t:
+        near = t.stored(jaccard.unresolved(tiles, found, bits, params, t), "near")
+        assert near.count() <= 2 * 4 * len(texts) and near.select("node").distinct().count() == len(texts)
+        for most in (jaccard.GROUP_SHINGLES, 4000):
+            monkeypatch.setattr(jaccard, "GROUP_SHINGLES", most)
+            links = t.stored(jaccard.joining(near, nodes, source, params), "links")
+            assert links.count() < near.count()
+            at = {n: k for k, n in enumerate(node)}
+            assert all(jaccard.linked(sets[at[r.a]], sets[at[r.b]], 90) for r in links.collect())
+            got = {r.id: r.component for r in connected_components(links).collect()}
+            groups = [[k for k, n in enumerate(node) if got.get(n, n) == c] for c in {got.get(n, n) for n in node}]
+            assert sorted(groups) == sorted([k for k in want if want[k][1] == c] for c in {x[1] for x in want.values()}) and len(groups) > 10
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(df, params).collect()} == want
+
+
 def test_jaccard_ids_with_two_texts_and_without_id(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
     rows = [(7, a), (7, b), (7, b), (3, b), (9, c), (None, a), (None, c), (None, "one " * 9 + "two"), (11, a + " more")]
