@@ -3,6 +3,7 @@
 import hashlib
 import re
 import sys
+import time
 import unicodedata
 import zlib
 from collections import Counter
@@ -678,6 +679,20 @@ def test_links_in_a_bucket_that_its_lead_does_not_have(spark):
     assert len(got) == len(set(got)) and set(got) == want and {(4 * k, 4 * k + 2) for k in range(200)} <= want
 
 
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    """They go when it is written, not when the driver collects garbage."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {disk.getAllFiles().apply(k).getName() for k in range(disk.getAllFiles().size())}
+    before = files()
+    with Tables(spark) as t:
+        assert t.stored(spark.range(50_000).groupBy((F.col("id") % 9973).alias("k")).count(), "counts").count() == 9973
+        for _ in range(50):
+            if not (left := {x for x in files() - before if x.startswith("shuffle_")}):
+                break
+            time.sleep(0.1)
+    assert len(left) <= 8, left  # those of the last count, of one row a task
+
+
 def test_all_links_of_a_bucket_are_found(spark):
     """Families of short alike lines behind one shared beginning: in the shared bucket most are alike to no more frequent line."""
     rng = np.random.default_rng(32)
