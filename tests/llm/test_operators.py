@@ -693,6 +693,27 @@ def test_a_stored_table_leaves_no_shuffle_files(spark):
     assert len(left) <= 8, left  # those of the last count, of one row a task
 
 
+def test_letters_rule_out_no_similar_lines_and_most_others(spark):
+    """Short lines of one bucket: all similar ones stay candidates, at the edge of the similarity too; of unlike ones few do."""
+    rng, params = np.random.default_rng(33), lines.LineParams()
+    texts = []
+    for k in range(150):
+        base = "".join(rng.choice(list("etaoinsrhlducmpgbfkvwxyzüé 4"), int(rng.integers(6, 75)))).strip() or "x"
+        other = list(base)
+        for at in rng.choice(len(base), len(base) // 5, replace=False):
+            other[at] = ("", "e", "#", other[at] + "t")[int(rng.integers(4))]
+        texts += [base, "".join(other) + "e" * (k % 3 == 0)]
+    rows = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(texts)], "h1 long, line string, size int")
+    placed = rows.select(F.lit(1).alias("key"), F.struct(F.lit(1).alias("many"), "h1", "size", F.lit(0).cast("long").alias("simhash"), F.expr(lines.letters(params)).alias("letters"), F.col("h1").alias("component")).alias("line"))
+    with Tables(spark) as t:
+        got = {(r.a, r.b) for r in lines.across(placed, params, t).collect()}
+    # SimHashes are all the same here, so only short lines are ruled out
+    short = lambda x, y: min(len(x), len(y)) <= params.any_bits_size and 100 * min(len(x), len(y)) >= 80 * max(len(x), len(y))
+    pairs = [(k, j) for j in range(len(texts)) for k in range(j) if short(texts[k], texts[j])]
+    near = {(k, j) for k, j in pairs if k // 2 == j // 2 and edit_similarity(texts[k], texts[j]) >= 0.8}
+    assert near <= got and len(near) > 80 and len(got & set(pairs)) < 0.3 * len(pairs)
+
+
 def test_all_links_of_a_bucket_are_found(spark):
     """Families of short alike lines behind one shared beginning: in the shared bucket most are alike to no more frequent line."""
     rng = np.random.default_rng(32)
