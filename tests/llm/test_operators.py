@@ -7,6 +7,7 @@ import time
 import unicodedata
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, decontaminate, html, jaccard, language, lines, pii, quality, queries, tokens, warc
-from plumbline.llm.common import Tables, connected_components, new_path
+from plumbline.llm.common import Tables, connected_components, new_path, shared_dir
 
 TEXTS = [
     (1, "The quick brown fox jumps over the lazy dog again and again today"),
@@ -816,3 +817,41 @@ def test_wand_finds_what_full_scoring_finds():
 
 def test_registered_queries_name_every_operator():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
+
+
+def test_line_keys_go_before_lines_are_compared(spark, monkeypatch):
+    """The stored keys are most of what line dedup stores; when lines are compared they are gone, and only texts of compared lines are read."""
+    seen = []
+
+    def similar(pairs, texts, params, *mostly):
+        where = Path(shared_dir(spark).removeprefix("file://"))
+        seen.append({"keys" in spark.read.parquet(str(x)).columns for x in where.iterdir() if x.name.startswith(("keyed-", "lines-"))})
+        return before(pairs, texts, params, *mostly)
+
+    before = lines.similar
+    monkeypatch.setattr(lines, "similar", similar)
+    rows = [(k, f"one line of many words that are the same in all of them but one, {k}") for k in range(6)]
+    gone = lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(gone) == 5 and seen and all(x == {False} for x in seen)
+
+
+def test_edit_distances_are_made_once_a_pair(spark):
+    """The steps of a comparison are no columns, which a filter pushed below them would repeat in each other."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcde é"), rng.integers(2, 9))).replace(" ", "") or "x" for _ in range(60)]
+    texts = []
+    for n in (2, 6, 11, 40):
+        for _ in range(12):
+            x = list(rng.choice(words, n))
+            texts += [" ".join(x), " ".join(x[:-1]), " ".join([*x[: n // 2], *rng.choice(words, 1 + n // 6), *x[n // 2 + n // 6 :]])]
+    texts = sorted({t for t in texts if t})
+    ids = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if abs(len(texts[a]) - len(texts[b])) < 30]
+    table = spark.createDataFrame(list(enumerate(texts)), "h1 long, line string")
+    pairs = spark.createDataFrame(ids, "a long, b long")
+    both = pairs.join(table.selectExpr("h1 a", "line x"), "a").join(table.selectExpr("h1 b", "line y"), "b")
+    want = {(r.a, r.b) for r in both.where("levenshtein(x, y) <= cast(greatest(length(x), length(y)) * 20 div 100 as int)").collect()}
+    for mostly in (False, True):
+        got = lines.similar(pairs, table, lines.LineParams(), mostly)
+        assert {(r.a, r.b) for r in got.collect()} == want and len(want) > 20
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("levenshtein(") <= 3
