@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Units, grouped, vocabulary
+from .bpe import Units, Vocabulary, grouped
 from .common import arrow_rows
 
 
@@ -29,6 +29,11 @@ class TokenFileParams:
     bloom_fpp: float = 0.01
 
 
+#: Units kept by a worker in each of two generations, and bytes of text that it encodes at a time. Arrow
+#: and numpy take several times the text for a while, beside the JVM and a second worker of the executor.
+UNITS_KEPT, GROUP_BYTES = 200_000, 4 << 20
+
+
 class LibraryEncoder:
     """The tokenizers library, called once for many units of text instead of once for each."""
 
@@ -39,9 +44,10 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.size = vocabulary(path).pool_size
-        self.special = tuple(vocabulary(path).special)
-        self.units = Units(self.many, lambda t: self.each([t])[0])
+        # merges and pairs are not needed here, so the vocabulary goes
+        v = Vocabulary(path)
+        self.size, self.special = v.pool_size, tuple(v.special)
+        self.units = Units(self.many, lambda t: self.each([t])[0], UNITS_KEPT)
 
     def each(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -96,7 +102,7 @@ def write_token_files(docs: DataFrame, path: str, params: TokenFileParams) -> No
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, first = library_encoder(tokenizer), 0
-        for batch in grouped(batches):
+        for batch in grouped(batches, GROUP_BYTES):
             plain, size = encoder.batch([t or "" for t in batch.column("text").to_pylist()])
             flat = np.insert(plain.astype(np.int32), np.cumsum(size), end)
             size = size + 1

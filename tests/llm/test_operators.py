@@ -819,6 +819,18 @@ def test_registered_queries_name_every_operator():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
 
 
+def test_token_workers_keep_few_units():
+    """What a worker keeps of op1's units and vocabulary has a bound that two of them can have beside an executor's JVM."""
+    bpe.vocabulary.cache_clear()
+    encoder = tokens.LibraryEncoder(queries.TOKENIZER)
+    assert bpe.vocabulary.cache_info().currsize == 0
+    known = encoder.units.stems
+    known.make_many = lambda keys: [b""] * len(keys)
+    for k in range(12):
+        known.all_of({str(x) for x in range(k * 100_000, (k + 1) * 100_000)})
+    assert len(known.young) + len(known.old) <= 600_000
+
+
 def test_line_keys_go_before_lines_are_compared(spark, monkeypatch):
     """The stored keys are most of what line dedup stores; when lines are compared they are gone, and only texts of compared lines are read."""
     seen = []
