@@ -715,6 +715,26 @@ def test_letters_rule_out_no_similar_lines_and_most_others(spark):
     assert near <= got and len(near) > 80 and len(got & set(pairs)) < 0.3 * len(pairs)
 
 
+def test_only_lines_with_a_candidate_bring_their_texts(spark):
+    """Of a divided bucket only lines that may be alike to another are stored with their texts, whatever its tiles are; its links are those of all pairs."""
+    texts = [x * 30 for x in "etaoinsrhlducmpg"] + ["seven quick brown foxes jump", "seven quick brown foxes jumps", "seven quiet brown foxes jumps"]
+    found, kept = {}, {}
+    for block in (512, 2):
+        params = lines.LineParams(block=block)
+        rows = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(texts)], "h1 long, line string, size int")
+        line = F.struct(F.lit(1).alias("many"), "h1", "size", F.lit(0).cast("long").alias("simhash"), F.expr(lines.letters(params)).alias("letters"), F.col("h1").alias("component")).alias("line")
+        placed = rows.select(line).crossJoin(spark.range(1, 3).select(F.col("id").alias("key"))).where("key = 1 OR line.h1 > 3")
+        with Tables(spark) as t:
+            got = sorted((r.a, r.b, r.sure) for r in lines.across(placed, params, t, rows.select("h1", "line")).collect())
+            stored = [spark.read.parquet(x) for x in t.paths]
+            with_text = [x for x in stored if "line" in x.columns and "text" in x.schema["line"].dataType.names]
+            found[block], kept[block] = got, sorted((r.key, r.h1) for x in with_text for r in x.select("key", "line.h1").collect())
+    n = len(texts)
+    want = [(j, k, True) for k in range(n) for j in range(k) if edit_similarity(texts[j], texts[k]) >= 0.8]
+    assert found[512] == found[2] == want and len(want) == 3
+    assert kept[512] == kept[2] == [(key, n - k) for key in (1, 2) for k in (3, 2, 1)]
+
+
 def test_all_links_of_a_bucket_are_found(spark):
     """Families of short alike lines behind one shared beginning: in the shared bucket most are alike to no more frequent line."""
     rng = np.random.default_rng(32)
