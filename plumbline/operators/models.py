@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, NGram, SQLTransformer, Tokenizer
@@ -9,14 +10,16 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def terms_sql(chars: tuple[int, int] | None) -> str:
     """SQL of a text's terms from its `words__` and `pairs__`: these, and n-grams of the characters of each word between blanks, marked by a leading ~."""
     if chars is None:
         return "concat(words__, pairs__)"
     least, most = chars
-    grams = f"transform(filter(sequence({least}, {most}), n -> n <= length(w) + 2), n -> transform(sequence(1, length(w) + 3 - n), k -> concat('~', substring(concat(' ', w, ' '), k, n))))"
-    return f"concat(words__, pairs__, flatten(flatten(transform(filter(words__, w -> w <> ''), w -> {grams}))))"
+    grams = f"transform(filter(sequence({least}, {most}), n -> n <= length(w)), n -> transform(sequence(1, length(w) + 1 - n), k -> concat('~', substring(w, k, n))))"
+    return f"concat(words__, pairs__, flatten(flatten(transform(transform(filter(words__, w -> w <> ''), w -> concat(' ', w, ' ')), w -> {grams}))))"
 
 
 def text_classifier(train: DataFrame, text: str = "text", label: str = "y", features: int = 1 << 16, regularisation: float = 1e-3, chars: tuple[int, int] | None = None) -> PipelineModel:
@@ -34,7 +37,14 @@ def text_classifier(train: DataFrame, text: str = "text", label: str = "y", feat
         LogisticRegression(featuresCol="tfidf__", labelCol=label, weightCol="weight__", regParam=regularisation, maxIter=20, probabilityCol="probability__", rawPredictionCol="raw__", predictionCol="prediction__"),
     ]
     weight = F.when(F.col(label) == 1, 0.5 / max(rate, 1e-9)).otherwise(0.5 / max(1 - rate, 1e-9))
-    return Pipeline(stages=stages).fit(train.where(F.col(text).isNotNull()).withColumn("weight__", weight))
+    counting = PipelineModel(stages[:-2])
+    counts = counting.transform(train.where(F.col(text).isNotNull()).withColumn("weight__", weight)).select(label, "weight__", "tf__")
+    # both fits read the counts, one of them twice
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return PipelineModel([*counting.stages, *Pipeline(stages=stages[-2:]).fit(counts).stages])
+    finally:
+        counts.unpersist()
 
 
 def scored(model: PipelineModel, df: DataFrame, text: str = "text") -> DataFrame:
@@ -50,6 +60,25 @@ def calibrated(held_out: DataFrame, df: DataFrame, label: str = "y") -> DataFram
     return model.transform(as_vector(df)).withColumn("p", vector_to_array("probability__")[1]).select(df.columns)
 
 
+def uses_of(model: PipelineModel, df: DataFrame, features: list[int], text: str = "text") -> DataFrame:
+    """(feature, term, uses) of the terms that fall into the features, counted over all texts as the model counts them.
+
+    N-grams of characters are made of the distinct words, not of every use of a
+    word, and pairs of words are counted only where their feature is asked for.
+    """
+    hashing = next(s for s in model.stages if isinstance(s, HashingTF))
+    terms = next(s for s in model.stages if isinstance(s, SQLTransformer))
+    split = PipelineModel(model.stages[: model.stages.index(terms)]).transform(df.select(F.coalesce(text, F.lit("")).alias(text)))
+    words = split.select(F.explode_outer("words__").alias("word")).groupBy("word").agg(F.count("*").alias("uses"))
+    # a text of one word has the terms that each use of the word adds to a text
+    alone = words.where("word <> ''").select("uses", F.array("word").alias("words__"), F.array().cast("array<string>").alias("pairs__"))
+    of_words = terms.transform(alone).select(F.explode_outer("terms__").alias("term"), "uses").groupBy("term").agg(F.sum("uses").alias("uses"))
+    pairs = split.select(F.explode_outer("pairs__").alias("term"), F.lit(1).cast("long").alias("uses")).where("term IS NOT NULL")
+    # a term's sparse vector holds its feature as the only index: no vector of all features is made for a term
+    placed = lambda x: hashing.transform(x.withColumn("terms__", F.array("term"))).select(F.unwrap_udt("tf__")["indices"][0].alias("feature"), "term", "uses").where(F.col("feature").isin(features))
+    return placed(of_words).unionByName(placed(pairs)).groupBy("feature", "term").agg(F.sum("uses").alias("uses"))
+
+
 def top_terms(model: PipelineModel, train: DataFrame, top: int = 15, shown: int = 5, text: str = "text") -> DataFrame:
     """(side, rank, coefficient, n_terms, terms): the features of greatest and least coefficient, with the terms that hash to them.
 
@@ -59,21 +88,16 @@ def top_terms(model: PipelineModel, train: DataFrame, top: int = 15, shown: int
     it has; equal coefficients go by their first term.
     """
     spark = train.sparkSession
-    hashing = next(s for s in model.stages if isinstance(s, HashingTF))
-    weights = model.stages[-1].coefficients.toArray()
-    until = model.stages.index(hashing)
-    terms = PipelineModel(model.stages[:until]).transform(train.withColumn(text, F.coalesce(text, F.lit("")))).select(F.explode("terms__").alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("uses"))
-    placed = hashing.transform(terms.withColumn("terms__", F.array("term"))).withColumn("feature", vector_to_array("tf__")).select("term", "uses", F.array_position("feature", 1.0).alias("feature"))
-    placed = placed.withColumn("feature", (F.col("feature") - 1).cast("int"))
-    known = spark.createDataFrame([(k, float(w)) for k, w in enumerate(weights) if w], "feature int, coefficient double")
-    used = placed.select("feature").distinct().join(known, "feature")
-    sides = []
-    for side, key in (("positive", F.desc("coefficient")), ("negative", F.asc("coefficient"))):
-        # features of the top coefficient, with all that equal the last of them, until their terms tell which come first
-        best = used.withColumn("r", F.rank().over(Window.orderBy(key))).where(F.col("r") <= top)
-        own = placed.join(best.select("feature", "coefficient"), "feature")
-        place = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("uses"), "term"))
-        own = own.withColumn("place", place).groupBy("feature", "coefficient").agg(F.count("*").alias("n_terms"), F.sort_array(F.collect_list(F.when(F.col("place") <= shown, F.struct("place", "term")))).alias("terms"))
-        own = own.withColumn("terms", F.transform("terms", lambda x: x["term"])).withColumn("rank", F.row_number().over(Window.orderBy(key, F.col("terms")[0])))
-        sides.append(own.where(F.col("rank") <= top).select(F.lit(side).alias("side"), "rank", "coefficient", "n_terms", "terms"))
-    return sides[0].unionByName(sides[1])
+    weights = {k: float(w) for k, w in enumerate(model.stages[-1].coefficients.toArray()) if w}
+    # the features up to the top coefficients, with all that equal the last of them, until their terms tell which come first;
+    # one more, since the empty word, which is no term, may have a feature of its own
+    sides = {"positive": F.desc("coefficient"), "negative": F.asc("coefficient")}
+    ends = sorted(weights.values())
+    best = [(k, w) for k, w in weights.items() if w >= ends[-top - 1 :][0] or w <= ends[: top + 1][-1]]
+    uses = uses_of(model, train, [k for k, _ in best], text)
+    place = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("uses"), "term"))
+    own = uses.withColumn("place", place).groupBy("feature").agg(F.count("*").alias("n_terms"), F.sort_array(F.collect_list(F.when(F.col("place") <= shown, F.struct("place", "term")))).alias("terms"))
+    own = own.join(spark.createDataFrame(best, "feature int, coefficient double"), "feature").withColumn("terms", F.transform("terms", lambda x: x["term"]))
+    own = stored(own, "top-terms")
+    ranked = [own.withColumn("rank", F.row_number().over(Window.orderBy(key, F.col("terms")[0]))).where(F.col("rank") <= top).withColumn("side", F.lit(side)) for side, key in sides.items()]
+    return ranked[0].unionByName(ranked[1]).select("side", "rank", "coefficient", "n_terms", "terms")
