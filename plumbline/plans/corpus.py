@@ -57,10 +57,10 @@ def doc_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and its tagged tokens, which stay in the document's row."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
-    found = d.select("doc_id", F.posexplode(T.phrase_spans("text", PHRASES, whole_words=True)).alias("rank", "s"))
-    spans = found.select("doc_id", "rank", F.col("s.category").alias("label"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-    return tagging.spans_to_tags(tagging.text_tokens(d, "doc_id", token=r"[\p{L}\p{N}_]+"), spans, "doc_id")
+    spans = F.transform(T.phrase_spans("text", PHRASES, whole_words=True), lambda s: F.struct(s["category"].alias("label"), s["start"].alias("start"), s["end"].alias("end")))
+    return tagging.tagged_texts(d, "doc_id", spans, token=r"[\p{L}\p{N}_]+")
 
 
 TAGS_SQL = r"""pieces AS (SELECT doc_id, unnest(x) AS piece, generate_subscripts(x, 1) AS k FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^\p{L}\p{N}_]*[\p{L}\p{N}_]+') AS x FROM documents)),
@@ -73,21 +73,25 @@ SPANS_SQL = "sp AS (SELECT doc_id, substring(tag, 3) AS label, CAST(s AS INT) AS
 @query(f"WITH {TAGS_SQL} SELECT doc_id, tag, count(*) AS n FROM g WHERE tag IS NOT NULL GROUP BY doc_id, tag")
 def doc_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many tokens of a document begin or continue a span of each kind."""
-    return tagged(spark, sf_dir).where("tag <> 'O'").groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
+    tags = F.expr("transform(filter(tagged, t -> t.tag <> 'O'), t -> t.tag)")
+    return tagged(spark, sf_dir).select("doc_id", F.explode_outer(tags).alias("tag")).where("tag IS NOT NULL").groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {TAGS_SQL}, {SPANS_SQL} SELECT * FROM sp")
 def doc_tag_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans that the tags of the tokens give back."""
-    return tagging.tags_to_spans(tagged(spark, sf_dir), "doc_id")
+    spans = tagged(spark, sf_dir).select("doc_id", F.explode_outer(F.expr(tagging.spans_of("tagged"))).alias("s"))
+    return spans.where("s IS NOT NULL").select("doc_id", "s.*")
 
 
 @query(f"""WITH {TAGS_SQL}, {SPANS_SQL}, c AS (SELECT *, ("start" * 7 % 101) / 101.0::DOUBLE AS confidence FROM sp)
 SELECT doc_id, label, "start", "end", confidence FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, label ORDER BY confidence DESC, "start", "end") = 1""")
 def doc_best_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The span of each kind with the highest of confidences that are made from its place."""
-    spans = tagging.tags_to_spans(tagged(spark, sf_dir), "doc_id")
-    return tagging.best_spans(spans.withColumn("confidence", (F.col("start") * 7 % 101) / F.lit(101.0)), "doc_id")
+    spans = F.transform(F.expr(tagging.spans_of("tagged")), lambda s: s.withField("confidence", (s["start"] * 7 % 101) / F.lit(101.0)))
+    best = tagged(spark, sf_dir).select("doc_id", spans.alias("spans")).select("doc_id", F.explode_outer(F.expr(tagging.best_of("spans"))).alias("s"))
+    # a document brings a row for each label; rows that repeat an id meet
+    return tagging.best_spans(best.where("s IS NOT NULL").select("doc_id", "s.*"), "doc_id")
 
 
 # ---- the report chain with lexicons of the tables' own words
